@@ -41,11 +41,29 @@ def criteria_table(spark: SparkSession, criteria: Mapping = CRITERIA) -> DataFra
     return spark.createDataFrame([tuple(criteria[f.name] for f in CRITERIA_SCHEMA.fields)], CRITERIA_SCHEMA)
 
 
-def pinned_criteria(cards: DataFrame, criteria: DataFrame, keys: Sequence[str] = ("card_id",)) -> DataFrame:
-    """Each card's own recorded thresholds under the shared protocol."""
+def pinned_criteria(cards: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Each card's own recorded thresholds, under the shared protocol, with a key of the numbers."""
     protocol = criteria.select("evaluation_sets", "require_all_sets")
-    pinned = cards.select(*keys, F.concat(F.lit("card:"), F.col("card_id")).alias("criteria_version"), *[F.try_element_at("acceptance_criteria", F.lit(t)).alias(t) for t in THRESHOLDS])
-    return pinned.join(F.broadcast(protocol))
+    pinned = cards.select("card_id", *[F.try_element_at("acceptance_criteria", F.lit(t)).alias(t) for t in THRESHOLDS])
+    return pinned.withColumn("criteria_version", F.concat_ws("/", *[F.col(t).cast("string") for t in THRESHOLDS])).join(F.broadcast(protocol))
+
+
+def gate_cards(
+    cards: DataFrame, champion: DataFrame, challenger: DataFrame, champion_groups: DataFrame, challenger_groups: DataFrame, criteria: DataFrame,
+) -> DataFrame:
+    """Every card's verdict on every challenger under the thresholds the card pinned.
+
+    A verdict depends on the pinned numbers, not on the card, so checks are made once per
+    distinct set of numbers and then handed to the cards that pinned it.
+    """
+    pinned = pinned_criteria(cards, criteria)
+    bars = pinned.drop("card_id").distinct()
+    names = bars.select("criteria_version")
+    judged = gate_checks(
+        champion, challenger.join(names), champion_groups, challenger_groups.join(names), bars, ["criteria_version", "challenger"]
+    )
+    verdicts = gate_verdicts(judged, ["criteria_version", "challenger"])
+    return pinned.select("card_id", "criteria_version").join(verdicts, "criteria_version").withColumn("criteria_version", F.concat(F.lit("card:"), F.col("card_id")))
 
 
 def _at_least(observed: Column, required: Column) -> Column:
@@ -91,10 +109,15 @@ def gate_checks(
 
     present = F.coalesce(F.col("has_a"), F.lit(False)) & F.coalesce(F.col("has_b"), F.lit(False))
     absent = F.when(F.col("has_a").isNull(), F.lit("champion")).otherwise(F.lit("challenger"))
-    f6 = "%.6f"
+
+    def six(c: Column) -> Column:
+        return F.format_string("%.6f", c)
 
     def num(c: str) -> Column:
-        return F.format_string(f6, F.col(c))
+        return six(F.col(c))
+
+    def plain(c: str) -> Column:
+        return F.col(c).cast("string")
 
     floor_auc = F.col("a_roc_auc") - F.col("auroc_non_inferiority_margin")
     floor_recall = F.col("a_recall_at_top_decile") * F.col("recall_top_decile_min_ratio")
@@ -109,25 +132,25 @@ def gate_checks(
         F.when(
             present,
             _check(AUROC, _at_least(F.col("b_roc_auc"), floor_auc), F.col("b_roc_auc"), floor_auc,
-                   F.concat(F.lit("AUROC "), num("b_roc_auc"), F.lit(" vs champion "), num("a_roc_auc"))),
+                   F.concat(F.lit("AUROC "), num("b_roc_auc"), F.lit(" vs champion "), num("a_roc_auc"), F.lit(" (floor "), six(floor_auc), F.lit(", margin "), plain("auroc_non_inferiority_margin"), F.lit(")"))),
         ),
         F.when(
             present,
             _check(RECALL, _at_least(F.col("b_recall_at_top_decile"), floor_recall), F.col("b_recall_at_top_decile"), floor_recall,
-                   F.concat(F.lit("recall "), num("b_recall_at_top_decile"), F.lit(" vs champion "), num("a_recall_at_top_decile"))),
+                   F.concat(F.lit("recall@top-decile "), num("b_recall_at_top_decile"), F.lit(" vs champion "), num("a_recall_at_top_decile"), F.lit(" (floor "), six(floor_recall), F.lit(", ratio "), plain("recall_top_decile_min_ratio"), F.lit(")"))),
         ),
         F.when(
             present,
             _check(BRIER, _at_most(F.col("b_brier_score"), top_brier), F.col("b_brier_score"), top_brier,
-                   F.concat(F.lit("Brier "), num("b_brier_score"), F.lit(" vs champion "), num("a_brier_score"))),
+                   F.concat(F.lit("Brier "), num("b_brier_score"), F.lit(" vs champion "), num("a_brier_score"), F.lit(" (ceiling "), six(top_brier), F.lit(", max increase "), plain("max_brier_increase"), F.lit(")"))),
         ),
         F.when(
             present,
             _check(ECE, _at_most(F.col("b_expected_calibration_error"), F.col("max_ece")), F.col("b_expected_calibration_error"), F.col("max_ece"),
-                   F.concat(F.lit("ECE "), num("b_expected_calibration_error"))),
+                   F.concat(F.lit("ECE "), num("b_expected_calibration_error"), F.lit(" against the absolute ceiling "), plain("max_ece"))),
         ),
     )
-    base = ["criteria_version", "set_order", "eval_set"]
+    base = [c for c in ("criteria_version", "set_order", "eval_set") if c not in keys]
     overall = paired.select(*keys, *base, F.inline(F.filter(checks, lambda c: c.isNotNull())))
 
     # Subgroups of every set both sides have: a union of both sides' groups, one row each.
@@ -146,8 +169,8 @@ def gate_checks(
         ~comparable | _at_least(F.col("after"), floor_group),
         F.col("after"),
         floor_group,
-        F.when(comparable, F.concat(label, F.lit(": AUROC "), num("after"), F.lit(" vs champion "), num("before"))).otherwise(
-            F.concat(label, F.lit(": AUROC undefined for "), side, F.lit("; not comparable, not counted"))
+        F.when(comparable, F.concat(label, F.lit(": AUROC "), num("after"), F.lit(" vs champion "), num("before"), F.format_string(" (drop %+.6f, max allowed ", F.col("before") - F.col("after")), plain("max_subgroup_auroc_drop"), F.lit(")"))).otherwise(
+            F.concat(label, F.lit(": AUROC undefined for "), side, F.lit(" (single outcome class); not comparable, not counted"))
         ),
         label,
     )
@@ -159,7 +182,8 @@ def gate_verdicts(checks: DataFrame, keys: Sequence[str] = ("challenger",)) -> D
     """BLOCK when any check fails, with the failed checks' reasons in reporting order."""
     reason = F.concat(F.col("criterion"), F.lit(" ["), F.col("eval_set"), F.lit("]: "), F.col("detail"))
     ordered = F.struct("set_order", "check_order", F.coalesce("subgroup", F.lit("")).alias("s"), reason.alias("reason"))
-    return checks.groupBy(*keys, "criteria_version").agg(
+    version = [] if "criteria_version" in keys else ["criteria_version"]
+    return checks.groupBy(*keys, *version).agg(
         F.when(F.bool_and("passed"), F.lit(PASS)).otherwise(F.lit(BLOCK)).alias("outcome"),
         F.count(F.lit(1)).alias("checks"),
         F.count_if(~F.col("passed")).alias("failed_criteria_count"),
