@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.numbers import safe_ratio
+from tidewatch.functions.numbers import hash_bits, safe_ratio
 from tidewatch.functions.text import MISSING, SOURCE_GROUPS, code_chapter, map_or_default
-from tidewatch.operators.ordering import hash_bits, positions
+from tidewatch.operators.ordering import positions
 from tidewatch.sources.readers import require_columns
 from tidewatch.sources.schemas import MEDICATIONS
 
@@ -159,9 +159,11 @@ def shared_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     )
 
 
-def grouped_holdout(df: DataFrame, group: str, percent: int = 20, seed: int | str = 42, out: str = "is_test") -> DataFrame:
+def grouped_holdout(
+    df: DataFrame, group: str, percent: int = 20, seed: int | str = 42, out: str = "is_test", portable: bool = False
+) -> DataFrame:
     """A random split that keeps each group whole."""
-    return df.withColumn(out, F.pmod(hash_bits([group], seed), F.lit(100)) < percent)
+    return df.withColumn(out, F.pmod(hash_bits([group], seed, portable), F.lit(100)) < percent)
 
 
 def row_windows(

@@ -188,10 +188,22 @@ def validation_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.validation_tail(o, "o_orderkey").groupBy("is_validation").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("grouped_holdout")
+def _bits(key: str, seed: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 12) AS BIGINT)"
+
+
+def _uniform(key: str, seed: str) -> str:
+    return f"(({_bits(key, seed)})::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE"
+
+
+@query(
+    "grouped_holdout",
+    f"""WITH o AS (SELECT *, {_bits('o_custkey', '42')} % 100 < 20 AS is_test FROM orders)
+SELECT is_test, count(DISTINCT o_custkey) AS customers, count(*) AS orders, false AS torn FROM o GROUP BY is_test""",
+)
 def grouped_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No customer is on both sides."""
-    o = preparation.grouped_holdout(t.table(spark, sf_dir, "orders"), "o_custkey")
+    o = preparation.grouped_holdout(t.table(spark, sf_dir, "orders"), "o_custkey", portable=True)
     sides = o.groupBy("o_custkey").agg(F.min("is_test").alias("a"), F.max("is_test").alias("b"), F.count(F.lit(1)).alias("n"))
     return sides.groupBy((F.col("a") != F.col("b")).alias("torn"), F.col("a").alias("is_test")).agg(F.count(F.lit(1)).alias("customers"), F.sum("n").alias("orders"))
 
@@ -270,14 +282,6 @@ def payload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- samples and perturbations --------------------------------------------------------------
-def _bits(key: str, seed: str) -> str:
-    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 12) AS BIGINT)"
-
-
-def _uniform(key: str, seed: str) -> str:
-    return f"(({_bits(key, seed)})::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE"
-
-
 @query(
     "hash_sample",
     f"SELECT event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (ORDER BY {_bits('event_id', '42')}, event_id) <= 1000",
