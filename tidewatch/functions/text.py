@@ -95,8 +95,17 @@ def contains_all_fields(query: str, *fields: Column) -> Column:
     return F.lower(F.concat_ws(" ", *shown)).contains(needle)
 
 
+def fixed(value: Column | str, places: int) -> Column:
+    """The number to so many places, rounding its exact binary value half to even.
+
+    ``format_string`` rounds the shortest decimal form half up instead, which differs on
+    numbers such as 0.50615.
+    """
+    return F.call_function("format_number", col(value).cast("double"), F.lit("0." + "0" * places))
+
+
 def four_places(value: Column | str) -> Column:
-    return F.when(col(value).isNull(), F.lit("n/a")).otherwise(F.format_string("%.4f", col(value).cast("double")))
+    return F.coalesce(fixed(value, 4), F.lit("n/a"))
 
 
 def figures(text: Column | str) -> Column:

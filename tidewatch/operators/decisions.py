@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidewatch.functions.numbers import digest_id
+from tidewatch.functions.text import fixed
 from tidewatch.operators.ordering import running_totals
 
 HISTORY_WINDOWS = 16
@@ -226,7 +227,7 @@ def apply_rules(df: DataFrame) -> DataFrame:
             F.concat(F.array_join("persistent_features", ", "), F.lit(" breached for "), _text(run), F.lit(" consecutive windows. Persistent drift is not a blip.")),
         ),
     )
-    trigger = F.when(severe, F.format_string("%s reached PSI %.4f", worst["feature"], worst["psi"])).otherwise(
+    trigger = F.when(severe, F.concat(worst["feature"], F.lit(" reached PSI "), fixed(worst["psi"], 4))).otherwise(
         F.concat(F.lit("prediction drift detected (PSI "), F.coalesce(_text(F.col("prediction_psi")), F.lit("None")), F.lit(")"))
     )
     strong = F.when(
@@ -234,7 +235,7 @@ def apply_rules(df: DataFrame) -> DataFrame:
         _outcome(
             "4", FULL, F.when(enough, F.lit(AUTO)).otherwise(F.lit(ESCALATE)),
             F.concat(
-                trigger, F.format_string(". Confidence %.4f is ", conf), F.when(enough, F.lit("at or above")).otherwise(F.lit("below")),
+                trigger, F.lit(". Confidence "), fixed(conf, 4), F.lit(" is "), F.when(enough, F.lit("at or above")).otherwise(F.lit("below")),
                 F.lit(" the "), _text(F.col("auto_proceed_confidence")), F.lit(" auto-proceed threshold."),
             ),
         ),
@@ -244,7 +245,7 @@ def apply_rules(df: DataFrame) -> DataFrame:
         _outcome(
             "5", FULL, ESCALATE,
             F.concat(
-                F.format_string("Matured labels show an AUROC drop of %.4f against launch, above the ", F.col("matured_auroc_drop_seen")),
+                F.lit("Matured labels show an AUROC drop of "), fixed(F.col("matured_auroc_drop_seen"), 4), F.lit(" against launch, above the "),
                 _text(F.col("matured_auroc_drop")), F.lit(" limit. A confirmed performance regression always reaches a human."),
             ),
         ),
@@ -266,7 +267,7 @@ def apply_rules(df: DataFrame) -> DataFrame:
     spent = F.col("retrains_in_cooldown") >= F.col("retrain_budget")
     why = F.when(
         recent,
-        F.concat(F.format_string("the last retrain was %.2f days ago, inside the ", F.col("days_since_last_retrain")), _text(F.col("retrain_cooldown_days").cast("int")), F.lit("-day cooldown")),
+        F.concat(F.lit("the last retrain was "), fixed(F.col("days_since_last_retrain"), 2), F.lit(" days ago, inside the "), _text(F.col("retrain_cooldown_days").cast("int")), F.lit("-day cooldown")),
     ).otherwise(F.concat(_text(F.col("retrains_in_cooldown")), F.lit(" of "), _text(F.col("retrain_budget")), F.lit(" retrains in the budget have been used")))
     downgraded = F.when(
         retrain & (recent | spent),

@@ -72,23 +72,22 @@ def psi_from_shares(df: DataFrame, keys: Sequence[str], reference: str, current:
     return joined.groupBy(*keys).agg(F.sum(term).alias(out))
 
 
-def categorical_psi(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """(keys, feature, psi) with one bin per category either side has.
+def psi_from_counts(reference: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, feature, psi, ref_rows, cur_rows) from counts per bin.
 
-    A category a window lacks still counts, by its reference share against the floor. Those
-    terms are summed once per feature and corrected by the categories the window does have,
-    so no windows x categories table is built.
+    ``reference`` is (feature, bin, n_ref), ``current`` (keys, feature, bin, n_cur). A bin a
+    window lacks still counts, by its reference share against the floor. Those terms are summed
+    once per feature and corrected by the bins the window does have, so no windows x bins table
+    is built, however many bins a feature has.
     """
-    ref = unpivot_values(reference, [], features, "string").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_ref"))
-    ref_rows = ref.groupBy("feature").agg(F.sum("n_ref").alias("ref_rows"))
     floor = F.lit(SHARE_FLOOR)
     r = share(F.col("n_ref"), F.col("ref_rows"))
-    absent = ref.join(F.broadcast(ref_rows), "feature").groupBy("feature").agg(  # one row per feature
+    ref_rows = reference.groupBy("feature").agg(F.sum("n_ref").alias("ref_rows"))
+    absent = reference.join(F.broadcast(ref_rows), "feature").groupBy("feature").agg(  # one row per feature
         F.sum(psi_term(r, floor)).alias("all_absent"), F.max("ref_rows").alias("ref_rows")
     )
-    cur = unpivot_values(serving, keys, features, "string").groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n_cur"))
-    cur_rows = cur.groupBy(*keys, "feature").agg(F.sum("n_cur").alias("cur_rows"))
-    present = cur.join(ref, ["feature", "value"], "left").join(cur_rows, [*keys, "feature"]).join(F.broadcast(absent), "feature")
+    cur_rows = current.groupBy(*keys, "feature").agg(F.sum("n_cur").alias("cur_rows"))
+    present = current.join(reference, ["feature", "bin"], "left").join(cur_rows, [*keys, "feature"]).join(F.broadcast(absent), "feature")
     c = share(F.col("n_cur"), F.col("cur_rows"))
     correction = psi_term(r, c) - psi_term(r, floor)
     return present.groupBy(*keys, "feature").agg(
@@ -98,6 +97,16 @@ def categorical_psi(reference: DataFrame, serving: DataFrame, keys: Sequence[str
     )
 
 
+def categorical_psi(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """(keys, feature, psi) with one bin per category either side has; nulls are left out."""
+
+    def counts(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        long = unpivot_values(df, by, features, "string").withColumnRenamed("value", "bin")
+        return long.groupBy(*by, "feature", "bin").agg(F.count(F.lit(1)).alias(name))
+
+    return psi_from_counts(counts(reference, [], "n_ref"), counts(serving, keys, "n_cur"), keys)
+
+
 def reference_quantile_edges(reference: DataFrame, features: Sequence[str], bins: int = 10) -> dict[str, list[float]]:
     """Distinct reference quantiles per feature; features x (bins + 1) numbers on the driver.
 

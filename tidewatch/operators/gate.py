@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.functions.numbers import short_digest
+from tidewatch.functions.text import fixed
 from tidewatch.operators.decisions import AUTO, ESCALATE, RETRAIN_ACTIONS
 
 PASS, BLOCK = "PASS", "BLOCK"
@@ -111,7 +112,7 @@ def gate_checks(
     absent = F.when(F.col("has_a").isNull(), F.lit("champion")).otherwise(F.lit("challenger"))
 
     def six(c: Column) -> Column:
-        return F.format_string("%.6f", c)
+        return fixed(c, 6)
 
     def num(c: str) -> Column:
         return six(F.col(c))
@@ -169,7 +170,7 @@ def gate_checks(
         ~comparable | _at_least(F.col("after"), floor_group),
         F.col("after"),
         floor_group,
-        F.when(comparable, F.concat(label, F.lit(": AUROC "), num("after"), F.lit(" vs champion "), num("before"), F.format_string(" (drop %+.6f, max allowed ", F.col("before") - F.col("after")), plain("max_subgroup_auroc_drop"), F.lit(")"))).otherwise(
+        F.when(comparable, F.concat(label, F.lit(": AUROC "), num("after"), F.lit(" vs champion "), num("before"), F.lit(" (drop "), F.when(F.col("before") >= F.col("after"), F.lit("+")).otherwise(F.lit("")), six(F.col("before") - F.col("after")), F.lit(", max allowed "), plain("max_subgroup_auroc_drop"), F.lit(")"))).otherwise(
             F.concat(label, F.lit(": AUROC undefined for "), side, F.lit(" (single outcome class); not comparable, not counted"))
         ),
         label,

@@ -36,10 +36,10 @@ def stored_dates(df: DataFrame, key: str, texts: Sequence[Column]) -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(found)).alias("day"))
 
 
-def _scaled(number: Column, decimals: Column, percent: Column) -> Column:
-    """The number as written to that many places, as a whole number of the last place."""
-    shown = number * F.when(percent, F.lit(100.0)).otherwise(F.lit(1.0))
-    return F.rint(shown * F.pow(F.lit(10.0), decimals.cast("double")))
+def _as_written(number: Column, decimals: Column) -> Column:
+    """The number as text to that many places, rounded on its exact value; no negative zero."""
+    pattern = F.when(decimals == 0, F.lit("0")).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), decimals)))
+    return F.regexp_replace(F.call_function("format_number", number, pattern), r"^-(0(?:\.0*)?)$", "$1")
 
 
 def ungrounded_figures(quoted: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -49,9 +49,10 @@ def ungrounded_figures(quoted: DataFrame, known: DataFrame, key: str) -> DataFra
     quoted and known figures of a key are never paired all against all.
     """
     precisions = quoted.select(key, "decimals", "percent").distinct()
-    offered = known.join(precisions, key).select(key, "decimals", "percent", _scaled(F.col("number"), F.col("decimals"), F.col("percent")).alias("scaled")).distinct()
-    asked = quoted.withColumn("scaled", F.rint(F.col("value") * F.pow(F.lit(10.0), F.col("decimals").cast("double"))))
-    return asked.join(offered, [key, "decimals", "percent", "scaled"], "left_anti").drop("scaled")
+    shown = F.col("number") * F.when(F.col("percent"), F.lit(100.0)).otherwise(F.lit(1.0))
+    offered = known.join(precisions, key).select(key, "decimals", "percent", _as_written(shown, F.col("decimals")).alias("shown")).distinct()
+    asked = quoted.withColumn("shown", _as_written(F.col("value"), F.col("decimals")))
+    return asked.join(offered, [key, "decimals", "percent", "shown"], "left_anti").drop("shown")
 
 
 def grounding_report(df: DataFrame, key: str, text: str, known: DataFrame, known_dates: DataFrame | None = None) -> DataFrame:

@@ -59,7 +59,8 @@ SELECT card_id, policy_version, scenario, {DATE}, action, disposition, rule_id,
          WHEN '2' THEN breach_count || ' feature(s) between PSI ' || psi_breach || ' and 0.25 in their first breaching window, with no prediction drift. Alerting without acting; the persistence rule needs a second window.'
          WHEN '3' THEN array_to_string(persistent, ', ') || ' breached for ' || run || ' consecutive windows. Persistent drift is not a blip.'
          WHEN 'uncovered' THEN breach_count || ' feature(s) breached PSI ' || psi_breach || ' without matching a policy-' || split_part(policy_version, '-', 2) || ' rule. Taking the table''s weakest non-silent action (ALERT_ONLY).'
-         ELSE 'strong' END AS rationale
+         ELSE CASE WHEN coalesce(top >= 0.25, false) THEN worst || ' reached PSI ' || printf('%.4f', top) ELSE 'prediction drift detected' END
+              || '. Confidence ' || printf('%.4f', confidence) || ' is ' || CASE WHEN confidence >= 0.75 THEN 'at or above' ELSE 'below' END || ' the 0.75 auto-proceed threshold.' END AS rationale
 FROM cards""",
     ),
 )
@@ -67,7 +68,7 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = decisions.decide(t.events(spark, sf_dir), decisions.policy_table(spark))
     return cards.select(
         "card_id", "policy_version", "scenario", _date(), "action", "disposition", "rule_id", "confidence", "status",
-        F.when(F.col("rule_id") == "4", F.lit("strong")).otherwise(F.col("rationale")).alias("rationale"),
+        F.regexp_replace("rationale", r" \(PSI [^)]*\)", "").alias("rationale"),
     )
 
 
