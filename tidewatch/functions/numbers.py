@@ -59,9 +59,7 @@ def kolmogorov_p(statistic: Column, reference_rows: Column, current_rows: Column
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)),
         F.lit(0.0),
-        lambda acc, j: acc
-        + F.when(j % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0))
-        * F.exp(F.lit(-2.0) * j.cast("double") * j.cast("double") * lam * lam),
+        lambda acc, j: acc - F.pow(F.lit(-1.0), j) * F.exp(lam * lam * j * j * -2.0) * 2.0,
     )
     return F.when(lam < 0.18, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidewatch.functions.numbers import SHARE_FLOOR, digest_id, kolmogorov_p, psi_term, share
 from tidewatch.operators.ordering import (
@@ -46,21 +47,12 @@ class MonitorSpec:
         return len(self.numeric) + len(self.categorical)
 
 
-def unpivot_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str], kind: str, extra: Mapping[str, str] | None = None) -> DataFrame:
+def unpivot_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str], kind: str, buckets: Mapping[str, str] | None = None) -> DataFrame:
     """(keys, feature, value) for each column, nulls and not-a-numbers left out."""
-    structs = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.col(c).cast(kind).alias("value"),
-            *([F.col(extra[c]).alias(BUCKET)] if extra else []),
-        )
-        for c in columns
-    ]
-    long = df.select(*keys, F.inline(F.array(*structs)))
-    keep = F.col("value").isNotNull()
-    if kind == "double":
-        keep = keep & ~F.isnan("value")
-    return long.where(keep)
+    rows = ", ".join(f"'{c}', CAST(`{c}` AS {kind})" + (f", `{buckets[c]}`" if buckets else "") for c in columns)
+    names = "feature, value" + (f", {BUCKET}" if buckets else "")
+    long = df.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {rows}) AS ({names})")
+    return long.where("value IS NOT NULL AND NOT isnan(value)" if kind == "double" else "value IS NOT NULL")
 
 
 # --- shares and stability index --------------------------------------------------------
@@ -161,7 +153,7 @@ def population_stability(reference: DataFrame, serving: DataFrame, spec: Monitor
 
 # --- numeric drift against one cumulative reference -------------------------------------
 def _numeric(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in features])
+    return df.selectExpr(*[f"`{k}`" for k in keys], *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in features])
 
 
 def numeric_cuts(reference: DataFrame, serving: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
@@ -170,121 +162,111 @@ def numeric_cuts(reference: DataFrame, serving: DataFrame, features: Sequence[st
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str], cuts: Mapping[str, Sequence[float]]) -> DataFrame:
-    """(keys, feature, bucket, value, n): distinct values counted before any ordering."""
-    wide = assign_buckets(_numeric(df, keys, features), {c: (f"__b_{c}", cuts[c]) for c in features})
+    """(keys, feature, bucket, value, n): distinct values counted before any ordering.
+
+    Rows without window keys belong to no window and are left out here, once, so every use of
+    the counts is the same plan and its shuffle is made once.
+    """
+    wide = _numeric(df, keys, features)
+    for k in keys:
+        wide = wide.where(F.col(k).isNotNull())
+    wide = assign_buckets(wide, {c: (f"__b_{c}", cuts[c]) for c in features})
     long = unpivot_values(wide, keys, features, "double", {c: f"__b_{c}" for c in features})
     return long.groupBy(*keys, "feature", BUCKET, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _prior(partition: Sequence[str]) -> Window:
+@dataclass(frozen=True)
+class NumericCounts:
+    """Distinct-value counts of both sides under common cut points: one scan of each side."""
+
+    reference: DataFrame
+    serving: DataFrame
+    keys: tuple[str, ...]
+    cuts: Mapping[str, Sequence[float]]
+
+    @staticmethod
+    def of(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> NumericCounts:
+        cuts = numeric_cuts(reference, serving, features)
+        return NumericCounts(value_counts(reference, [], features, cuts), value_counts(serving, keys, features, cuts), tuple(keys), cuts)
+
+    def no_keys(self) -> list[Column]:
+        kinds = dict(self.serving.dtypes)
+        return [F.lit(None).cast(kinds[k]).alias(k) for k in self.keys]
+
+
+def _prior(partition: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*partition).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def sturges_psi(
-    reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str],
-    cuts: Mapping[str, Sequence[float]] | None = None,
-) -> DataFrame:
-    """Numeric stability index on equal-width bins over each window pooled with the reference.
+# The bin of a value among equal-width bins, settled against the edges lo + i * step themselves.
+_GUESS = "greatest(least(CAST(floor(try_divide(value - lo, step)) AS INT), bins - 1), 0)"
+_DOWN = f"CASE WHEN {_GUESS} > 0 AND value < lo + {_GUESS} * step THEN {_GUESS} - 1 ELSE {_GUESS} END"
+_EQUAL_WIDTH_BIN = f"CASE WHEN {_GUESS} < bins - 1 AND value >= lo + ({_GUESS} + 1) * step THEN {_GUESS} + 1 ELSE {_DOWN} END"
+
+
+def sturges_psi(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Numeric stability index on equal-width bins over each window pooled with the reference."""
+    return sturges_from_counts(NumericCounts.of(reference, serving, keys, features))
+
+
+def sturges_from_counts(counts: NumericCounts) -> DataFrame:
+    """(keys, feature, psi, ref_rows, cur_rows).
 
     The number of bins is ceil(log2(n) + 1) for n pooled rows. Edges differ per window, so
     they join the ordered reference values as rows of weight zero; the running reference
     count at an edge is the number of reference rows below it.
     """
-    cuts = cuts or numeric_cuts(reference, serving, features)
-    keys = list(keys)
-
-    def spread(df: DataFrame, by: Sequence[str], side: str) -> DataFrame:
-        stats = []
-        for c in features:
-            x = F.when(~F.isnan(F.col(c)), F.col(c))
-            stats += [F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}"), F.count(x).alias(f"n_{c}")]
-        rows = _numeric(df, by, features).groupBy(*by).agg(*stats)
-        long = F.array(
-            *[
-                F.struct(F.lit(c).alias("feature"), F.col(f"lo_{c}").alias(f"lo_{side}"), F.col(f"hi_{c}").alias(f"hi_{side}"), F.col(f"n_{c}").alias(f"{side}_rows"))
-                for c in features
-            ]
-        )
-        return rows.select(*by, F.inline(long)).where(f"{side}_rows > 0")
-
-    pooled = spread(serving, keys, "cur").join(F.broadcast(spread(reference, [], "ref")), "feature")  # one row per feature
-    lo, hi = F.least("lo_ref", "lo_cur"), F.greatest("hi_ref", "hi_cur")
-    bins = F.ceil(F.log2((F.col("ref_rows") + F.col("cur_rows")).cast("double")) + 1).cast("int")
-    plan = pooled.select(
-        *keys, "feature", "ref_rows", "cur_rows", lo.alias("lo"), hi.alias("hi"),
-        bins.alias("bins"), ((hi - lo) / bins).alias("step"),
-    )
+    keys, ref, cur = list(counts.keys), counts.reference, counts.serving
+    by = [*keys, "feature"]
+
+    def spread(df: DataFrame, group: Sequence[str], side: str) -> DataFrame:
+        return df.groupBy(*group).agg(F.min("value").alias(f"lo_{side}"), F.max("value").alias(f"hi_{side}"), F.sum("n").alias(f"{side}_rows"))
+
+    pooled = spread(cur, by, "cur").join(F.broadcast(spread(ref, ["feature"], "ref")), "feature")  # one row per feature
+    plan = pooled.selectExpr(
+        *by, "ref_rows", "cur_rows", "least(lo_ref, lo_cur) AS lo", "greatest(hi_ref, hi_cur) AS hi", "CAST(ceil(log2(CAST(ref_rows + cur_rows AS DOUBLE)) + 1) AS INT) AS bins"
+    ).withColumn("step", F.expr("(hi - lo) / bins"))
+    spreading = plan.where("hi > lo")
 
     # Reference rows below each inner edge.
-    edges = plan.where("hi > lo").select(
-        *keys, "feature", F.explode(F.sequence(F.lit(1), F.col("bins") - 1)).alias("edge"), "lo", "step"
-    )
-    edges = edges.select(*keys, "feature", "edge", (F.col("lo") + F.col("edge") * F.col("step")).alias("value"))
-    edges = assign_buckets_long(edges, "feature", "value", {c: cuts[c] for c in features})
-    ref_values = value_counts(reference, [], features, cuts)
-    base = ref_values.groupBy("feature", BUCKET).agg(F.sum("n").alias("n"))
-    empty = [F.lit(None).cast(dict(serving.dtypes)[k]).alias(k) for k in keys]
-    marked = ref_values.select("feature", BUCKET, "value", "n", F.lit(1).alias("__after"), *empty, F.lit(None).cast("int").alias("edge"))
+    edges = spreading.selectExpr(*by, "lo", "step", "explode(sequence(1, bins - 1)) AS edge").selectExpr(*by, "edge", "lo + edge * step AS value")
+    edges = assign_buckets_long(edges, "feature", "value", counts.cuts)
+    marked = ref.select("feature", BUCKET, "value", "n", F.lit(1).alias("__after"), *counts.no_keys(), F.lit(None).cast("int").alias("edge"))
     asked = edges.select("feature", BUCKET, "value", F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("__after"), *keys, "edge")
     inside = Window.partitionBy("feature", BUCKET).orderBy("value", "__after").rowsBetween(Window.unboundedPreceding, 0)
-    looked = marked.unionByName(asked).withColumn("__in", F.sum("n").over(inside)).where("edge is not null")
-    spine = base.select("feature", BUCKET).unionByName(edges.select("feature", BUCKET)).distinct()
-    carried = (
-        spine.join(base, ["feature", BUCKET], "left")
-        .withColumn("__base", F.coalesce(F.sum("n").over(_prior(["feature"])), F.lit(0)))
-        .drop("n")
-    )
-    below = looked.join(carried, ["feature", BUCKET]).select(*keys, "feature", "edge", (F.col("__base") + F.col("__in")).alias("below"))
+    both = marked.unionByName(asked)
+    looked = both.withColumn("__in", F.sum("n").over(inside)).where("edge is not null")
+    bases = both.groupBy("feature", BUCKET).agg(F.sum("n").alias("n"))
+    carried = bases.select("feature", BUCKET, F.coalesce(F.sum("n").over(_prior(["feature"])), F.lit(0)).alias("__base"))
+    below = looked.join(carried, ["feature", BUCKET]).selectExpr(*by, "edge", "__base + __in AS below")
 
     # Bin counts of the reference: differences of the counts below successive edges.
-    last = plan.where("hi > lo").select(*keys, "feature", F.col("bins").alias("edge"), F.col("ref_rows").alias("below"))
-    steps = Window.partitionBy(*keys, "feature").orderBy("edge")
-    ref_bins = below.unionByName(last).select(
-        *keys, "feature", (F.col("edge") - 1).alias("bin"), (F.col("below") - F.coalesce(F.lag("below").over(steps), F.lit(0))).alias("n_ref")
-    )
+    last = spreading.selectExpr(*by, "bins AS edge", "ref_rows AS below")
+    steps = Window.partitionBy(*by).orderBy("edge")
+    ref_bins = below.unionByName(last).select(*by, (F.col("edge") - 1).alias("bin"), (F.col("below") - F.coalesce(F.lag("below").over(steps), F.lit(0))).alias("n_ref"))
+    cur_bins = cur.join(spreading, by).groupBy(*by, F.expr(_EQUAL_WIDTH_BIN).alias("bin")).agg(F.sum("n").alias("n_cur"))
 
-    # Bin counts of each window, settled against the very edges used above.
-    wide_plan = plan.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("feature") == c, F.struct("lo", "hi", "step", "bins"))).alias(f"__p_{c}") for c in features]
-    )
-    joined = _numeric(serving, keys, features).join(wide_plan, keys)
-    placed = joined.select(*keys, *[_equal_width_bin(F.col(c), F.col(f"__p_{c}")).alias(c) for c in features])
-    cur_bins = unpivot_values(placed, keys, features, "int").groupBy(*keys, "feature", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n_cur"))
-
-    compared = ref_bins.join(cur_bins, [*keys, "feature", "bin"], "left").join(plan.select(*keys, "feature", "ref_rows", "cur_rows"), [*keys, "feature"])
+    compared = ref_bins.join(cur_bins, [*by, "bin"], "left").join(plan.select(*by, "ref_rows", "cur_rows"), by)
     term = psi_term(share(F.col("n_ref"), F.col("ref_rows")), share(F.coalesce("n_cur", F.lit(0)), F.col("cur_rows")))
-    measured = compared.groupBy(*keys, "feature").agg(F.sum(term).alias("psi"))
+    measured = compared.groupBy(*by).agg(F.sum(term).alias("psi"))
     # A pooled sample of one value has a single bin on both sides.
-    return plan.select(*keys, "feature", "ref_rows", "cur_rows").join(measured, [*keys, "feature"], "left").na.fill({"psi": 0.0})
+    return plan.select(*by, "ref_rows", "cur_rows").join(measured, by, "left").na.fill({"psi": 0.0})
 
 
-def _equal_width_bin(value: Column, plan: Column) -> Column:
-    lo, step, bins = plan["lo"], plan["step"], plan["bins"]
-    guess = F.greatest(F.least(F.floor(F.try_divide(value - lo, step)).cast("int"), bins - 1), F.lit(0))
-    guess = F.when((guess > 0) & (value < lo + guess * step), guess - 1).otherwise(guess)
-    guess = F.when((guess < bins - 1) & (value >= lo + (guess + 1) * step), guess + 1).otherwise(guess)
-    return F.when(value.isNotNull() & ~F.isnan(value) & (step > 0), guess)
+def ks_test(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov per window: (keys, feature, ks_statistic, ks_p_value)."""
+    return ks_from_counts(NumericCounts.of(reference, serving, keys, features))
 
 
-def ks_test(
-    reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str],
-    cuts: Mapping[str, Sequence[float]] | None = None,
-) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov per window: (keys, feature, ks_statistic, ks_p_value).
-
-    The largest gap lies at, or just before, a value of the window, so the reference's
-    cumulative counts are read at those values only.
-    """
-    cuts = cuts or numeric_cuts(reference, serving, features)
-    keys = list(keys)
-    ref = value_counts(reference, [], features, cuts)
-    cur = value_counts(serving, keys, features, cuts)
-    empty = [F.lit(None).cast(dict(serving.dtypes)[k]).alias(k) for k in keys]
+def ks_from_counts(counts: NumericCounts) -> DataFrame:
+    """The largest gap lies at, or just before, a value of the window, so the reference's
+    cumulative counts are read at those values only."""
+    keys, ref, cur = list(counts.keys), counts.reference, counts.serving
     zero = F.lit(0).cast("bigint")
-    both = ref.select("feature", BUCKET, "value", F.col("n").alias("n_ref"), zero.alias("n_cur"), *empty, F.lit(False).alias("__cur")).unionByName(
+    both = ref.select("feature", BUCKET, "value", F.col("n").alias("n_ref"), zero.alias("n_cur"), *counts.no_keys(), F.lit(False).alias("__cur")).unionByName(
         cur.select("feature", BUCKET, "value", zero.alias("n_ref"), F.col("n").alias("n_cur"), *keys, F.lit(True).alias("__cur"))
     )
-    # Both windows cluster on (feature, bucket): one shuffle serves them.
+    # All windows cluster on (feature, bucket): one shuffle serves them.
     all_rows = Window.partitionBy("feature", BUCKET).orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     at_value = Window.partitionBy("feature", BUCKET, "value")
     own_rows = Window.partitionBy("feature", BUCKET, "__cur", *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -307,16 +289,12 @@ def ks_test(
         F.sum("p").over(Window.partitionBy(*keys, "feature")).alias("cur_rows"),
     )
     placed = stepped.join(ref_base, ["feature", BUCKET]).join(cur_base, [*keys, "feature", BUCKET])
-    ref_upto = F.col("__ref_base") + F.col("__ref_upto")
-    cur_upto = F.col("__cur_base") + F.col("__cur_upto")
-
-    def gap(r: Column, c: Column) -> Column:
-        return F.abs(c.cast("double") / F.col("cur_rows") - r.cast("double") / F.col("ref_rows"))
-
-    worst = F.greatest(gap(ref_upto, cur_upto), gap(ref_upto - F.col("__ref_at"), cur_upto - F.col("n_cur")))
-    found = placed.groupBy(*keys, "feature").agg(
-        F.max(worst).alias("ks_statistic"), F.max("ref_rows").alias("ref_rows"), F.max("cur_rows").alias("cur_rows")
+    placed = placed.selectExpr(
+        *keys, "feature", "ref_rows", "cur_rows", "n_cur", "__ref_at",
+        "CAST(__ref_base + __ref_upto AS DOUBLE) AS r", "CAST(__cur_base + __cur_upto AS DOUBLE) AS c",
     )
+    worst = F.expr("greatest(abs(c / cur_rows - r / ref_rows), abs((c - n_cur) / cur_rows - (r - __ref_at) / ref_rows))")
+    found = placed.groupBy(*keys, "feature").agg(F.max(worst).alias("ks_statistic"), F.max("ref_rows").alias("ref_rows"), F.max("cur_rows").alias("cur_rows"))
     return found.withColumn("ks_p_value", kolmogorov_p(F.col("ks_statistic"), F.col("ref_rows"), F.col("cur_rows")))
 
 
@@ -326,14 +304,13 @@ def feature_drift(reference: DataFrame, serving: DataFrame, spec: MonitorSpec) -
     parts = []
     keys = list(spec.keys)
     if spec.all_numeric:
-        cuts = numeric_cuts(reference, serving, spec.all_numeric)
-        psi = sturges_psi(reference, serving, keys, spec.all_numeric, cuts)
-        if spec.numeric:
-            ks = ks_test(reference, serving, keys, spec.numeric, cuts).select(*keys, "feature", "ks_p_value")
-            psi = psi.join(ks, [*keys, "feature"], "left")
-        else:
-            psi = psi.withColumn("ks_p_value", F.lit(None).cast("double"))
-        parts.append(psi.withColumn("kind", F.lit(NUMERIC)))
+        counts = NumericCounts.of(reference, serving, keys, spec.all_numeric)
+        psi = sturges_from_counts(counts)
+        ks = ks_from_counts(counts).select(*keys, "feature", "ks_p_value")
+        psi = psi.join(ks, [*keys, "feature"], "left").withColumn("kind", F.lit(NUMERIC))
+        if spec.score:
+            psi = psi.withColumn("ks_p_value", F.when(F.col("feature") != spec.score, F.col("ks_p_value")))
+        parts.append(psi)
     if spec.categorical:
         cats = categorical_psi(reference, serving, keys, spec.categorical)
         parts.append(cats.withColumns({"ks_p_value": F.lit(None).cast("double"), "kind": F.lit(CATEGORICAL)}))

@@ -69,11 +69,9 @@ def assign_buckets(df: DataFrame, cuts: Mapping[str, tuple[str, Sequence[float]]
         outputCols=raw,
         handleInvalid="keep",
     )
-    df = cutter.transform(df)
-    for c, name in zip(columns, raw, strict=True):
-        valid = F.col(c).isNotNull() & ~F.isnan(F.col(c))
-        df = df.withColumn(usable[c][0], F.when(valid, F.col(name).cast("int"))).drop(name)
-    return df
+    valid = "CASE WHEN `{0}` IS NOT NULL AND NOT isnan(`{0}`) THEN CAST(`{1}` AS INT) END"
+    cut = {usable[c][0]: F.expr(valid.format(c, name)) for c, name in zip(columns, raw, strict=True)}
+    return cutter.transform(df).withColumns(cut).drop(*raw)
 
 
 def assign_buckets_long(
