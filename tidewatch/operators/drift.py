@@ -8,7 +8,8 @@ numeric windows look their own bin edges up in one cumulative reference distribu
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -205,24 +206,55 @@ _EQUAL_WIDTH_BIN = f"CASE WHEN {_GUESS} < bins - 1 AND value >= lo + ({_GUESS} +
 
 
 def sturges_psi(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Numeric stability index on equal-width bins over each window pooled with the reference."""
-    return sturges_from_counts(NumericCounts.of(reference, serving, keys, features))
+    """Numeric stability index on equal-width bins over each window pooled with the reference.
+
+    Serving rows are binned where they lie: their bounds and bin counts are combined in the map
+    tasks, and only the reference's values are put in order.
+    """
+    cuts = cut_points(_numeric(reference, [], features), list(features))
+    ref = value_counts(reference, [], features, cuts)
+    rows = _numeric(serving, keys, features)
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    clean = {c: F.expr(f"CASE WHEN NOT isnan(`{c}`) THEN `{c}` END") for c in features}
+    rows = rows.withColumns(clean)
+    bounds = rows.groupBy(*keys).agg(*[F.expr(f"struct(min(`{c}`) AS lo_cur, max(`{c}`) AS hi_cur, count(`{c}`) AS cur_rows)").alias(c) for c in features])
+    pieces = ", ".join(f"'{c}', `{c}`.lo_cur, `{c}`.hi_cur, `{c}`.cur_rows" for c in features)
+    spread = bounds.selectExpr(*keys, f"stack({len(features)}, {pieces}) AS (feature, lo_cur, hi_cur, cur_rows)").where("cur_rows > 0")
+
+    def bin_counts(plan: DataFrame) -> DataFrame:
+        # One row per window; broadcast, or skew-split, by its measured size.
+        wide = plan.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN feature = '{c}' THEN struct(lo, step, bins) END)").alias(f"__p_{c}") for c in features])
+        placed = rows.join(wide, list(keys)).selectExpr(*keys, *[f"{_bin_of(c)} AS `{c}`" for c in features])
+        return unpivot_values(placed, keys, features, "int").groupBy(*keys, "feature", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n_cur"))
+
+    return _sturges(NumericCounts(ref, serving.select(*keys), tuple(keys), cuts), spread, bin_counts)
+
+
+def _bin_of(column: str) -> str:
+    """The bin expression over one column and the plan struct carried beside it."""
+    names = {"value": f"`{column}`", **{n: f"`__p_{column}`.{n}" for n in ("lo", "step", "bins")}}
+    return re.sub(r"\b(value|lo|step|bins)\b", lambda m: names[m.group(1)], _EQUAL_WIDTH_BIN)
 
 
 def sturges_from_counts(counts: NumericCounts) -> DataFrame:
+    """The same from distinct-value counts, where those are needed for other tests anyway."""
+    by, cur = [*counts.keys, "feature"], counts.serving
+    spread = cur.groupBy(*by).agg(F.min("value").alias("lo_cur"), F.max("value").alias("hi_cur"), F.sum("n").alias("cur_rows"))
+    return _sturges(counts, spread, lambda plan: cur.join(plan, by).groupBy(*by, F.expr(_EQUAL_WIDTH_BIN).alias("bin")).agg(F.sum("n").alias("n_cur")))
+
+
+def _sturges(counts: NumericCounts, spread: DataFrame, bin_counts: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(keys, feature, psi, ref_rows, cur_rows).
 
     The number of bins is ceil(log2(n) + 1) for n pooled rows. Edges differ per window, so
     they join the ordered reference values as rows of weight zero; the running reference
     count at an edge is the number of reference rows below it.
     """
-    keys, ref, cur = list(counts.keys), counts.reference, counts.serving
+    keys, ref = list(counts.keys), counts.reference
     by = [*keys, "feature"]
-
-    def spread(df: DataFrame, group: Sequence[str], side: str) -> DataFrame:
-        return df.groupBy(*group).agg(F.min("value").alias(f"lo_{side}"), F.max("value").alias(f"hi_{side}"), F.sum("n").alias(f"{side}_rows"))
-
-    pooled = spread(cur, by, "cur").join(F.broadcast(spread(ref, ["feature"], "ref")), "feature")  # one row per feature
+    whole = ref.groupBy("feature").agg(F.min("value").alias("lo_ref"), F.max("value").alias("hi_ref"), F.sum("n").alias("ref_rows"))
+    pooled = spread.join(F.broadcast(whole), "feature")  # one row per feature
     plan = pooled.selectExpr(
         *by, "ref_rows", "cur_rows", "least(lo_ref, lo_cur) AS lo", "greatest(hi_ref, hi_cur) AS hi", "CAST(ceil(log2(CAST(ref_rows + cur_rows AS DOUBLE)) + 1) AS INT) AS bins"
     ).withColumn("step", F.expr("(hi - lo) / bins"))
@@ -244,7 +276,7 @@ def sturges_from_counts(counts: NumericCounts) -> DataFrame:
     last = spreading.selectExpr(*by, "bins AS edge", "ref_rows AS below")
     steps = Window.partitionBy(*by).orderBy("edge")
     ref_bins = below.unionByName(last).select(*by, (F.col("edge") - 1).alias("bin"), (F.col("below") - F.coalesce(F.lag("below").over(steps), F.lit(0))).alias("n_ref"))
-    cur_bins = cur.join(spreading, by).groupBy(*by, F.expr(_EQUAL_WIDTH_BIN).alias("bin")).agg(F.sum("n").alias("n_cur"))
+    cur_bins = bin_counts(spreading)
 
     compared = ref_bins.join(cur_bins, [*by, "bin"], "left").join(plan.select(*by, "ref_rows", "cur_rows"), by)
     term = psi_term(share(F.col("n_ref"), F.col("ref_rows")), share(F.coalesce("n_cur", F.lit(0)), F.col("cur_rows")))

@@ -181,6 +181,35 @@ def positions(
     )
 
 
+def keys_at_ranks(df: DataFrame, order: str, ranks: Mapping[str, Column], *, buckets: int | None = None) -> DataFrame:
+    """One row with, per name, the unique ``order`` key at a 0-based rank, null past the end.
+
+    Ranks are expressions over ``__rows``, the number of rows. Rows are counted per bucket and
+    only the buckets that hold a wanted rank are sorted, so cutting a table by place moves
+    almost none of it.
+    """
+    key = "__order_key"
+    keyed = df.select(order).withColumn(key, sort_key(df, order))
+    keyed = assign_buckets(keyed, {key: (BUCKET, cut_points(keyed, [key], buckets)[key])})
+    every = Window.partitionBy(F.lit(0))
+    earlier = every.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    counted = (
+        keyed.groupBy(BUCKET)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(BUCKET, "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"), F.sum("__n").over(every).alias("__rows"))
+    )
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])
+    inside = (F.col("w.rank") >= F.col("__base")) & (F.col("w.rank") < F.col("__base") + F.col("__n"))
+    targets = counted.select(BUCKET, "__base", F.explode(wanted).alias("w")).where(inside)
+    holding = F.broadcast(  # at most one row per wanted rank
+        targets.groupBy(BUCKET).agg(F.max("__base").alias("__base"), F.collect_list("w").alias("__targets"))
+    )
+    place = F.row_number().over(Window.partitionBy(BUCKET).orderBy(order)) - 1 + F.col("__base")
+    ranked = keyed.join(holding, BUCKET).withColumn("__place", place)
+    hits = ranked.select(order, F.explode(F.filter("__targets", lambda t: t["rank"] == F.col("__place"))).alias("t"))
+    return hits.agg(*[F.max(F.when(F.col("t.name") == name, F.col(order))).alias(name) for name in ranks])
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.numbers import hash_bits, safe_ratio
 from tidewatch.functions.text import MISSING, SOURCE_GROUPS, code_chapter, map_or_default
-from tidewatch.operators.ordering import positions
+from tidewatch.operators.ordering import keys_at_ranks, positions, sample_rows
 from tidewatch.sources.readers import require_columns
 from tidewatch.sources.schemas import MEDICATIONS
 
@@ -124,30 +124,28 @@ def chronological_split(
     unique_key: str | None = None,
     out: str = "split",
 ) -> DataFrame:
-    """Tags contiguous train / eval_frozen / future_stream blocks in key order.
+    """Tags contiguous train / eval_frozen / future_stream blocks in the order of a unique key.
 
-    The cuts are whole-row counts rounded down, taken from the row total in the same plan.
+    The cuts are whole-row counts rounded down. Only the two keys at the cuts are looked up;
+    tagging compares each row with them, so the rows themselves are not shuffled.
     """
     if unique_key is not None and has_repeated_key(df, unique_key):
         raise ValueError(f"split needs one row per {unique_key}")
-    placed = positions(df, order, order, out="__pos")
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__rows")))
-    train_end = F.floor(F.col("__rows") * F.lit(train))
-    eval_end = train_end + F.floor(F.col("__rows") * F.lit(evaluate))
+    first = F.floor(F.col("__rows") * F.lit(train))
+    second = first + F.floor(F.col("__rows") * F.lit(evaluate))
+    cuts = F.broadcast(keys_at_ranks(df, order, {"__first": first, "__second": second}))
     block = (
-        F.when(F.col("__pos") < train_end, F.lit("train"))
-        .when(F.col("__pos") < eval_end, F.lit("eval_frozen"))
-        .otherwise(F.lit("future_stream"))
+        F.when(F.col(order) >= F.col("__second"), F.lit("future_stream"))
+        .when(F.col(order) >= F.col("__first"), F.lit("eval_frozen"))
+        .otherwise(F.lit("train"))
     )
-    return placed.join(total).withColumn(out, block).drop("__pos", "__rows")
+    return df.join(cuts).withColumn(out, block).drop("__first", "__second")
 
 
 def validation_tail(df: DataFrame, order: str, fraction: float = 0.15, out: str = "is_validation") -> DataFrame:
-    """Flags the last ``fraction`` of the rows in key order."""
-    placed = positions(df, order, order, out="__pos")
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__rows")))
-    flag = F.col("__pos") >= F.floor(F.col("__rows") * F.lit(1.0 - fraction))
-    return placed.join(total).withColumn(out, flag).drop("__pos", "__rows")
+    """Flags the last ``fraction`` of the rows in the order of a unique key."""
+    cut = F.broadcast(keys_at_ranks(df, order, {"__cut": F.floor(F.col("__rows") * F.lit(1.0 - fraction))}))
+    return df.join(cut).withColumn(out, F.coalesce(F.col(order) >= F.col("__cut"), F.lit(False))).drop("__cut")
 
 
 def shared_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -208,6 +206,45 @@ def next_window_index(events: DataFrame, scenario: str = "scenario", start: str
     return events.groupBy(scenario).agg((F.max(F.round(offset / seconds)) + 1).cast("bigint").alias("next_index"))
 
 
+def rows_of_windows(df: DataFrame, windows: DataFrame, keys: Sequence[str] = ("scenario", "window_start")) -> DataFrame:
+    """The rows of the named windows: each is found again by its stream and start."""
+    return df.join(windows.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def next_windows(windowed: DataFrame, events: DataFrame, scenario: str = "scenario", index: str = "window_index") -> DataFrame:
+    """The rows of the one window of each stream that comes after those on record."""
+    due = next_window_index(events)
+    joined = windowed.join(due, scenario, "left")
+    return joined.where(F.col(index) == F.coalesce("next_index", F.lit(0))).drop("next_index")
+
+
+def monitoring_reference(df: DataFrame, keys: Sequence[str], score: Callable[[DataFrame], DataFrame], rows: int = 10_000, seed: int | str = 42) -> DataFrame:
+    """The reference of a monitor: an exact repeatable sample, scored once, monitored columns only.
+
+    ``score`` adds the score column to the sampled rows. Persist or store the result; every
+    window is measured against it.
+    """
+    scored = score(sample_rows(df, keys, rows, seed))
+    added = [c for c in scored.columns if c not in df.columns]
+    return monitored_features(scored, keep=added)
+
+
+def value_shares(df: DataFrame, column: str) -> DataFrame:
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    total = F.broadcast(counts.agg(F.sum("rows").alias("__total")))
+    return counts.join(total).select(column, "rows", (F.col("rows").cast("double") / F.col("__total")).alias("share"))
+
+
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """How many keys there are, how many come more than once, and the most copies of one."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.max("n").alias("most"))
+
+
+def filtered_share(df: DataFrame, condition: Column) -> DataFrame:
+    return df.agg(F.avg(F.coalesce(condition, F.lit(False)).cast("double")).alias("share"))
+
+
 def day_windows(df: DataFrame, ts: str, spine: DataFrame, aggregates: Sequence[Column], fill: dict) -> DataFrame:
     """One row per day of ``spine`` (a ``window_date`` column), days without rows included."""
     measured = df.groupBy(F.col(ts).cast("date").alias("window_date")).agg(*aggregates)

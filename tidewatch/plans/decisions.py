@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.operators import backtest, decisions, gate, lifecycle, shadow
+from tidewatch.operators import backtest, decisions, drift, gate, lifecycle, perturb, shadow
+from tidewatch.operators.preparation import row_windows, window_end, window_start
 from tidewatch.operators.quality import metric_deltas
 from tidewatch.plans import check_sql as c
 from tidewatch.plans import tables as t
+from tidewatch.plans.preparation import uniform_sql
 from tidewatch.plans.registry import query
 
 DATE = "strftime(w, '%Y-%m-%d') AS window_date"
@@ -414,3 +416,67 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def false_trigger_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.false_trigger_rate(t.cards(spark, sf_dir), "view")
+
+
+# --- back-test end to end -----------------------------------------------------------------------
+BLOCK = 500
+_PERTURBED = f"""
+strm AS (
+  SELECT event_id, CAST(ts AS DATE) AS w, value, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k, CAST(hour(ts) AS BIGINT) AS hour,
+         CAST(user_id % 10 AS VARCHAR) AS ub, least(value, 500::DOUBLE) / 500::DOUBLE AS score FROM events),
+ref AS (SELECT * FROM strm WHERE w < DATE '2024-01-11'),
+base AS (
+  SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () AS total, CASE WHEN ub IN ('7', '8', '9') THEN 4 ELSE 1 END AS wt
+  FROM strm WHERE w >= DATE '2024-01-11'),
+summed AS (SELECT *, sum(wt) OVER (ORDER BY event_id) AS upto, sum(wt) OVER () AS weight FROM base),
+spread AS (
+  SELECT *, CAST(floor((upto - wt)::DOUBLE / weight::DOUBLE * total + 0.5::DOUBLE) AS BIGINT) AS a, CAST(floor(upto::DOUBLE / weight::DOUBLE * total + 0.5::DOUBLE) AS BIGINT) AS b FROM summed),
+placed AS (
+  SELECT 'S1' AS scenario, pos, total, value, CAST(greatest(round_even(k * 1.2::DOUBLE + sqrt(-2::DOUBLE * ln({uniform_sql('event_id', '42-k-a')})) * cos(6.283185307179586::DOUBLE * ({uniform_sql('event_id', '42-k-b')})), 0), (SELECT min(k) FROM base)) AS BIGINT) AS k, hour, ub, score FROM base
+  UNION ALL SELECT 'S3', u.p, total, value, k, hour, ub, score FROM spread, unnest(range(a, b)) AS u(p)
+  UNION ALL SELECT 'S5', pos, total, value, k, hour, ub, score FROM base),
+cur AS (SELECT scenario, CAST(DATE '2026-01-01' + CAST(pos // {BLOCK} AS INTEGER) AS DATE) AS w, value, k, hour, ub, score FROM placed WHERE (pos // {BLOCK} + 1) * {BLOCK} <= total)
+"""
+
+
+@query(
+    "backtest_end_to_end",
+    c.with_(
+        c.CARDS.replace(c.STREAM.strip(), _PERTURBED.strip()), recursive=True,
+        select="""
+SELECT policy_version, scenario, count(*) AS windows, round(avg(CAST(breaching_feature_count > 0 OR prediction_drift AS INTEGER)), 4) AS monitor_breach_rate,
+       round(avg(CAST(action <> 'NO_OP' AS INTEGER)), 4) AS acting_card_rate, min(date_diff('day', DATE '2026-01-01', w)) FILTER (action <> 'NO_OP') AS detection_latency_windows,
+       array_to_string(list_sort(list(DISTINCT action)), ',') AS actions, array_to_string(list_sort(list(DISTINCT disposition)), ',') AS dispositions,
+       round(min(confidence), 4) AS confidence_min, round(max(confidence), 4) AS confidence_max
+FROM cards GROUP BY policy_version, scenario""",
+    ),
+)
+def backtest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perturb the serving stream three ways, cut it into blocks, measure, decide, summarise."""
+    reference, serving = t.split_stream(t.stream(spark, sf_dir))
+    base = serving.select("event_id", "value", "k", "hour", "ub", "score")
+    streams = backtest.perturbed_streams(
+        base,
+        {
+            "S1": lambda df: perturb.scale_jitter(df, ["event_id"], ["k"], portable=True),
+            "S3": lambda df: perturb.weighted_resample(df, "event_id", F.when(F.col("ub").isin("7", "8", "9"), 4).otherwise(1)),
+            "S5": perturb.unchanged,
+        },
+    )
+    # Written before it is measured: the perturbed streams are read by several aggregations.
+    windows = t.written_once(spark, sf_dir, "perturbed_windows", lambda: row_windows(streams, "event_id", "event_id", BLOCK, groups=["scenario"]))
+    spec = drift.MonitorSpec(("scenario", "window_index"), ("value", "k", "hour"), ("ub",), "score")
+    index = F.col("window_index")
+    events = drift.window_events(reference, windows, spec, scenario="scenario", window_start=window_start(index), window_end=window_end(index), window_number=index)
+    events = t.written_once(spark, sf_dir, "backtest_events", lambda: events)
+    cards = decisions.decide(events, decisions.policy_table(spark))
+    counted = events.select(F.col("event_id").alias("drift_event_id"), F.col("breaching_feature_count").alias("breaching_features"))
+    rows = cards.join(counted, "drift_event_id").withColumns(
+        {
+            "window_index": F.datediff(F.col("window_start").cast("date"), F.lit("2026-01-01").cast("date")).cast("bigint"),
+            "gate_retrained": F.lit(None).cast("string"),
+            "gate_bad": F.lit(None).cast("string"),
+        }
+    )
+    summary = backtest.summarise(rows)
+    return summary.drop("gated_cards", "retrained_pass", "retrained_block", "bad_challenger_block")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.operators import drift
-from tidewatch.operators.preparation import day_windows, row_windows, window_start
+from tidewatch.operators.ordering import running_totals
+from tidewatch.operators.preparation import day_windows, next_window_index, next_windows, row_windows, rows_of_windows, window_start
 from tidewatch.plans import check_sql as c
 from tidewatch.plans import tables as t
 from tidewatch.plans.registry import query
@@ -223,10 +224,56 @@ def calibrate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def breach_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest streak of breaching windows of each stream's features."""
+    """Longest streak of breaching windows of each stream's features.
+
+    Windows and breaches are numbered by running totals; within a streak both grow together.
+    """
     stats = t.events(spark, sf_dir).select("scenario", "window_start", F.inline("feature_stats"))
-    by_time = Window.partitionBy("scenario", "feature").orderBy("window_start")
-    by_hit = Window.partitionBy("scenario", "feature", "breaching").orderBy("window_start")
-    islands = stats.withColumn("island", F.row_number().over(by_time) - F.row_number().over(by_hit)).where("breaching")
-    runs = islands.groupBy("scenario", "feature", "island").agg(F.count(F.lit(1)).alias("len"))
+    marked = stats.select("scenario", "feature", "window_start", F.lit(1).alias("seen"), F.col("breaching").cast("int").alias("hit"))
+    numbered = running_totals(marked, ["scenario", "feature"], "window_start", ["seen", "hit"]).where("hit = 1")
+    runs = numbered.groupBy("scenario", "feature", (F.col("seen_upto") - F.col("hit_upto")).alias("island")).agg(F.count(F.lit(1)).alias("len"))
     return runs.groupBy("scenario", "feature").agg(F.max("len").alias("longest_run"), F.sum("len").alias("breaching_windows"))
+
+
+@query("monitored_streams", c.with_(c.STREAM, select="SELECT scenario, count(DISTINCT w) AS windows FROM cur GROUP BY ALL"))
+def monitored_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.events(spark, sf_dir).groupBy("scenario").agg(F.count(F.lit(1)).alias("windows")).orderBy("scenario")
+
+
+@query(
+    "next_window_index",
+    c.with_(c.STREAM, select="SELECT scenario, CAST(date_diff('day', DATE '2024-01-11', max(w)) + 1 AS BIGINT) AS next_index FROM cur GROUP BY ALL"),
+)
+def next_window_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_window_index(t.events(spark, sf_dir), epoch="2024-01-11 00:00:00")
+
+
+@query(
+    "next_window_on_demand",
+    c.with_(
+        c.STREAM,
+        "placed AS (SELECT scenario, value, (row_number() OVER (PARTITION BY scenario ORDER BY ts, event_id) - 1) // 50 AS i, count(*) OVER (PARTITION BY scenario) AS total FROM cur)",
+        "done AS (SELECT scenario, CAST(count(DISTINCT w) // 5 AS BIGINT) AS next_index FROM cur GROUP BY ALL)",
+        select="SELECT scenario, CAST(i AS BIGINT) AS window_index, count(*) AS rows, round(sum(value), 4) AS total FROM placed JOIN done USING (scenario) WHERE (i + 1) * 50 <= total AND i = next_index GROUP BY ALL",
+    ),
+)
+def next_window_on_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first block of each stream that the record, here a fifth of the days, does not cover."""
+    _, serving = t.split_stream(t.stream(spark, sf_dir))
+    blocks = row_windows(serving.select("scenario", "ts", "event_id", "value"), "ts", "event_id", 50, groups=["scenario"])
+    days = t.events(spark, sf_dir).groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
+    on_record = days.where("n >= 5").select("scenario", window_start(F.floor(F.col("n") / 5) - 1).alias("window_start"))
+    due = next_windows(blocks, on_record)
+    return due.groupBy("scenario", "window_index").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "rows_of_windows",
+    c.with_(c.EVENTS, select="SELECT scenario, count(*) AS rows, round(sum(value), 4) AS total FROM cur JOIN (SELECT scenario, w FROM dev WHERE prediction_drift) USING (scenario, w) GROUP BY ALL"),
+)
+def rows_of_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows of the windows whose score distribution moved."""
+    _, serving = t.split_stream(t.stream(spark, sf_dir).select("scenario", "w", "value"))
+    drifting = t.events(spark, sf_dir).where("prediction_drift").select("scenario", F.col("window_start").cast("date").alias("w"))
+    found = rows_of_windows(serving, drifting, ["scenario", "w"])
+    return found.groupBy("scenario").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))

@@ -144,8 +144,7 @@ def dedup_first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT count(*) AS keys, count(*) FILTER (n > 1) AS repeated, CAST(max(n) AS BIGINT) AS most FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)",
 )
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = t.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.max("n").alias("most"))
+    return preparation.repeated_keys(t.table(spark, sf_dir, "orders"), "o_custkey")
 
 
 @query(
@@ -153,9 +152,14 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT o_orderpriority, count(*) AS rows, round(count(*) / (SELECT count(*) FROM orders)::DOUBLE, 6) AS share FROM orders GROUP BY ALL",
 )
 def value_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = t.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("rows"))
-    total = F.broadcast(counts.agg(F.sum("rows").alias("total")))
-    return counts.join(total).select("o_orderpriority", "rows", F.round(F.col("rows").cast("double") / F.col("total"), 6).alias("share"))
+    shares = preparation.value_shares(t.table(spark, sf_dir, "orders"), "o_orderpriority")
+    return shares.withColumn("share", F.round("share", 6))
+
+
+@query("filtered_share", "SELECT round(avg(CAST(o_orderstatus IN ('F', 'O') AS INTEGER)), 6) AS share FROM orders")
+def filtered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = preparation.filtered_share(t.table(spark, sf_dir, "orders"), F.col("o_orderstatus").isin("F", "O"))
+    return shares.select(F.round("share", 6).alias("share"))
 
 
 SPLIT = """
@@ -188,17 +192,17 @@ def validation_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.validation_tail(o, "o_orderkey").groupBy("is_validation").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first_key"))
 
 
-def _bits(key: str, seed: str) -> str:
+def bits_sql(key: str, seed: str) -> str:
     return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 12) AS BIGINT)"
 
 
-def _uniform(key: str, seed: str) -> str:
-    return f"(({_bits(key, seed)})::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE"
+def uniform_sql(key: str, seed: str) -> str:
+    return f"(({bits_sql(key, seed)})::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE"
 
 
 @query(
     "grouped_holdout",
-    f"""WITH o AS (SELECT *, {_bits('o_custkey', '42')} % 100 < 20 AS is_test FROM orders)
+    f"""WITH o AS (SELECT *, {bits_sql('o_custkey', '42')} % 100 < 20 AS is_test FROM orders)
 SELECT is_test, count(DISTINCT o_custkey) AS customers, count(*) AS orders, false AS torn FROM o GROUP BY is_test""",
 )
 def grouped_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +288,7 @@ def payload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- samples and perturbations --------------------------------------------------------------
 @query(
     "hash_sample",
-    f"SELECT event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (ORDER BY {_bits('event_id', '42')}, event_id) <= 1000",
+    f"SELECT event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (ORDER BY {bits_sql('event_id', '42')}, event_id) <= 1000",
 )
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = t.table(spark, sf_dir, "events").select("event_id", "event_type", F.round("value", 6).alias("value"))
@@ -295,7 +299,7 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     "hash_fill_nulls",
     f"""
 WITH e AS (SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS result FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY result IS NULL ORDER BY {_bits('event_id', '42-rows')}, event_id) AS rn, count(*) OVER (PARTITION BY result IS NULL) AS n, {_uniform('event_id', '42-values')} AS u FROM e)
+r AS (SELECT *, row_number() OVER (PARTITION BY result IS NULL ORDER BY {bits_sql('event_id', '42-rows')}, event_id) AS rn, count(*) OVER (PARTITION BY result IS NULL) AS n, {uniform_sql('event_id', '42-values')} AS u FROM e)
 SELECT coalesce(result, CASE WHEN rn <= round_even(n * 0.4::DOUBLE, 0) THEN CASE WHEN u < 0.25 THEN '>7' WHEN u < 0.25 + 0.2 THEN '>8' ELSE 'Norm' END END) AS result,
        count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS ids FROM r GROUP BY ALL""",
 )
@@ -323,7 +327,7 @@ def weighted_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "label_noise",
     f"""
-WITH r AS (SELECT *, row_number() OVER (ORDER BY {_bits('doc_id', '42-rows')}, doc_id) AS rn, count(*) OVER () AS n, avg(quality) OVER () AS rate, {_uniform('doc_id', '42-labels')} AS u FROM labels)
+WITH r AS (SELECT *, row_number() OVER (ORDER BY {bits_sql('doc_id', '42-rows')}, doc_id) AS rn, count(*) OVER () AS n, avg(quality) OVER () AS rate, {uniform_sql('doc_id', '42-labels')} AS u FROM labels)
 SELECT doc_id, CASE WHEN rn <= round_even(n * 0.3::DOUBLE, 0) THEN CASE WHEN u < rate THEN 1 ELSE 0 END ELSE quality END::BIGINT AS quality FROM r""",
 )
 def label_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +339,7 @@ def label_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     "scale_jitter",
     f"""
 WITH e AS (SELECT event_id, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)
-SELECT event_id, CAST(greatest(round_even(k * 1.2::DOUBLE + sqrt(-2::DOUBLE * ln({_uniform('event_id', '42-k-a')})) * cos(6.283185307179586::DOUBLE * ({_uniform('event_id', '42-k-b')})), 0), (SELECT min(k) FROM e)) AS BIGINT) AS k FROM e""",
+SELECT event_id, CAST(greatest(round_even(k * 1.2::DOUBLE + sqrt(-2::DOUBLE * ln({uniform_sql('event_id', '42-k-a')})) * cos(6.283185307179586::DOUBLE * ({uniform_sql('event_id', '42-k-b')})), 0), (SELECT min(k) FROM e)) AS BIGINT) AS k FROM e""",
 )
 def scale_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

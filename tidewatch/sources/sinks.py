@@ -52,6 +52,15 @@ def append_once(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[
     append(unwritten(new, stored, keys, order), path)
 
 
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """A micro-batch in a folder of its own: written again it replaces itself.
+
+    Nothing on record is read, so the cost of a batch does not grow with the history. The
+    folder reads back as one table with a ``batch_id`` column.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
 def split_decisions(new: DataFrame, stored: DataFrame, keys: Sequence[str] = APPROVAL_KEY) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused): a second human decision on a subject is refused, never merged.
 

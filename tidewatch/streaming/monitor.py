@@ -91,7 +91,7 @@ def close_open_windows(rows: DataFrame, reference: DataFrame, ts: str, cuts: Map
 
 def start_scoring(
     requests: DataFrame, score: Callable[[DataFrame], DataFrame], shadow: Callable[[DataFrame], DataFrame], *, audit_path: str, shadow_path: str, checkpoint: str,
-    key: str = "request_id", trigger: Mapping | None = None,
+    trigger: Mapping | None = None,
 ) -> StreamingQuery:
     """Scores each request with two models; a request the shadow fails on stays as a row.
 
@@ -102,9 +102,9 @@ def start_scoring(
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         served = score(batch).withColumn("status", F.when(F.col("score").isNull(), F.lit("error")).otherwise(F.lit("success")))
-        sinks.append_once(served, audit_path, (key,))
+        sinks.write_batch(served, audit_path, batch_id)
         doubled = shadow(batch).withColumn("status", F.when(F.col("score").isNull(), F.lit("shadow_failed")).otherwise(F.lit("scored")))
-        sinks.append_once(doubled, shadow_path, (key,))
+        sinks.write_batch(doubled, shadow_path, batch_id)
         batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
