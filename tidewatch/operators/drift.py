@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -162,37 +162,28 @@ def numeric_cuts(reference: DataFrame, serving: DataFrame, features: Sequence[st
     return cut_points(both, list(features))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str], cuts: Mapping[str, Sequence[float]]) -> DataFrame:
-    """(keys, feature, bucket, value, n): distinct values counted before any ordering.
-
-    Rows without window keys belong to no window and are left out here, once, so every use of
-    the counts is the same plan and its shuffle is made once.
-    """
+def bucketed_values(df: DataFrame, keys: Sequence[str], features: Sequence[str], cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(keys, feature, bucket, value) of every usable number; rows without keys are in no window."""
     wide = _numeric(df, keys, features)
     for k in keys:
         wide = wide.where(F.col(k).isNotNull())
     wide = assign_buckets(wide, {c: (f"__b_{c}", cuts[c]) for c in features})
-    long = unpivot_values(wide, keys, features, "double", {c: f"__b_{c}" for c in features})
-    return long.groupBy(*keys, "feature", BUCKET, "value").agg(F.count(F.lit(1)).alias("n"))
+    return unpivot_values(wide, keys, features, "double", {c: f"__b_{c}" for c in features})
 
 
-@dataclass(frozen=True)
-class NumericCounts:
-    """Distinct-value counts of both sides under common cut points: one scan of each side."""
+def value_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str], cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(keys, feature, bucket, value, n): distinct values counted before any ordering."""
+    return bucketed_values(df, keys, features, cuts).groupBy(*keys, "feature", BUCKET, "value").agg(F.count(F.lit(1)).alias("n"))
 
-    reference: DataFrame
-    serving: DataFrame
-    keys: tuple[str, ...]
-    cuts: Mapping[str, Sequence[float]]
 
-    @staticmethod
-    def of(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> NumericCounts:
-        cuts = numeric_cuts(reference, serving, features)
-        return NumericCounts(value_counts(reference, [], features, cuts), value_counts(serving, keys, features, cuts), tuple(keys), cuts)
+def bucket_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str], cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(keys, feature, bucket, n), combined in the map tasks and small after the shuffle."""
+    return bucketed_values(df, keys, features, cuts).groupBy(*keys, "feature", BUCKET).agg(F.count(F.lit(1)).alias("n"))
 
-    def no_keys(self) -> list[Column]:
-        kinds = dict(self.serving.dtypes)
-        return [F.lit(None).cast(kinds[k]).alias(k) for k in self.keys]
+
+def _no_keys(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    kinds = dict(df.dtypes)
+    return [F.lit(None).cast(kinds[k]).alias(k) for k in keys]
 
 
 def _prior(partition: Sequence[str]) -> WindowSpec:
@@ -205,56 +196,32 @@ _DOWN = f"CASE WHEN {_GUESS} > 0 AND value < lo + {_GUESS} * step THEN {_GUESS}
 _EQUAL_WIDTH_BIN = f"CASE WHEN {_GUESS} < bins - 1 AND value >= lo + ({_GUESS} + 1) * step THEN {_GUESS} + 1 ELSE {_DOWN} END"
 
 
-def sturges_psi(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Numeric stability index on equal-width bins over each window pooled with the reference.
+def sturges_psi(
+    reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str], cuts: Mapping[str, Sequence[float]] | None = None
+) -> DataFrame:
+    """Numeric stability index on equal-width bins: (keys, feature, psi, ref_rows, cur_rows).
 
-    Serving rows are binned where they lie: their bounds and bin counts are combined in the map
-    tasks, and only the reference's values are put in order.
+    Each window is pooled with the reference; the number of bins is ceil(log2(n) + 1) for n
+    pooled rows. Serving rows are binned where they lie, so only bounds and bin counts are
+    shuffled. Edges differ per window, so they join the ordered reference values as rows of
+    weight zero: the running reference count at an edge is the number of rows below it.
     """
-    cuts = cut_points(_numeric(reference, [], features), list(features))
+    keys, by = list(keys), [*keys, "feature"]
+    cuts = cuts or cut_points(_numeric(reference, [], features), list(features))
     ref = value_counts(reference, [], features, cuts)
+
     rows = _numeric(serving, keys, features)
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    clean = {c: F.expr(f"CASE WHEN NOT isnan(`{c}`) THEN `{c}` END") for c in features}
-    rows = rows.withColumns(clean)
-    bounds = rows.groupBy(*keys).agg(*[F.expr(f"struct(min(`{c}`) AS lo_cur, max(`{c}`) AS hi_cur, count(`{c}`) AS cur_rows)").alias(c) for c in features])
-    pieces = ", ".join(f"'{c}', `{c}`.lo_cur, `{c}`.hi_cur, `{c}`.cur_rows" for c in features)
-    spread = bounds.selectExpr(*keys, f"stack({len(features)}, {pieces}) AS (feature, lo_cur, hi_cur, cur_rows)").where("cur_rows > 0")
-
-    def bin_counts(plan: DataFrame) -> DataFrame:
-        # One row per window; broadcast, or skew-split, by its measured size.
-        wide = plan.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN feature = '{c}' THEN struct(lo, step, bins) END)").alias(f"__p_{c}") for c in features])
-        placed = rows.join(wide, list(keys)).selectExpr(*keys, *[f"{_bin_of(c)} AS `{c}`" for c in features])
-        return unpivot_values(placed, keys, features, "int").groupBy(*keys, "feature", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n_cur"))
-
-    return _sturges(NumericCounts(ref, serving.select(*keys), tuple(keys), cuts), spread, bin_counts)
-
-
-def _bin_of(column: str) -> str:
-    """The bin expression over one column and the plan struct carried beside it."""
-    names = {"value": f"`{column}`", **{n: f"`__p_{column}`.{n}" for n in ("lo", "step", "bins")}}
-    return re.sub(r"\b(value|lo|step|bins)\b", lambda m: names[m.group(1)], _EQUAL_WIDTH_BIN)
-
+    rows = rows.withColumns({c: F.expr(f"CASE WHEN NOT isnan(`{c}`) THEN `{c}` END") for c in features})
 
-def sturges_from_counts(counts: NumericCounts) -> DataFrame:
-    """The same from distinct-value counts, where those are needed for other tests anyway."""
-    by, cur = [*counts.keys, "feature"], counts.serving
-    spread = cur.groupBy(*by).agg(F.min("value").alias("lo_cur"), F.max("value").alias("hi_cur"), F.sum("n").alias("cur_rows"))
-    return _sturges(counts, spread, lambda plan: cur.join(plan, by).groupBy(*by, F.expr(_EQUAL_WIDTH_BIN).alias("bin")).agg(F.sum("n").alias("n_cur")))
+    def bounds(df: DataFrame, group: Sequence[str], side: str) -> DataFrame:
+        found = df.groupBy(*group).agg(*[F.expr(f"struct(min(`{c}`) AS lo, max(`{c}`) AS hi, count(`{c}`) AS n)").alias(c) for c in features])
+        pieces = ", ".join(f"'{c}', `{c}`.lo, `{c}`.hi, `{c}`.n" for c in features)
+        return found.selectExpr(*group, f"stack({len(features)}, {pieces}) AS (feature, lo_{side}, hi_{side}, {side}_rows)").where(f"{side}_rows > 0")
 
-
-def _sturges(counts: NumericCounts, spread: DataFrame, bin_counts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(keys, feature, psi, ref_rows, cur_rows).
-
-    The number of bins is ceil(log2(n) + 1) for n pooled rows. Edges differ per window, so
-    they join the ordered reference values as rows of weight zero; the running reference
-    count at an edge is the number of reference rows below it.
-    """
-    keys, ref = list(counts.keys), counts.reference
-    by = [*keys, "feature"]
-    whole = ref.groupBy("feature").agg(F.min("value").alias("lo_ref"), F.max("value").alias("hi_ref"), F.sum("n").alias("ref_rows"))
-    pooled = spread.join(F.broadcast(whole), "feature")  # one row per feature
+    clean = _numeric(reference, [], features).withColumns({c: F.expr(f"CASE WHEN NOT isnan(`{c}`) THEN `{c}` END") for c in features})
+    pooled = bounds(rows, keys, "cur").join(F.broadcast(bounds(clean, [], "ref")), "feature")  # one row per feature
     plan = pooled.selectExpr(
         *by, "ref_rows", "cur_rows", "least(lo_ref, lo_cur) AS lo", "greatest(hi_ref, hi_cur) AS hi", "CAST(ceil(log2(CAST(ref_rows + cur_rows AS DOUBLE)) + 1) AS INT) AS bins"
     ).withColumn("step", F.expr("(hi - lo) / bins"))
@@ -262,21 +229,24 @@ def _sturges(counts: NumericCounts, spread: DataFrame, bin_counts: Callable[[Dat
 
     # Reference rows below each inner edge.
     edges = spreading.selectExpr(*by, "lo", "step", "explode(sequence(1, bins - 1)) AS edge").selectExpr(*by, "edge", "lo + edge * step AS value")
-    edges = assign_buckets_long(edges, "feature", "value", counts.cuts)
-    marked = ref.select("feature", BUCKET, "value", "n", F.lit(1).alias("__after"), *counts.no_keys(), F.lit(None).cast("int").alias("edge"))
+    edges = assign_buckets_long(edges, "feature", "value", cuts)
+    marked = ref.select("feature", BUCKET, "value", "n", F.lit(1).alias("__after"), *_no_keys(serving, keys), F.lit(None).cast("int").alias("edge"))
     asked = edges.select("feature", BUCKET, "value", F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("__after"), *keys, "edge")
     inside = Window.partitionBy("feature", BUCKET).orderBy("value", "__after").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(asked)
-    looked = both.withColumn("__in", F.sum("n").over(inside)).where("edge is not null")
-    bases = both.groupBy("feature", BUCKET).agg(F.sum("n").alias("n"))
-    carried = bases.select("feature", BUCKET, F.coalesce(F.sum("n").over(_prior(["feature"])), F.lit(0)).alias("__base"))
+    looked = marked.unionByName(asked).withColumn("__in", F.sum("n").over(inside)).where("edge is not null")
+    per_bucket = bucket_counts(reference, [], features, cuts).unionByName(asked.select("feature", BUCKET, "n")).groupBy("feature", BUCKET).agg(F.sum("n").alias("n"))
+    carried = per_bucket.select("feature", BUCKET, F.coalesce(F.sum("n").over(_prior(["feature"])), F.lit(0)).alias("__base"))
     below = looked.join(carried, ["feature", BUCKET]).selectExpr(*by, "edge", "__base + __in AS below")
 
     # Bin counts of the reference: differences of the counts below successive edges.
     last = spreading.selectExpr(*by, "bins AS edge", "ref_rows AS below")
     steps = Window.partitionBy(*by).orderBy("edge")
     ref_bins = below.unionByName(last).select(*by, (F.col("edge") - 1).alias("bin"), (F.col("below") - F.coalesce(F.lag("below").over(steps), F.lit(0))).alias("n_ref"))
-    cur_bins = bin_counts(spreading)
+
+    # Bin counts of each window. Plans are one row per window: broadcast, or skew-split, by measured size.
+    wide = spreading.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN feature = '{c}' THEN struct(lo, step, bins) END)").alias(f"__p_{c}") for c in features])
+    placed = rows.join(wide, keys).selectExpr(*keys, *[f"{_bin_of(c)} AS `{c}`" for c in features])
+    cur_bins = unpivot_values(placed, keys, features, "int").groupBy(*by, F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n_cur"))
 
     compared = ref_bins.join(cur_bins, [*by, "bin"], "left").join(plan.select(*by, "ref_rows", "cur_rows"), by)
     term = psi_term(share(F.col("n_ref"), F.col("ref_rows")), share(F.coalesce("n_cur", F.lit(0)), F.col("cur_rows")))
@@ -285,17 +255,26 @@ def _sturges(counts: NumericCounts, spread: DataFrame, bin_counts: Callable[[Dat
     return plan.select(*by, "ref_rows", "cur_rows").join(measured, by, "left").na.fill({"psi": 0.0})
 
 
-def ks_test(reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov per window: (keys, feature, ks_statistic, ks_p_value)."""
-    return ks_from_counts(NumericCounts.of(reference, serving, keys, features))
+def _bin_of(column: str) -> str:
+    """The bin expression over one column and the plan struct carried beside it."""
+    names = {"value": f"`{column}`", **{n: f"`__p_{column}`.{n}" for n in ("lo", "step", "bins")}}
+    return re.sub(r"\b(value|lo|step|bins)\b", lambda m: names[m.group(1)], _EQUAL_WIDTH_BIN)
 
 
-def ks_from_counts(counts: NumericCounts) -> DataFrame:
-    """The largest gap lies at, or just before, a value of the window, so the reference's
-    cumulative counts are read at those values only."""
-    keys, ref, cur = list(counts.keys), counts.reference, counts.serving
+def ks_test(
+    reference: DataFrame, serving: DataFrame, keys: Sequence[str], features: Sequence[str], cuts: Mapping[str, Sequence[float]] | None = None
+) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov per window: (keys, feature, ks_statistic, ks_p_value).
+
+    The largest gap lies at, or just before, a value of the window, so the reference's
+    cumulative counts are read at those values only. Distinct values are shuffled once for both
+    sides; what lies below a bucket comes from counts per bucket, which are small.
+    """
+    keys = list(keys)
+    cuts = cuts or numeric_cuts(reference, serving, features)
+    ref, cur = value_counts(reference, [], features, cuts), value_counts(serving, keys, features, cuts)
     zero = F.lit(0).cast("bigint")
-    both = ref.select("feature", BUCKET, "value", F.col("n").alias("n_ref"), zero.alias("n_cur"), *counts.no_keys(), F.lit(False).alias("__cur")).unionByName(
+    both = ref.select("feature", BUCKET, "value", F.col("n").alias("n_ref"), zero.alias("n_cur"), *_no_keys(serving, keys), F.lit(False).alias("__cur")).unionByName(
         cur.select("feature", BUCKET, "value", zero.alias("n_ref"), F.col("n").alias("n_cur"), *keys, F.lit(True).alias("__cur"))
     )
     # All windows cluster on (feature, bucket): one shuffle serves them.
@@ -308,17 +287,15 @@ def ks_from_counts(counts: NumericCounts) -> DataFrame:
         F.sum("n_ref").over(at_value).alias("__ref_at"),
         F.sum("n_cur").over(own_rows).alias("__cur_upto"),
     ).where("__cur")
-    parts = both.groupBy("feature", BUCKET).agg(F.sum("n_ref").alias("p"))
-    ref_base = parts.select(
-        "feature", BUCKET,
-        F.coalesce(F.sum("p").over(_prior(["feature"])), zero).alias("__ref_base"),
-        F.sum("p").over(Window.partitionBy("feature")).alias("ref_rows"),
+    cur_parts = bucket_counts(serving, keys, features, cuts)
+    ref_parts = bucket_counts(reference, [], features, cuts).unionByName(cur_parts.select("feature", BUCKET, zero.alias("n"))).groupBy("feature", BUCKET).agg(F.sum("n").alias("n"))
+    ref_base = ref_parts.select(
+        "feature", BUCKET, F.coalesce(F.sum("n").over(_prior(["feature"])), zero).alias("__ref_base"), F.sum("n").over(Window.partitionBy("feature")).alias("ref_rows")
     )
-    cur_parts = cur.groupBy(*keys, "feature", BUCKET).agg(F.sum("n").alias("p"))
     cur_base = cur_parts.select(
         *keys, "feature", BUCKET,
-        F.coalesce(F.sum("p").over(_prior([*keys, "feature"])), zero).alias("__cur_base"),
-        F.sum("p").over(Window.partitionBy(*keys, "feature")).alias("cur_rows"),
+        F.coalesce(F.sum("n").over(_prior([*keys, "feature"])), zero).alias("__cur_base"),
+        F.sum("n").over(Window.partitionBy(*keys, "feature")).alias("cur_rows"),
     )
     placed = stepped.join(ref_base, ["feature", BUCKET]).join(cur_base, [*keys, "feature", BUCKET])
     placed = placed.selectExpr(
@@ -336,12 +313,13 @@ def feature_drift(reference: DataFrame, serving: DataFrame, spec: MonitorSpec) -
     parts = []
     keys = list(spec.keys)
     if spec.all_numeric:
-        counts = NumericCounts.of(reference, serving, keys, spec.all_numeric)
-        psi = sturges_from_counts(counts)
-        ks = ks_from_counts(counts).select(*keys, "feature", "ks_p_value")
-        psi = psi.join(ks, [*keys, "feature"], "left").withColumn("kind", F.lit(NUMERIC))
-        if spec.score:
-            psi = psi.withColumn("ks_p_value", F.when(F.col("feature") != spec.score, F.col("ks_p_value")))
+        cuts = numeric_cuts(reference, serving, spec.all_numeric)
+        psi = sturges_psi(reference, serving, keys, spec.all_numeric, cuts).withColumn("kind", F.lit(NUMERIC))
+        if spec.numeric:
+            ks = ks_test(reference, serving, keys, spec.numeric, cuts).select(*keys, "feature", "ks_p_value")
+            psi = psi.join(ks, [*keys, "feature"], "left")
+        else:
+            psi = psi.withColumn("ks_p_value", F.lit(None).cast("double"))
         parts.append(psi)
     if spec.categorical:
         cats = categorical_psi(reference, serving, keys, spec.categorical)

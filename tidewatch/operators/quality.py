@@ -35,19 +35,30 @@ def ranked_scores(df: DataFrame, keys: Sequence[str], label: str, score: str) ->
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """(keys, rows, positives, roc_auc, average_precision); null where one class is absent."""
-    return _rank_summary(ranked_scores(df, keys, label, score), keys)
+    return _rank_summary(ranked_scores(df, keys, label, score), keys, TOP_FRACTION).select(*keys, "rows", "positives", "roc_auc", "average_precision")
 
 
-def _rank_summary(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _rank_summary(ranked: DataFrame, keys: Sequence[str], fraction: float) -> DataFrame:
+    """Everything read off the ordered scores, in one pass.
+
+    ``sure`` counts the positives of scores wholly inside the top fraction; ``cut`` is the one
+    score the fraction's end falls into, with the number of rows to take from it.
+    """
     won = F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5)
     # From the top down: everything at this score or above is called positive.
     hits = (F.col("pos_total") - F.col("pos_before")).cast("double")
     called = (F.col("n_total") - F.col("n_before")).cast("double")
+    above = F.col("n_total") - F.col("n_upto")
+    k = _top_count(F.col("n_total"), fraction)
+    split = (above < k) & (above + F.col("n") > k)
     return ranked.groupBy(*keys).agg(
         F.max("n_total").alias("rows"),
         F.max("pos_total").alias("positives"),
         F.try_divide(F.sum(won.cast("double")), F.max("pos_total").cast("double") * F.max("neg_total").cast("double")).alias("roc_auc"),
         F.try_divide(F.sum(F.col("pos") * hits / called), F.max("pos_total").cast("double")).alias("average_precision"),
+        F.max(k).alias("top_rows"),
+        F.sum(F.when(above + F.col("n") <= k, F.col("pos")).otherwise(0)).alias("sure"),
+        F.max(F.when(split, F.struct("p", (k - above).alias("take")))).alias("cut"),
     )
 
 
@@ -57,22 +68,13 @@ def _top_count(n: Column, fraction: float) -> Column:
 
 def recall_top_fraction(df: DataFrame, keys: Sequence[str], label: str, score: str, tie: str, fraction: float = TOP_FRACTION) -> DataFrame:
     """Share of all positives among the top fraction by score, ties in ``tie`` order."""
-    return _recall_from_ranked(df, ranked_scores(df, keys, label, score), keys, label, score, tie, fraction)
+    summary = _rank_summary(ranked_scores(df, keys, label, score), keys, fraction)
+    return _with_recall(df, summary, keys, label, score, tie).select(*keys, "top_rows", "top_positives", "recall_at_top_decile")
 
 
-def _recall_from_ranked(df: DataFrame, ranked: DataFrame, keys: Sequence[str], label: str, score: str, tie: str, fraction: float) -> DataFrame:
+def _with_recall(df: DataFrame, summary: DataFrame, keys: Sequence[str], label: str, score: str, tie: str) -> DataFrame:
     """Whole scores above the cut are counted; only the score the cut falls into is ranked."""
-    above = F.col("n_total") - F.col("n_upto")
-    k = _top_count(F.col("n_total"), fraction)
-    placed = ranked.select(*keys, "p", "pos", "pos_total", "n", above.alias("above"), k.alias("k"))
-    sure = placed.groupBy(*keys).agg(
-        F.sum(F.when(F.col("above") + F.col("n") <= F.col("k"), F.col("pos")).otherwise(0)).alias("sure"),
-        F.max("pos_total").alias("positives"),
-        F.max("k").alias("top_rows"),
-    )
-    cut = placed.where((F.col("above") < F.col("k")) & (F.col("above") + F.col("n") > F.col("k"))).select(
-        *keys, "p", (F.col("k") - F.col("above")).alias("take")
-    )
+    cut = summary.where("cut IS NOT NULL").select(*keys, "cut.p", "cut.take")
     tied = df.select(*keys, F.col(score).cast("double").alias("p"), F.col(tie).alias("tie"), F.col(label).alias("y"))
     tied = tied.join(cut, [*keys, "p"]).groupBy(*keys, "tie").agg(
         F.sum((F.col("y") == 1).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"), F.max("take").alias("take")
@@ -80,9 +82,9 @@ def _recall_from_ranked(df: DataFrame, ranked: DataFrame, keys: Sequence[str], l
     points = cut_points(df.select(F.col(tie).cast("double").alias("tie")), ["tie"])["tie"]
     ordered = running_totals(tied, keys, "tie", ["n"], points=points)
     part = ordered.where(F.col("n_before") < F.col("take")).groupBy(*keys).agg(F.sum("pos").alias("part"))
-    joined = sure.join(part, list(keys), "left") if keys else sure.join(F.broadcast(part), how="left")
+    joined = summary.join(part, list(keys), "left") if keys else summary.join(F.broadcast(part), how="left")
     found = F.col("sure") + F.coalesce("part", F.lit(0))
-    return joined.select(*keys, "top_rows", found.alias("top_positives"), safe_ratio(found, "positives").alias("recall_at_top_decile"))
+    return joined.withColumns({"top_positives": found, "recall_at_top_decile": safe_ratio(found, "positives")})
 
 
 def pointwise_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
@@ -167,12 +169,11 @@ def subgroup_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str,
 
 def metric_block(df: DataFrame, keys: Sequence[str], label: str, score: str, tie: str) -> DataFrame:
     """The full metric block, one row per key; rank metrics share one ordering."""
-    ranked = ranked_scores(df, keys, label, score)
+    summary = _rank_summary(ranked_scores(df, keys, label, score), keys, TOP_FRACTION)
     parts = [
         pointwise_metrics(df, keys, label, score),
-        _rank_summary(ranked, keys).select(*keys, "roc_auc", "average_precision"),
         calibration_error(df, keys, label, score),
-        _recall_from_ranked(df, ranked, keys, label, score, tie, TOP_FRACTION).select(*keys, "recall_at_top_decile"),
+        _with_recall(df, summary, keys, label, score, tie).select(*keys, "roc_auc", "average_precision", "recall_at_top_decile"),
     ]
     return reduce(lambda a, b: a.join(b, list(keys)), parts)
 
