@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.numbers import clipped_log_loss, right_closed_bin, safe_ratio
-from tidewatch.operators.ordering import cut_points, exact_quantiles, running_totals, union_all
+from tidewatch.operators.ordering import BUCKET, assign_buckets, cut_points, exact_quantiles, running_totals, union_all
 
 # Standard settings of the metric report.
 TOP_FRACTION, BINS, DEFAULT_THRESHOLD = 0.10, 10, 0.5
@@ -73,15 +73,22 @@ def recall_top_fraction(df: DataFrame, keys: Sequence[str], label: str, score: s
 
 
 def _with_recall(df: DataFrame, summary: DataFrame, keys: Sequence[str], label: str, score: str, tie: str) -> DataFrame:
-    """Whole scores above the cut are counted; only the score the cut falls into is ranked."""
+    """Whole scores above the cut are counted; of the score the cut falls into, only one bucket
+    of tie keys is ranked. Its other tied rows are counted per bucket in the map tasks."""
+    keys = list(keys)
     cut = summary.where("cut IS NOT NULL").select(*keys, "cut.p", "cut.take")
-    tied = df.select(*keys, F.col(score).cast("double").alias("p"), F.col(tie).alias("tie"), F.col(label).alias("y"))
-    tied = tied.join(cut, [*keys, "p"]).groupBy(*keys, "tie").agg(
-        F.sum((F.col("y") == 1).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"), F.max("take").alias("take")
-    )
-    points = cut_points(df.select(F.col(tie).cast("double").alias("tie")), ["tie"])["tie"]
-    ordered = running_totals(tied, keys, "tie", ["n"], points=points)
-    part = ordered.where(F.col("n_before") < F.col("take")).groupBy(*keys).agg(F.sum("pos").alias("part"))
+    rows = df.select(*keys, F.col(score).cast("double").alias("p"), F.col(tie).cast("double").alias("__t"), F.col(tie).alias("__tie"), (F.col(label) == 1).cast("bigint").alias("pos"))
+    rows = assign_buckets(rows, {"__t": (BUCKET, cut_points(rows.select("__t"), ["__t"])["__t"])})
+    tied = rows.join(cut, [*keys, "p"])
+    parts = tied.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.max("take").alias("take"))
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    whole = placed.where(F.col("before") + F.col("n") <= F.col("take")).select(*keys, "pos")
+    edge = placed.where((F.col("before") < F.col("take")) & (F.col("before") + F.col("n") > F.col("take")))
+    edge = edge.select(*keys, BUCKET, (F.col("take") - F.col("before")).alias("left"))
+    ranked = tied.drop("take").join(edge, [*keys, BUCKET]).withColumn("__row", F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy("__tie")))
+    last = ranked.where(F.col("__row") <= F.col("left")).select(*keys, "pos")
+    part = whole.unionByName(last).groupBy(*keys).agg(F.sum("pos").alias("part"))
     joined = summary.join(part, list(keys), "left") if keys else summary.join(F.broadcast(part), how="left")
     found = F.col("sure") + F.coalesce("part", F.lit(0))
     return joined.withColumns({"top_positives": found, "recall_at_top_decile": safe_ratio(found, "positives")})
