@@ -72,3 +72,10 @@ def test_timestamps_and_big_integers_order_exactly(spark):
     for order in ("big", "ts"):
         got = o.positions(df, order, "id", buckets=8).toPandas()
         assert got.sort_values([order, "id"]).position.tolist() == list(range(200))
+
+
+def test_keys_at_ranks(spark):
+    df = spark.range(0, 3000, 3).withColumnRenamed("id", "k").repartition(5)
+    n = F.col("__rows")
+    row = o.keys_at_ranks(df, "k", {"first": F.lit(0), "mid": F.floor(n / 2), "last": n - 1, "past": n}, buckets=7).first()
+    assert (row["first"], row["mid"], row["last"], row["past"]) == (0, 1500, 2997, None)

@@ -190,3 +190,21 @@ def test_reconcile_reports_missing_tables(spark):
     assert {r["table_name"]: r["same"] for r in rows} == {"x": True, "y": False}
     prints = sinks.table_fingerprints({"x": a})
     assert sinks.reconcile(prints, sinks.table_fingerprints({"x": a.repartition(3)}), ["rows", "content"]).first()["same"]
+
+
+def test_next_windows_and_reference(spark):
+    rows = spark.range(40).select(F.lit("s").alias("scenario"), (F.col("id") / 10).cast("long").alias("window_index"), "id")
+    done = spark.createDataFrame([("s", 1)], "scenario string, i long").select("scenario", prep.window_start("i").alias("window_start"))
+    assert prep.next_window_index(done).first()["next_index"] == 2
+    assert sorted(r["id"] for r in prep.next_windows(rows, done).collect()) == list(range(20, 30))
+    assert sorted(r["id"] for r in prep.next_windows(rows, done.limit(0)).collect()) == list(range(10))
+    typed = v.coerced(spark.createDataFrame([raw_row(encounter_id=str(i)) for i in range(30)], RAW_ENCOUNTER_TEXT), v.ENCOUNTER_EXPECTATIONS)
+    ref = prep.monitoring_reference(typed, ["encounter_id"], lambda df: df.withColumn("risk_score", F.lit(0.1)), rows=12)
+    assert ref.count() == 12 and "encounter_id" not in ref.columns and len(ref.columns) == 26
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "b")
+    for batch in (0, 1, 1):
+        sinks.write_batch(spark.range(5), path, batch)
+    assert spark.read.parquet(path).count() == 10

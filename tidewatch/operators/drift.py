@@ -258,7 +258,9 @@ def sturges_psi(
 def _bin_of(column: str) -> str:
     """The bin expression over one column and the plan struct carried beside it."""
     names = {"value": f"`{column}`", **{n: f"`__p_{column}`.{n}" for n in ("lo", "step", "bins")}}
-    return re.sub(r"\b(value|lo|step|bins)\b", lambda m: names[m.group(1)], _EQUAL_WIDTH_BIN)
+    placed = re.sub(r"\b(value|lo|step|bins)\b", lambda m: names[m.group(1)], _EQUAL_WIDTH_BIN)
+    # least and greatest pass over nulls, so a missing value is kept out of the bins here.
+    return f"CASE WHEN `{column}` IS NOT NULL AND `__p_{column}` IS NOT NULL THEN {placed} END"
 
 
 def ks_test(
