@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import quality_rules  # noqa: F401
+from tidewatch.llm import bpe, packing, quality_rules  # noqa: F401
 from tidewatch.llm.registry import RUNS, SQL
 
 
