@@ -145,7 +145,8 @@ def pack(found: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECE
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         where, offset = best_fit(rows["length"].to_numpy(), window)
-        return rows.assign(sequence_id=(rows.pop("__group") << 32) + where, offset=offset)
+        base = int(rows["__group"].iloc[0]) << 32
+        return rows.drop(columns="__group").assign(sequence_id=base + where, offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields) + ", sequence_id bigint, offset bigint"
     return keyed.groupBy("__group").applyInPandas(place, schema)
