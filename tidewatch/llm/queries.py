@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, merkle, packing, quality_rules  # noqa: F401
+from tidewatch.llm import bpe, merkle, packing, quality_rules, sharding, warc  # noqa: F401
 from tidewatch.llm.registry import RUNS, SQL
 
 
