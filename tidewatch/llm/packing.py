@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,37 +30,91 @@ from tidewatch.llm.registry import query
 WINDOW = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-CACHED_CHUNKS = 200_000
+CACHED = 500_000
+END_OF_WORD = "</w>"
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class BlockEncoder:
+    """Little-endian 32-bit ids of blocks between ASCII white space, each encoded once and kept.
 
-    found = Tokenizer.from_file(path)
-    found.no_padding()
-    found.no_truncation()
-    return found, {}
+    The tokenizer drops white space and never joins what it separates, so a text's ids are those of
+    its blocks. A block of letters and trailing ASCII marks is two of the tokenizer's words; all new
+    words of letters are encoded in one call and told apart by their end-of-word tokens.
+    """
 
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends_word[i] = word.endswith(END_OF_WORD)
+        self.blocks: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def _each(self, blocks: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([b.decode() for b in blocks], add_special_tokens=False)
+        return {b: array("I", x.ids).tobytes() for b, x in zip(blocks, found)}
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Encodes words of letters."""
+        if len(self.words) + len(words) > CACHED:
+            self.words.clear()
+        ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(cuts) != len(words):  # a letter that the tokenizer's Unicode tables lack
+            self.words.update(self._each(words))
+            return
+        flat, lo = ids.tobytes(), 0
+        for word, hi in zip(words, cuts):
+            self.words[word] = flat[lo:hi]
+            lo = hi
+
+    def learn(self, fresh: set[bytes]) -> None:
+        plain, whole, new = [], [], set()
+        for b in sorted(fresh):
+            word = b.rstrip(MARKS)
+            if word and word.decode().lower().isalpha() and not any(a in b for a in self.added):
+                plain.append((b, word, b[len(word) :]))
+                if word not in self.words:
+                    new.add(word)
+            else:
+                whole.append(b)
+        if new:
+            self._learn_words(sorted(new))
+            if any(word not in self.words for _, word, _ in plain):  # the store was emptied meanwhile
+                self._learn_words(sorted({word for _, word, _ in plain} - self.words.keys()))
+        tails = {tail for _, _, tail in plain if tail} - self.blocks.keys()
+        self.blocks.update(self._each(sorted(tails | set(whole))))
+        for b, word, tail in plain:
+            self.blocks[b] = self.words[word] + self.blocks[tail] if tail else self.words[word]
+
+    def buffers(self, texts: list[str | None]) -> list[bytes]:
+        rows = [(t or "").encode().split() for t in texts]
+        fresh = set().union(*rows) - self.blocks.keys()
+        if len(self.blocks) + len(fresh) > CACHED:
+            self.blocks.clear()
+            fresh = set().union(*rows)
+        if fresh:
+            self.learn(fresh)
+        known = self.blocks
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
 
-def token_buffers(texts: list[str | None], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text.
 
-    The tokenizer drops white space and never joins what it separates, so blocks between ASCII
-    white space are encoded once and looked up again when they recur.
-    """
-    tokenizer, known = _tokenizer(path)
-    blocks = [(t or "").encode().split() for t in texts]
-    fresh = {b for row in blocks for b in row} - known.keys()
-    if len(known) + len(fresh) > CACHED_CHUNKS:
-        known.clear()
-        fresh = {b for row in blocks for b in row}
-    ordered = sorted(fresh)
-    for block, found in zip(ordered, tokenizer.encode_batch_fast([b.decode() for b in ordered], add_special_tokens=False)):
-        known[block] = np.asarray(found.ids, dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, row)) for row in blocks]
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> BlockEncoder:
+    return BlockEncoder(path)
+
+
+def token_buffers(texts: list[str | None], path: str) -> list[bytes]:
+    """Little-endian 32-bit ids of each text, as the tokenizer file gives them."""
+    return _encoder(path).buffers(texts)
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
