@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, language, merkle, packing, quality_classifier, quality_rules, sharding, warc  # noqa: F401
+from tidewatch.llm import bpe, jaccard_join, language, merkle, packing, quality_classifier, quality_rules, sharding, warc  # noqa: F401
 from tidewatch.llm.registry import RUNS, SQL
 
 
