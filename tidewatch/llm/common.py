@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.session import shared_folder
 
 BROADCAST_ROWS = 100_000
+MARKS = 1 << 23  # bits of the filter that picks rows by key before a join
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -55,5 +58,32 @@ def small_or_salted(left: DataFrame, small: DataFrame, keys: list[str], rows: in
     return joined.drop("__salt")
 
 
+def marks_of(wanted: DataFrame, key: str) -> np.ndarray:
+    """Packed bits: bit ``hash(key) mod MARKS`` is set if ``wanted`` holds the key. At most MARKS numbers reach the driver."""
+    marks = np.zeros(MARKS, bool)
+    marks[wanted.where(F.col(key).isNotNull()).select(mark(key).alias("m")).distinct().toPandas()["m"].to_numpy(int)] = True
+    return np.packbits(marks, bitorder="little")
+
+
+def mark(key: str) -> Column:
+    return F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(MARKS))).cast("int")
+
+
+def marked(rows: DataFrame, key: str, marks: np.ndarray, hit: bool = True) -> DataFrame:
+    """The rows whose key's bit is set (a superset of the keys sought), or with ``hit`` false all others."""
+    sent = rows.sparkSession.sparkContext.broadcast(marks)
+    schema = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            m = batch.column(batch.num_columns - 1).fill_null(-1).to_numpy(zero_copy_only=False)
+            chosen = (m >= 0) & ((bits[m >> 3] >> (m & 7)) & 1 == 1)
+            found = batch.filter(pa.array(chosen == hit))
+            yield pa.RecordBatch.from_arrays(found.columns[:-1], schema=pa.schema(list(found.schema)[:-1]))
+
+    return rows.withColumn("__mark", mark(key)).mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
