@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.session import shared_folder
 
@@ -58,6 +58,16 @@ def small_or_salted(left: DataFrame, small: DataFrame, keys: list[str], rows: in
     return joined.drop("__salt")
 
 
+def with_fields(fields: Iterable[T.StructField], more: str) -> T.StructType:
+    """A schema of ``fields`` and of those that the DDL string ``more`` names."""
+    return T.StructType([*fields, *T._parse_datatype_string(more).fields])
+
+
+def packed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` beside the whole row as one struct, so that an operator's outputs can't clash with the row's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *columns)
+
+
 def marks_of(wanted: DataFrame, key: str) -> np.ndarray:
     """Packed bits: bit ``hash(key) mod MARKS`` is set if ``wanted`` holds the key. At most MARKS numbers reach the driver."""
     marks = np.zeros(MARKS, bool)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import documents
+from tidewatch.llm.common import documents, with_fields
 from tidewatch.llm.registry import query
 from tidewatch.llm.textbytes import Texts, chunked
 
@@ -180,8 +180,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns |= {"lang_pred": pa.array(named, pa.string()), "score": pa.array(score, pa.float64()), "languages": pa.array(sets, pa.list_(pa.string())), "proportions": pa.array(parts, pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_pydict(columns)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, {outputs}" if kept else outputs)
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[:-1], outputs))
 
 
 def held_out(modulus: int, remainder: int) -> Column:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import documents, without, written
+from tidewatch.llm.common import documents, with_fields, without, written
 from tidewatch.llm.language import held_out
 from tidewatch.llm.registry import query
 from tidewatch.llm.textbytes import Texts, chunked
@@ -111,8 +111,7 @@ def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = False
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, vectors], names=[*[f.name for f in kept], out])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"{out} array<double>"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, with_fields(kept, f"{out} array<double>"))
 
 
 @dataclass(frozen=True)
@@ -177,8 +176,7 @@ def classify(vectors: DataFrame, model: Discriminant, vector: str = "statistics"
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= cut).astype("int32"))], names=[*[f.name for f in kept], "score", "predicted"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double", "predicted int"])
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, with_fields(kept, "score double, predicted int"))
 
 
 def taught_rows(vectors: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import documents, marked, marks_of, without, written
+from tidewatch.llm.common import documents, marked, marks_of, with_fields, without, written
 from tidewatch.llm.registry import query
 from tidewatch.llm.textbytes import _VALUES, Texts, chunked, mixed, powers
 
@@ -292,8 +292,8 @@ def cut_texts(rows: DataFrame, as_text: bool) -> DataFrame:
             columns = [batch.column(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*columns, body, pa.array(spans, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})))], names=[*[f.name for f in fields], "kept", "spans"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + f"kept {'string' if as_text else 'binary'}, spans array<struct<start:bigint,end:bigint>>"
-    return rows.mapInArrow(run, schema)
+    kind = "string" if as_text else "binary"
+    return rows.mapInArrow(run, with_fields(fields, f"kept {kind}, spans array<struct<start:bigint,end:bigint>>"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
