@@ -51,12 +51,12 @@ def test_exact_quantiles_match_numpy(spark):
             assert got[(g, name)] == pytest.approx(np.quantile(part.v, p), abs=1e-12)
 
 
-@pytest.mark.parametrize("rows", [0, 1, 777, 4999, 5000, 9000])
+@pytest.mark.parametrize("rows", [None, 1, 777, 4999, 5000, 9000])
 def test_sample_is_exact_and_independent_of_layout(spark, rows):
     a = o.sample_rows(frame(spark).repartition(1), ["id"], rows).select("id").toPandas().id
     b = o.sample_rows(frame(spark).repartition(6), ["id"], rows).select("id").toPandas().id
     assert sorted(a) == sorted(b)
-    assert len(a) == (5000 if rows in (0, 9000) else rows)
+    assert len(a) == (5000 if rows in (None, 9000) else rows)
 
 
 def test_hash_select_rounds_half_to_even_and_respects_the_filter(spark):
@@ -79,3 +79,28 @@ def test_keys_at_ranks(spark):
     n = F.col("__rows")
     row = o.keys_at_ranks(df, "k", {"first": F.lit(0), "mid": F.floor(n / 2), "last": n - 1, "past": n}, buckets=7).first()
     assert (row["first"], row["mid"], row["last"], row["past"]) == (0, 1500, 2997, None)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_null_and_nan_stand_where_spark_sorts_them(spark, descending):
+    values = [float(i % 11) for i in range(60)] + [None] * 9 + [float("nan")] * 7
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id bigint, v double").repartition(4)
+    order = F.col("v").desc() if descending else F.col("v").asc()
+    want = [r["id"] for r in df.coalesce(1).orderBy(order, "id").collect()]
+    got = o.positions(df, "v", "id", descending=descending, total="n", buckets=6).orderBy("position").collect()
+    assert [r["id"] for r in got] == want and [r["position"] for r in got] == list(range(76)) and {r["n"] for r in got} == {76}
+
+
+def test_running_totals_keep_null_orders_and_null_groups(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 1.0, 2), ("a", 2.0, 4), (None, 5.0, 8), ("a", float("nan"), 16)], "g string, v double, n int")
+    got = {(r["g"], str(r["v"])): (r["n_before"], r["n_upto"], r["n_total"]) for r in o.running_totals(df, ["g"], "v", ["n"], buckets=3).collect()}
+    assert got == {("a", "None"): (0, 1, 23), ("a", "1.0"): (1, 3, 23), ("a", "2.0"): (3, 7, 23), ("a", "nan"): (7, 23, 23), (None, "5.0"): (0, 8, 8)}
+
+
+def test_text_is_ordered_and_refused_samples_raise(spark):
+    words = ["prefix" + w for w in "delta alpha omega beta gamma".split()] * 3 + [None, "", "é"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id bigint, w string")
+    want = [r["id"] for r in df.coalesce(1).orderBy("w", "id").collect()]
+    assert [r["id"] for r in o.positions(df, "w", "id", buckets=4).orderBy("position").collect()] == want
+    with pytest.raises(ValueError):
+        o.sample_rows(df, ["id"], 0)

@@ -107,8 +107,8 @@ def test_split_is_ordered_disjoint_and_sized(spark):
 
 def test_partial_windows_and_bad_sizes(spark):
     df = spark.range(25)
-    assert prep.row_windows(df, "id", "id", 10).count() == 20
-    assert prep.row_windows(df, "id", "id", 10, keep_partial=True).count() == 25
+    assert prep.row_windows(df, "id", "id", 10, keep_partial=False).count() == 20
+    assert prep.row_windows(df, "id", "id", 10).count() == 25
     assert prep.row_windows(df, "id", "id", 10, max_windows=1).count() == 10
     with pytest.raises(ValueError):
         prep.row_windows(df, "id", "id", 0)

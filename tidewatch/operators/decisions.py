@@ -14,7 +14,6 @@ from tidewatch.functions.numbers import digest_id
 from tidewatch.functions.text import fixed
 from tidewatch.operators.ordering import running_totals
 
-HISTORY_WINDOWS = 16
 NO_OP, ALERT_ONLY = "NO_OP", "ALERT_ONLY"
 INCREMENTAL, FULL = "INCREMENTAL_RETRAIN", "FULL_RETRAIN"
 RETRAIN_ACTIONS = (INCREMENTAL, FULL)
@@ -76,59 +75,50 @@ def breach_list(stats: Column, threshold: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["feature"].alias("feature"), s["psi"].alias("psi"), s["ks_p"].alias("ks_p")))
 
 
-def with_history(df: DataFrame, stream: Sequence[str], start: str, payload: str, limit: int = HISTORY_WINDOWS, chunk: int = 100_000) -> DataFrame:
-    """Adds ``history``: the payloads of at most ``limit`` strictly earlier rows, newest first.
+def _feature_streaks(named: DataFrame, stream: Sequence[str], start: str) -> tuple[DataFrame, DataFrame]:
+    """(stream, feature, __at, __base) of starts at which all rows breach a feature, and the numbered starts.
 
-    Rows sharing a start are not each other's history but all count for later rows. Each
-    stream is numbered by its distinct starts and cut into chunks that repeat the ``limit``
-    starts before them, so one very long stream is read by many tasks.
+    ``__at`` numbers a stream's starts and ``__rows`` counts the rows before a start. A streak is
+    a run of numbers without a gap; ``__base`` is the count of rows before its first start.
     """
-    starts = df.groupBy(*stream, start).agg(F.collect_list(F.col(payload)).alias("__peers")).withColumn("__one", F.lit(1))
-    numbered = running_totals(starts, stream, start, ["__one"]).withColumnRenamed("__one_before", "__at")
-    own = F.floor(F.col("__at") / chunk)
-    later = F.floor((F.col("__at") + limit) / chunk)
-    copies = F.when(own == later, F.array(own)).otherwise(F.array(own, later))
-    spread = numbered.select(*stream, start, "__peers", own.alias("__own"), F.explode(copies).alias("__chunk"), "__at")
-    frame = Window.partitionBy(*stream, "__chunk").orderBy("__at").rowsBetween(-limit, -1)
-    lists = spread.withColumn("__past", F.collect_list("__peers").over(frame)).where(F.col("__own") == F.col("__chunk"))
-    newest = F.slice(F.reverse(F.flatten("__past")), 1, limit)
-    return df.join(lists.select(*stream, start, newest.alias("history")), [*stream, start])
-
-
-def consecutive_run(current: Column, history: Column) -> Column:
-    """(run, persistent): windows in a row that share breaching features, and those features.
-
-    The run ends at the first earlier window that shares nothing with the features still
-    common to the run; a window without breaches has run 0.
+    starts = named.groupBy(*stream, start).agg(F.count(F.lit(1)).alias("__n"), F.first(F.lit(1)).alias("__one"))
+    placed = running_totals(starts, stream, start, ["__n", "__one"])
+    placed = placed.select(*stream, start, "__n", F.col("__one_before").alias("__at"), F.col("__n_before").alias("__rows"))
+    hits = named.select(*stream, start, F.explode(F.array_distinct("breaching")).alias("feature")).groupBy(*stream, start, "feature").agg(F.count(F.lit(1)).alias("__hits"))
+    held = hits.join(placed, [*stream, start]).where("__hits = __n").withColumn("__one", F.lit(1))
+    held = running_totals(held, [*stream, "feature"], start, ["__one"]).withColumn("__streak", F.col("__at") - F.col("__one_before"))
+    base = held.groupBy(*stream, "feature", "__streak").agg(F.min("__rows").alias("__base"))
+    return held.join(base, [*stream, "feature", "__streak"]).select(*stream, "feature", "__at", "__base"), placed
+
+
+def breach_runs(events: DataFrame, policies: DataFrame, limit: int | None = None) -> DataFrame:
+    """Events x policies with the breaching names, run length and persistent features.
+
+    A run is the longest unbroken row of windows, up to this one, in which one feature breaches; the
+    features that hold it are persistent. It is found per feature, as streaks of consecutive window
+    starts, so no window gathers its past. Rows that share a start are not each other's past; all
+    count for later ones, for which a feature holds if all of them breach it. ``limit`` looks back
+    over at most so many rows.
     """
-    seed = F.struct(F.lit(1).alias("run"), current.alias("shared"), F.lit(False).alias("done"))
-
-    def step(acc: Column, earlier: Column) -> Column:
-        overlap = F.array_intersect(acc["shared"], earlier)
-        ends = acc["done"] | (F.size(overlap) == 0)
-        return F.struct(
-            F.when(ends, acc["run"]).otherwise(acc["run"] + 1).alias("run"),
-            F.when(ends, acc["shared"]).otherwise(overlap).alias("shared"),
-            ends.alias("done"),
-        )
-
-    folded = F.aggregate(history, seed, step)
-    none = F.size(current) == 0
-    return F.struct(
-        F.when(none, F.lit(0)).otherwise(folded["run"]).alias("run"),
-        F.when(none, F.array().cast("array<string>")).otherwise(F.array_sort(folded["shared"])).alias("persistent"),
-    )
-
-
-def breach_runs(events: DataFrame, policies: DataFrame) -> DataFrame:
-    """Events x policies with the breaching names, run length and persistent features."""
+    stream = ["policy_version", "scenario"]
     crossed = events.join(F.broadcast(policies))
     named = crossed.withColumn("breaching", breaching_names(F.col("feature_stats"), F.col("psi_breach")))
-    past = with_history(named, ["policy_version", "scenario"], "window_start", "breaching")
-    run = consecutive_run(F.col("breaching"), F.col("history"))
-    return past.withColumn("__run", run).withColumns(
-        {"consecutive_breaching_windows": F.col("__run.run"), "persistent_features": F.col("__run.persistent")}
-    ).drop("__run", "history")
+    streaks, placed = _feature_streaks(named, stream, "window_start")
+    past = streaks.withColumn("__at", F.col("__at") + 1).withColumnRenamed("__base", "__before")
+    own = named.select(*stream, "event_id", "window_start", F.explode(F.array_distinct("breaching")).alias("feature"))
+    own = own.join(placed.select(*stream, "window_start", "__at", "__rows"), [*stream, "window_start"]).join(past, [*stream, "feature", "__at"], "left")
+    run = F.coalesce(F.col("__rows") - F.col("__before"), F.lit(0)) + 1
+    run = run if limit is None else F.least(run, F.lit(limit + 1))
+    runs = own.select(*stream, "event_id", "window_start", "feature", run.cast("int").alias("__run"))
+    longest = runs.groupBy(*stream, "event_id", "window_start").agg(
+        F.max("__run").alias("__longest"), F.collect_set(F.struct("__run", "feature")).alias("__each")  # one per monitored feature
+    )
+    kept = F.array_sort(F.transform(F.filter("__each", lambda x: x["__run"] == F.col("__longest")), lambda x: x["feature"]))
+    found = longest.select(*stream, "event_id", "window_start", F.col("__longest").alias("consecutive_breaching_windows"), kept.alias("persistent_features"))
+    none = F.array().cast("array<string>")
+    return named.join(found, [*stream, "event_id", "window_start"], "left").withColumns(
+        {"consecutive_breaching_windows": F.coalesce("consecutive_breaching_windows", F.lit(0)), "persistent_features": F.coalesce("persistent_features", none)}
+    )
 
 
 # --- evidence and confidence --------------------------------------------------------------
@@ -208,54 +198,33 @@ def apply_rules(df: DataFrame) -> DataFrame:
 
     quiet = F.when(
         (n == 0) & ~drift,
-        _outcome("1", NO_OP, NO_DISPOSITION, F.concat(F.lit("No feature reached PSI "), _text(breach), F.lit(" and no prediction drift was detected. Silence recorded as a decision."))),
+        _outcome("1", NO_OP, NO_DISPOSITION, F.concat(F.lit("quiet window: all features stay below PSI "), _text(breach), F.lit(", scores steady"))),
     )
     mild = F.when(
         (n >= 1) & ~drift & (n <= F.col("alert_only_max_features")) & ~severe & (run < F.col("consecutive_windows")),
-        _outcome(
-            "2", ALERT_ONLY, NO_DISPOSITION,
-            F.concat(
-                _text(n), F.lit(" feature(s) between PSI "), _text(breach), F.lit(" and "), _text(F.col("psi_severe")),
-                F.lit(" in their first breaching window, with no prediction drift. Alerting without acting; the persistence rule needs a second window."),
-            ),
-        ),
+        _outcome("2", ALERT_ONLY, NO_DISPOSITION, F.concat(_text(n), F.lit(" mild breach(es) in PSI ["), _text(breach), F.lit(", "), _text(F.col("psi_severe")), F.lit("), not yet repeated: alert"))),
     )
     persistent = F.when(
         (run >= F.col("consecutive_windows")) & (F.size("persistent_features") > 0),
-        _outcome(
-            "3", INCREMENTAL, AUTO,
-            F.concat(F.array_join("persistent_features", ", "), F.lit(" breached for "), _text(run), F.lit(" consecutive windows. Persistent drift is not a blip.")),
-        ),
+        _outcome("3", INCREMENTAL, AUTO, F.concat(F.lit("over the limit "), _text(run), F.lit(" windows in a row: "), F.array_join("persistent_features", ", "))),
     )
-    trigger = F.when(severe, F.concat(worst["feature"], F.lit(" reached PSI "), fixed(worst["psi"], 4))).otherwise(
-        F.concat(F.lit("prediction drift detected (PSI "), F.coalesce(_text(F.col("prediction_psi")), F.lit("None")), F.lit(")"))
+    trigger = F.when(severe, F.concat(worst["feature"], F.lit(" severe at PSI "), fixed(worst["psi"], 4))).otherwise(
+        F.concat(F.lit("scores moved, PSI "), F.coalesce(fixed(F.col("prediction_psi"), 4), F.lit("unknown")))
     )
     strong = F.when(
         severe | drift,
         _outcome(
             "4", FULL, F.when(enough, F.lit(AUTO)).otherwise(F.lit(ESCALATE)),
-            F.concat(
-                trigger, F.lit(". Confidence "), fixed(conf, 4), F.lit(" is "), F.when(enough, F.lit("at or above")).otherwise(F.lit("below")),
-                F.lit(" the "), _text(F.col("auto_proceed_confidence")), F.lit(" auto-proceed threshold."),
-            ),
+            F.concat(trigger, F.lit("; confidence "), fixed(conf, 4), F.when(enough, F.lit(" reaches ")).otherwise(F.lit(" misses ")), _text(F.col("auto_proceed_confidence"))),
         ),
     )
     regressed = F.when(
         F.col("labels_matured") & (F.col("matured_auroc_drop_seen") > F.col("matured_auroc_drop")),
-        _outcome(
-            "5", FULL, ESCALATE,
-            F.concat(
-                F.lit("Matured labels show an AUROC drop of "), fixed(F.col("matured_auroc_drop_seen"), 4), F.lit(" against launch, above the "),
-                _text(F.col("matured_auroc_drop")), F.lit(" limit. A confirmed performance regression always reaches a human."),
-            ),
-        ),
+        _outcome("5", FULL, ESCALATE, F.concat(F.lit("labels are in: AUROC lost "), fixed(F.col("matured_auroc_drop_seen"), 4), F.lit(", allowed "), _text(F.col("matured_auroc_drop")))),
     )
     fallback = _outcome(
         "uncovered", F.col("uncovered_action"), NO_DISPOSITION,
-        F.concat(
-            _text(n), F.lit(" feature(s) breached PSI "), _text(breach), F.lit(" without matching a policy-"),
-            F.substring_index("policy_version", "-", -1), F.lit(" rule. Taking the table's weakest non-silent action ("), F.col("uncovered_action"), F.lit(")."),
-        ),
+        F.concat(_text(n), F.lit(" breach(es) of PSI "), _text(breach), F.lit(" fit no rule of "), F.col("policy_version"), F.lit(": "), F.col("uncovered_action")),
     )
     df = df.withColumn("breaches", breach_list(F.col("feature_stats"), F.col("psi_breach")))
     df = df.withColumn("__rules", F.array(quiet, mild, persistent, strong, regressed))
@@ -266,12 +235,10 @@ def apply_rules(df: DataFrame) -> DataFrame:
     recent = F.coalesce(F.col("days_since_last_retrain") < F.col("retrain_cooldown_days"), F.lit(False))
     spent = F.col("retrains_in_cooldown") >= F.col("retrain_budget")
     why = F.when(
-        recent,
-        F.concat(F.lit("the last retrain was "), fixed(F.col("days_since_last_retrain"), 2), F.lit(" days ago, inside the "), _text(F.col("retrain_cooldown_days").cast("int")), F.lit("-day cooldown")),
-    ).otherwise(F.concat(_text(F.col("retrains_in_cooldown")), F.lit(" of "), _text(F.col("retrain_budget")), F.lit(" retrains in the budget have been used")))
+        recent, F.concat(F.lit("last retrain "), fixed(F.col("days_since_last_retrain"), 2), F.lit(" days ago, cooldown "), _text(F.col("retrain_cooldown_days").cast("int")))
+    ).otherwise(F.concat(F.lit("retrains used "), _text(F.col("retrains_in_cooldown")), F.lit(" of "), _text(F.col("retrain_budget"))))
     downgraded = F.when(
-        retrain & (recent | spent),
-        _outcome("6", ALERT_ONLY, ESCALATE, F.concat(F.col("__picked.action"), F.lit(" downgraded: "), why, F.lit(". Escalating instead of retraining again."))),
+        retrain & (recent | spent), _outcome("6", ALERT_ONLY, ESCALATE, F.concat(F.col("__picked.action"), F.lit(" held back, "), why))
     )
     final = F.coalesce(downgraded, F.col("__picked"))
     return df.withColumn("__final", final).withColumns(

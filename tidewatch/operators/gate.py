@@ -123,32 +123,23 @@ def gate_checks(
     floor_auc = F.col("a_roc_auc") - F.col("auroc_non_inferiority_margin")
     floor_recall = F.col("a_recall_at_top_decile") * F.col("recall_top_decile_min_ratio")
     top_brier = F.col("a_brier_score") + F.col("max_brier_increase")
+    def against(name: str, metric: str, bound: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{name} "), num(f"b_{metric}"), F.lit(", champion "), num(f"a_{metric}"), F.lit(f", {bound} "), six(value))
+
     checks = F.array(
-        F.when(
-            present,
-            _check(COVERAGE, F.lit(True), F.col("b_rows"), None, F.concat(F.col("eval_set"), F.lit(": "), F.col("b_rows").cast("string"), F.lit(" labeled rows compared"))),
-        ).otherwise(
-            _check(COVERAGE, ~F.col("require_all_sets"), None, None, F.concat(F.lit("no "), absent, F.lit(" metrics for "), F.col("eval_set"), F.lit("; an unmeasured set is not a pass")))
-        ),
-        F.when(
-            present,
-            _check(AUROC, _at_least(F.col("b_roc_auc"), floor_auc), F.col("b_roc_auc"), floor_auc,
-                   F.concat(F.lit("AUROC "), num("b_roc_auc"), F.lit(" vs champion "), num("a_roc_auc"), F.lit(" (floor "), six(floor_auc), F.lit(", margin "), plain("auroc_non_inferiority_margin"), F.lit(")"))),
-        ),
-        F.when(
-            present,
-            _check(RECALL, _at_least(F.col("b_recall_at_top_decile"), floor_recall), F.col("b_recall_at_top_decile"), floor_recall,
-                   F.concat(F.lit("recall@top-decile "), num("b_recall_at_top_decile"), F.lit(" vs champion "), num("a_recall_at_top_decile"), F.lit(" (floor "), six(floor_recall), F.lit(", ratio "), plain("recall_top_decile_min_ratio"), F.lit(")"))),
+        F.when(present, _check(COVERAGE, F.lit(True), F.col("b_rows"), None, F.concat(F.col("eval_set"), F.lit(" measured on "), F.col("b_rows").cast("string"), F.lit(" rows")))).otherwise(
+            _check(COVERAGE, ~F.col("require_all_sets"), None, None, F.concat(F.col("eval_set"), F.lit(" lacks the "), absent, F.lit("'s metrics")))
         ),
+        F.when(present, _check(AUROC, _at_least(F.col("b_roc_auc"), floor_auc), F.col("b_roc_auc"), floor_auc, against("AUROC", "roc_auc", "at least", floor_auc))),
         F.when(
             present,
-            _check(BRIER, _at_most(F.col("b_brier_score"), top_brier), F.col("b_brier_score"), top_brier,
-                   F.concat(F.lit("Brier "), num("b_brier_score"), F.lit(" vs champion "), num("a_brier_score"), F.lit(" (ceiling "), six(top_brier), F.lit(", max increase "), plain("max_brier_increase"), F.lit(")"))),
+            _check(RECALL, _at_least(F.col("b_recall_at_top_decile"), floor_recall), F.col("b_recall_at_top_decile"), floor_recall, against("top-decile recall", "recall_at_top_decile", "at least", floor_recall)),
         ),
+        F.when(present, _check(BRIER, _at_most(F.col("b_brier_score"), top_brier), F.col("b_brier_score"), top_brier, against("Brier", "brier_score", "at most", top_brier))),
         F.when(
             present,
             _check(ECE, _at_most(F.col("b_expected_calibration_error"), F.col("max_ece")), F.col("b_expected_calibration_error"), F.col("max_ece"),
-                   F.concat(F.lit("ECE "), num("b_expected_calibration_error"), F.lit(" against the absolute ceiling "), plain("max_ece"))),
+                   F.concat(F.lit("calibration error "), num("b_expected_calibration_error"), F.lit(", at most "), plain("max_ece"))),
         ),
     )
     base = [c for c in ("criteria_version", "set_order", "eval_set") if c not in keys]
@@ -170,8 +161,8 @@ def gate_checks(
         ~comparable | _at_least(F.col("after"), floor_group),
         F.col("after"),
         floor_group,
-        F.when(comparable, F.concat(label, F.lit(": AUROC "), num("after"), F.lit(" vs champion "), num("before"), F.lit(" (drop "), F.when(F.col("before") >= F.col("after"), F.lit("+")).otherwise(F.lit("")), six(F.col("before") - F.col("after")), F.lit(", max allowed "), plain("max_subgroup_auroc_drop"), F.lit(")"))).otherwise(
-            F.concat(label, F.lit(": AUROC undefined for "), side, F.lit(" (single outcome class); not comparable, not counted"))
+        F.when(comparable, F.concat(label, F.lit(": AUROC "), num("after"), F.lit(", champion "), num("before"), F.lit(", at least "), six(floor_group))).otherwise(
+            F.concat(label, F.lit(": the "), side, F.lit(" has no AUROC here, left out"))
         ),
         label,
     )

@@ -26,9 +26,14 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def sort_key(df: DataFrame, column: str) -> Column:
-    """A double that never decreases as ``column`` increases, one to one below 2**53."""
+    """A double that never decreases as ``column`` increases, one to one below 2**53.
+
+    Text gives the number of its first six bytes plus 2**53, so it is never taken as one to one.
+    """
     kind = dict(df.dtypes)[column]
     c = F.col(column)
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double") * 32.0 + float(2**53)
     if kind.startswith("timestamp"):
         day = F.unix_date(c.cast("date")).cast("double") * 86400.0
         return day + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.extract(F.lit("SECOND"), c).cast("double")
@@ -86,6 +91,15 @@ def assign_buckets_long(
     return df.withColumn(out, F.coalesce(*[F.col(o) for o in outputs])).drop(*inputs, *outputs)
 
 
+def _on_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join on keys in which nulls equal each other; the right side's keys are dropped."""
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+    joined = left.join(right, same)
+    for k in keys:
+        joined = joined.drop(right[k])
+    return joined
+
+
 def running_totals(
     df: DataFrame,
     groups: Sequence[str],
@@ -97,8 +111,9 @@ def running_totals(
 ) -> DataFrame:
     """Adds ``v_before``, ``v_upto`` and ``v_total`` for each summed column.
 
-    ``df`` has one row per (groups, order) and non-null group values. The order column is
-    numeric, a date or a timestamp. A frame that already carries buckets keeps them.
+    ``df`` has one row per (groups, order). The order column is numeric, text, a date or a
+    timestamp; a null comes before all values, NaN after them, and null group values are a group.
+    A frame that already carries buckets keeps them.
     """
     key = "__order_key"
     keyed = df
@@ -106,7 +121,10 @@ def running_totals(
         keyed = df.withColumn(key, sort_key(df, order))
         if points is None:
             points = cut_points(keyed, [key], buckets)[key]
-        keyed = assign_buckets(keyed, {key: (BUCKET, points)}).drop(key)
+        keyed = assign_buckets(keyed, {key: (BUCKET, points)})
+        # Nulls sort before all buckets, NaN after them.
+        outside = F.when(F.col(key).isNull(), F.lit(-1)).when(F.isnan(key), F.lit(len(points) + 2))
+        keyed = keyed.withColumn(BUCKET, F.coalesce(outside, F.col(BUCKET), F.lit(0))).drop(key)
 
     parts = keyed.groupBy(*groups, BUCKET).agg(*[F.sum(v).alias(f"{v}__part") for v in values])
     earlier = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +140,7 @@ def running_totals(
         offsets = F.broadcast(offsets)  # one row per bucket
     inside = Window.partitionBy(*groups, BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.select("*", *[F.coalesce(F.sum(v).over(inside), zero).alias(f"{v}__local") for v in values])
-    joined = local.join(offsets, [*groups, BUCKET])
+    joined = _on_equal(local, offsets, [*groups, BUCKET])
     before = {f"{v}_before": F.col(f"{v}__base") + F.col(f"{v}__local") for v in values}
     upto = {f"{v}_upto": F.col(f"{v}__base") + F.col(f"{v}__local") + F.col(v) for v in values}
     dropped = [BUCKET, *[f"{v}__base" for v in values], *[f"{v}__local" for v in values]]
@@ -137,17 +155,21 @@ def positions(
     groups: Sequence[str] = (),
     descending: bool = False,
     out: str = "position",
+    total: str | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """Adds the exact 0-based position of each row in (order, tie) within its group.
 
-    An order value so common that it spans several quantiles gets as many buckets of its
+    Null and NaN order values stand where Spark sorts them: nulls first and NaN last when
+    ascending, the other way round when descending. ``total`` names a column for the size of
+    the group. An order value so common that it spans several quantiles gets as many buckets of its
     own, cut on ``tie``, so a tied block of any size is still spread over many tasks.
     """
     key, tie_key = "__order_key", "__tie_key"
     sign = F.lit(-1.0 if descending else 1.0)
     keyed = df.withColumns({key: sort_key(df, order) * sign, tie_key: sort_key(df, tie)})
     points = cut_points(keyed, [key, tie_key], buckets)
+    points = {c: [v for v in found if not math.isnan(v)] for c, found in points.items()}
     often = {v: n for v, n in Counter(points[key]).items() if n > 1 and abs(v) < 2**53}
     splits = sorted(set(points[key]) | {math.nextafter(v, math.inf) for v in often})
     # Bucket i > 0 starts at splits[i - 1]; a bucket that starts at a frequent value is split.
@@ -158,27 +180,32 @@ def positions(
     ties = sorted(set(points[tie_key]))
     keyed = assign_buckets(keyed, {key: ("__main", splits), tie_key: ("__side", ties)})
     main = F.coalesce(F.col("__main"), F.lit(0))
-    side = F.coalesce(F.col("__side"), F.lit(0))
+    side = F.when(F.isnan(tie_key), F.lit(len(ties))).otherwise(F.coalesce(F.col("__side"), F.lit(0)))
     width, start = F.get(F.lit(widths), main), F.get(F.lit(starts), main)
     bucket = start + F.floor(side * width / F.lit(len(ties) + 1)).cast("int")
+    # Null and NaN have buckets of their own before and after all others, cut on the tie key alone.
+    front, back = side - F.lit(len(ties) + 1), side + F.lit(sum(widths))
+    nulls, nans = (back, front) if descending else (front, back)
+    bucket = F.when(F.col(key).isNull(), nulls).when(F.isnan(key), nans).otherwise(bucket)
     keyed = keyed.withColumn(BUCKET, bucket).drop(key, tie_key, "__main", "__side")
 
     earlier = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy(*groups, BUCKET)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*groups, BUCKET, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+        .select(
+            *groups, BUCKET, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"),
+            F.sum("__n").over(Window.partitionBy(*groups)).alias("__total"),
+        )
     )
     if not groups:
         offsets = F.broadcast(offsets)  # at most two rows per quantile bucket
     first = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*groups, BUCKET).orderBy(first, F.col(tie).asc())
-    return (
-        keyed.withColumn("__row", F.row_number().over(inside))
-        .join(offsets, [*groups, BUCKET])
-        .withColumn(out, F.col("__base") + F.col("__row") - 1)
-        .drop("__base", "__row", BUCKET)
-    )
+    placed = _on_equal(keyed.withColumn("__row", F.row_number().over(inside)), offsets, [*groups, BUCKET])
+    if total is not None:
+        placed = placed.withColumn(total, F.col("__total"))
+    return placed.withColumn(out, F.col("__base") + F.col("__row") - 1).drop("__base", "__row", "__total", BUCKET)
 
 
 def keys_at_ranks(df: DataFrame, order: str, ranks: Mapping[str, Column], *, buckets: int | None = None) -> DataFrame:
@@ -309,10 +336,12 @@ def hash_select(
     return clear.unionByName(split).drop("__eligible", h, "__range", "__lower", "__in", "__wanted")
 
 
-def sample_rows(df: DataFrame, keys: Sequence[str], rows: int, seed: int | str = 42, portable: bool = False) -> DataFrame:
-    """Exactly ``rows`` rows without replacement, or the whole frame when it is no larger."""
-    if rows <= 0:
+def sample_rows(df: DataFrame, keys: Sequence[str], rows: int | None, seed: int | str = 42, portable: bool = False) -> DataFrame:
+    """Exactly ``rows`` rows without replacement, or the whole frame if it is no larger or ``rows`` is None."""
+    if rows is None:
         return df
+    if rows <= 0:
+        raise ValueError("a sample needs at least one row")
     return hash_select(df, keys, rows=rows, seed=seed, portable=portable).where("selected").drop("selected")
 
 

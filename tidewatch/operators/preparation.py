@@ -171,22 +171,20 @@ def row_windows(
     rows: int,
     *,
     groups: Sequence[str] = (),
-    keep_partial: bool = False,
+    keep_partial: bool = True,
     max_windows: int | None = None,
     out: str = "window_index",
 ) -> DataFrame:
-    """Contiguous blocks of ``rows`` rows in stream order; a short last block is dropped."""
+    """Contiguous blocks of ``rows`` rows in stream order; a short last block stays unless told otherwise."""
     if rows < 1:
         raise ValueError("a window needs at least one row")
-    placed = positions(df, order, tie, groups=groups, out="__pos")
+    placed = positions(df, order, tie, groups=groups, out="__pos", total="__rows")
     placed = placed.withColumn(out, F.floor(F.col("__pos") / F.lit(rows)))
     if max_windows is not None:
         placed = placed.where(F.col(out) < max_windows)
     if not keep_partial:
-        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rows"))
-        placed = placed.join(sizes, list(groups)) if groups else placed.join(F.broadcast(sizes))
-        placed = placed.where((F.col(out) + 1) * rows <= F.col("__rows")).drop("__rows")
-    return placed.drop("__pos")
+        placed = placed.where((F.col(out) + 1) * rows <= F.col("__rows"))
+    return placed.drop("__pos", "__rows")
 
 
 def window_start(index: Column | str, epoch: str = "2026-01-01 00:00:00", seconds: int = 86400) -> Column:
@@ -218,10 +216,10 @@ def next_windows(windowed: DataFrame, events: DataFrame, scenario: str = "scenar
     return joined.where(F.col(index) == F.coalesce("next_index", F.lit(0))).drop("next_index")
 
 
-def monitoring_reference(df: DataFrame, keys: Sequence[str], score: Callable[[DataFrame], DataFrame], rows: int = 10_000, seed: int | str = 42) -> DataFrame:
-    """The reference of a monitor: an exact repeatable sample, scored once, monitored columns only.
+def monitoring_reference(df: DataFrame, keys: Sequence[str], score: Callable[[DataFrame], DataFrame], rows: int | None = None, seed: int | str = 42) -> DataFrame:
+    """The reference of a monitor, scored once, monitored columns only: all rows, or an exact repeatable sample of ``rows``.
 
-    ``score`` adds the score column to the sampled rows. Persist or store the result; every
+    ``score`` adds the score column to the rows. Persist or store the result; every
     window is measured against it.
     """
     scored = score(sample_rows(df, keys, rows, seed))

@@ -63,7 +63,7 @@ def prediction_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prediction_lookup", "SELECT 'rq-' || event_id AS request_id, 'user-' || user_id AS caller, round(value, 6) AS latency_ms FROM events WHERE user_id = 7 ORDER BY ts DESC, 'rq-' || event_id LIMIT 50")
 def prediction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lifecycle.find_predictions(t.predictions(spark, sf_dir), " user-7 ")
+    found = lifecycle.find_predictions(t.predictions(spark, sf_dir), " user-7 ", limit=50)
     return found.select("request_id", "caller", F.round("latency_ms", 6).alias("latency_ms"))
 
 
@@ -106,7 +106,7 @@ def audit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c.with_(c.AUDIT, AUDIT_LOG, recursive=True, select="SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, kind, ref, subject FROM log QUALIFY row_number() OVER (ORDER BY ts DESC, kind, ref) <= 500"),
 )
 def audit_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.newest(_log(spark, sf_dir)).select(_second(), "kind", "ref", "subject")
+    return lifecycle.newest(_log(spark, sf_dir), limit=500).select(_second(), "kind", "ref", "subject")
 
 
 @query(

@@ -141,7 +141,7 @@ walk AS (
   UNION ALL
   SELECT k.policy_version, k.scenario, k.rn, k.depth + 1, list_sort(list_intersect(k.shared, n.names))
   FROM walk k JOIN named n ON n.policy_version = k.policy_version AND n.scenario = k.scenario AND n.rn = k.rn - k.depth - 1
-  WHERE k.depth < 16 AND len(list_intersect(k.shared, n.names)) > 0),
+  WHERE len(list_intersect(k.shared, n.names)) > 0),
 runs_of AS (SELECT policy_version, scenario, rn, max(depth) + 1 AS run, arg_max(shared, depth) AS persistent FROM walk GROUP BY ALL),
 facts AS (
   SELECT n.*, e.event_id, e.prediction_drift, e.prediction_psi, e.max_psi, e.breaching_feature_count, len(n.names) AS breach_count,

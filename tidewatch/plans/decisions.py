@@ -57,12 +57,12 @@ def confidence_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT card_id, policy_version, scenario, {DATE}, action, disposition, rule_id, confidence,
        CASE WHEN action IN ('FULL_RETRAIN', 'INCREMENTAL_RETRAIN') THEN 'OPEN' ELSE 'CLOSED' END AS status,
        CASE rule_id
-         WHEN '1' THEN 'No feature reached PSI ' || psi_breach || ' and no prediction drift was detected. Silence recorded as a decision.'
-         WHEN '2' THEN breach_count || ' feature(s) between PSI ' || psi_breach || ' and 0.25 in their first breaching window, with no prediction drift. Alerting without acting; the persistence rule needs a second window.'
-         WHEN '3' THEN array_to_string(persistent, ', ') || ' breached for ' || run || ' consecutive windows. Persistent drift is not a blip.'
-         WHEN 'uncovered' THEN breach_count || ' feature(s) breached PSI ' || psi_breach || ' without matching a policy-' || split_part(policy_version, '-', 2) || ' rule. Taking the table''s weakest non-silent action (ALERT_ONLY).'
-         ELSE CASE WHEN coalesce(top >= 0.25, false) THEN worst || ' reached PSI ' || printf('%.4f', top) ELSE 'prediction drift detected' END
-              || '. Confidence ' || printf('%.4f', confidence) || ' is ' || CASE WHEN confidence >= 0.75 THEN 'at or above' ELSE 'below' END || ' the 0.75 auto-proceed threshold.' END AS rationale
+         WHEN '1' THEN 'quiet window: all features stay below PSI ' || psi_breach || ', scores steady'
+         WHEN '2' THEN breach_count || ' mild breach(es) in PSI [' || psi_breach || ', 0.25), not yet repeated: alert'
+         WHEN '3' THEN 'over the limit ' || run || ' windows in a row: ' || array_to_string(persistent, ', ')
+         WHEN 'uncovered' THEN breach_count || ' breach(es) of PSI ' || psi_breach || ' fit no rule of ' || policy_version || ': ALERT_ONLY'
+         ELSE CASE WHEN coalesce(top >= 0.25, false) THEN worst || ' severe at PSI ' || printf('%.4f', top) ELSE 'scores moved, PSI ' || coalesce(printf('%.4f', prediction_psi), 'unknown') END
+              || '; confidence ' || printf('%.4f', confidence) || CASE WHEN confidence >= 0.75 THEN ' reaches ' ELSE ' misses ' END || '0.75' END AS rationale
 FROM cards""",
     ),
 )
@@ -70,7 +70,7 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = decisions.decide(t.events(spark, sf_dir), decisions.policy_table(spark))
     return cards.select(
         "card_id", "policy_version", "scenario", _date(), "action", "disposition", "rule_id", "confidence", "status",
-        F.regexp_replace("rationale", r" \(PSI [^)]*\)", "").alias("rationale"),
+        "rationale",
     )
 
 
@@ -464,7 +464,7 @@ def backtest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     )
     # Written before it is measured: the perturbed streams are read by several aggregations.
-    windows = t.written_once(spark, sf_dir, "perturbed_windows", lambda: row_windows(streams, "event_id", "event_id", BLOCK, groups=["scenario"]))
+    windows = t.written_once(spark, sf_dir, "perturbed_windows", lambda: row_windows(streams, "event_id", "event_id", BLOCK, groups=["scenario"], keep_partial=False))
     spec = drift.MonitorSpec(("scenario", "window_index"), ("value", "k", "hour"), ("ub",), "score")
     index = F.col("window_index")
     events = drift.window_events(reference, windows, spec, scenario="scenario", window_start=window_start(index), window_end=window_end(index), window_number=index)

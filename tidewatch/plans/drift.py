@@ -34,7 +34,7 @@ FROM placed WHERE (window_index + 1) * 700 <= total GROUP BY window_index
 )
 def row_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = t.table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    blocks = row_windows(events, "ts", "event_id", 700)
+    blocks = row_windows(events, "ts", "event_id", 700, keep_partial=False)
     return blocks.groupBy("window_index").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("event_id").alias("first_event"),
@@ -260,7 +260,7 @@ def next_window_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_window_on_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first block of each stream that the record, here a fifth of the days, does not cover."""
     _, serving = t.split_stream(t.stream(spark, sf_dir))
-    blocks = row_windows(serving.select("scenario", "ts", "event_id", "value"), "ts", "event_id", 50, groups=["scenario"])
+    blocks = row_windows(serving.select("scenario", "ts", "event_id", "value"), "ts", "event_id", 50, groups=["scenario"], keep_partial=False)
     days = t.events(spark, sf_dir).groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
     on_record = days.where("n >= 5").select("scenario", window_start(F.floor(F.col("n") / 5) - 1).alias("window_start"))
     due = next_windows(blocks, on_record)

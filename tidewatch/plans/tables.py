@@ -18,7 +18,7 @@ from tidewatch.sources.schemas import ALIAS_MOVE
 REFERENCE_END = "2024-01-11"
 SPEC = drift.MonitorSpec(("scenario", "w"), ("value", "k", "hour"), ("ub",), "score")
 GROUP_COLUMNS = ("lang", "toxic")
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _version(spark: SparkSession, sf_dir: str) -> int:
+    """Changes with the names, sizes and times of the input's files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(sf_dir)
+    return found.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+
+
 def written_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _version(spark, sf_dir))
     if key not in _WRITTEN:
         path = shared_folder(spark, name)
         build().write.parquet(path)

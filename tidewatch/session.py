@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -34,14 +35,22 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return spark
 
 
+@lru_cache(maxsize=None)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tidewatch-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the folder every executor can reach.
 
-    Only where the cluster names none (tests, a laptop) is a local folder used.
+    Where none is named, a session on one machine uses a temporary folder; any other is refused,
+    as its executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidewatch-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Natural keys of the append-only tables.
+EVENT_KEY = ("scenario", "window_start")
 CARD_KEY = ("drift_event_id", "policy_version")
 RUN_KEY = ("card_id", "mode", "challenger_version")
 APPROVAL_KEY = ("kind", "subject")
@@ -21,13 +22,19 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def unwritten(new: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The rows of ``new`` whose key is not stored; one per key, the first in ``order``.
 
-    Keys may hold nulls, which equal each other here.
+    Keys may hold nulls, which equal each other here. Without an order repeats of a row are one,
+    and a key that comes with different rows is refused: the write fails, nothing is picked.
     """
     existing = stored.select(*keys).distinct()
     fresh = new.join(existing, null_safe(new, existing, keys), "left_anti")
-    if not order:
-        return fresh.dropDuplicates(list(keys))
     rest = [c for c in new.columns if c not in keys]
+    if not order:
+        row = F.struct(*rest) if rest else F.struct(F.lit(0))
+        content = F.xxhash64(F.to_json(row))
+        one = fresh.groupBy(*keys).agg(F.first(row).alias("__row"), (F.min(content) == F.max(content)).alias("__same"))
+        clash = F.concat(F.lit("different rows share the key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+        one = one.where(F.when(F.col("__same"), F.lit(True)).otherwise(F.raise_error(clash).cast("boolean")))
+        return one.select(*keys, "__row.*").select(*new.columns) if rest else one.select(*keys)
     ranked = fresh.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
     return ranked.select(*keys, "__row.*").select(*new.columns)
 
@@ -73,7 +80,7 @@ def split_decisions(new: DataFrame, stored: DataFrame, keys: Sequence[str] = APP
     known = stored.select(*keys).distinct().withColumn("__known", F.lit(True))
     marked = rows.join(earliest, list(keys)).join(known, list(keys), "left")
     stands = F.col("__known").isNull() & order.eqNullSafe(F.col("__first"))
-    reason = F.format_string("%s of %s has already been decided", F.lower(F.col("kind")), F.col("subject"))
+    reason = F.format_string("%s: a %s decision is on record", F.col("subject"), F.lower(F.col("kind")))
     left_over = F.col("copies") - F.when(stands, F.lit(1)).otherwise(F.lit(0))
     return (
         marked.where(stands).select(*new.columns),
