@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import decisions
 from tidewatch.streaming import monitor
 
 
@@ -23,7 +24,7 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
 
     def start():
         stream = spark.readStream.schema("ts timestamp, v double, g string").parquet(source)
-        decide = lambda df: df.select("window_start", F.when(F.col("max_psi") >= 0.25, F.lit("FULL_RETRAIN")).otherwise(F.lit("NO_OP")).alias("action"))
+        decide = lambda df: decisions.decide(df, decisions.policy_table(spark))
         q = monitor.start_monitor(stream, bins, "ts", cuts, ["g"], events_path=out, checkpoint=check, decide=decide, cards_path=cards)
         q.awaitTermination()
         return spark.read.parquet(out).count()
@@ -39,8 +40,8 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     got = {r["window_start"]: round(r["max_psi"], 9) for r in spark.read.parquet(out).collect()}
     batch = monitor.measured_rows(monitor.psi_of_bins(monitor.windowed_bins(everything, "ts", cuts, ["g"]), bins))
     assert got == {r["window_start"]: round(r["max_psi"], 9) for r in batch.collect()} and len(got) == 5
-    actions = {r["window_start"].day: r["action"] for r in spark.read.parquet(cards).collect()}
-    assert actions == {1: "NO_OP", 2: "NO_OP", 3: "NO_OP", 4: "FULL_RETRAIN"}
+    actions = {(r["window_start"].day, r["policy_version"]): r["action"] for r in spark.read.parquet(cards).collect()}
+    assert actions == {(day, f"policy-v{v}"): "FULL_RETRAIN" if day == 4 else "NO_OP" for day in range(1, 5) for v in (1, 2)}
 
 
 def test_failed_shadow_scores_stay_as_rows(spark, tmp_path):

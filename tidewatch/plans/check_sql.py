@@ -126,8 +126,7 @@ dev AS (
 """
 
 # Needs WITH RECURSIVE.
-RUNS_OF_BREACHES = f"""
-{EVENTS.strip()},
+DECIDED_RUNS = """
 policies(policy_version, psi_breach) AS (VALUES ('policy-v1', 0.1::DOUBLE), ('policy-v2', 0.2::DOUBLE)),
 named_sets AS (
   SELECT policy_version, psi_breach, d.scenario, d.w,
@@ -154,8 +153,9 @@ terms AS (
 weighed AS (SELECT *, round(0.35 * severity + 0.2 * breadth + 0.2 * persistence + 0.25 * evidence, 6) AS confidence FROM terms)
 """
 
-CARDS = f"""
-{RUNS_OF_BREACHES.strip()},
+RUNS_OF_BREACHES = f"{EVENTS.strip()},\n{DECIDED_RUNS.strip()}"
+
+RULED = """
 ruled AS (
   SELECT *, CASE WHEN coalesce(top >= 0.25, false) OR prediction_drift THEN '4'
                  WHEN run >= 2 AND len(persistent) > 0 THEN '3'
@@ -173,6 +173,8 @@ cards AS (
   FROM ruled)
 """
 
+CARDS = f"{RUNS_OF_BREACHES.strip()},\n{RULED.strip()}"
+
 SCORED = """
 scored AS (
   SELECT l.doc_id, d.lang, d.source, CAST(l.toxic AS VARCHAR) AS toxic, l.quality AS y,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewatch.operators import decisions
 from tidewatch.operators.drift import quantile_bins, reference_quantile_edges
 from tidewatch.operators.quality import ranking_metrics
 from tidewatch.plans import check_sql as c
@@ -54,6 +55,50 @@ def stream_drift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_date"), F.round("max_psi", 6).alias("max_psi"), "breaching_feature_count", "current_rows")
 
 
+# Two streams' windows and two policies: the events of the stream, then the rule table of the batch plans.
+_STREAM_EVENTS = (
+    c.STREAM,
+    """tagged AS (SELECT scenario, w, w < DATE '2024-01-11' AS is_ref, ub, CAST((SELECT len(list_filter(qs, lambda x: x > list_min(qs) AND x < list_max(qs) AND x <= s.value))
+        FROM (SELECT list_distinct(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS qs FROM ref)) AS VARCHAR) AS vb,
+        CAST((SELECT len(list_filter(qs, lambda x: x > list_min(qs) AND x < list_max(qs) AND x <= s.score))
+        FROM (SELECT list_distinct(quantile_cont(score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS qs FROM ref)) AS VARCHAR) AS sb FROM strm s)""",
+    "long_b AS (SELECT scenario, w, is_ref, 'value' AS feature, vb AS bin FROM tagged UNION ALL SELECT scenario, w, is_ref, 'ub', ub FROM tagged UNION ALL SELECT scenario, w, is_ref, 'score', sb FROM tagged)",
+    "r AS (SELECT feature, bin, count(*) AS n FROM long_b WHERE is_ref GROUP BY ALL)",
+    "cu AS (SELECT scenario, w, feature, bin, count(*) AS n FROM long_b WHERE NOT is_ref GROUP BY ALL)",
+    "ct AS (SELECT scenario, w, feature, sum(n) AS nc FROM cu GROUP BY ALL)",
+    "rt AS (SELECT feature, sum(n) AS nr FROM r GROUP BY ALL)",
+    "bins AS (SELECT DISTINCT feature, bin FROM long_b)",
+    f"""dev_long AS (SELECT ct.scenario, ct.w, ct.feature, max(nc) AS nc, sum({c.floor_psi('coalesce(r.n, 0) / nr::DOUBLE', 'coalesce(cu.n, 0) / nc::DOUBLE')}) AS psi
+        FROM ct JOIN rt USING (feature) JOIN bins b ON b.feature = ct.feature LEFT JOIN r ON r.feature = ct.feature AND r.bin = b.bin
+        LEFT JOIN cu ON cu.scenario = ct.scenario AND cu.w = ct.w AND cu.feature = ct.feature AND cu.bin = b.bin GROUP BY ct.scenario, ct.w, ct.feature)""",
+    """dev AS (SELECT 'de-' || lower(scenario) || '-d' || strftime(w, '%Y%m%d') || '-' || substr(sha256('stream|' || scenario || '|' || strftime(w, '%Y-%m-%d') || ' 00:00:00'), 1, 8) AS event_id,
+        scenario, w, max(psi) FILTER (feature = 'score') AS prediction_psi, coalesce(max(psi) FILTER (feature = 'score') >= 0.1, false) AS prediction_drift,
+        max(psi) FILTER (feature <> 'score') AS max_psi, count(*) FILTER (feature <> 'score' AND psi >= 0.1) AS breaching_feature_count FROM dev_long GROUP BY scenario, w)""",
+    c.DECIDED_RUNS.replace("breach_count / 4::DOUBLE", "breach_count / 2::DOUBLE"),
+    c.RULED,
+)
+
+
+@query(
+    "stream_decisions",
+    c.with_(*_STREAM_EVENTS, recursive=True, select="SELECT card_id, policy_version, scenario, strftime(w, '%Y-%m-%d') AS window_date, action, disposition, rule_id, CAST(run AS BIGINT) AS run, confidence FROM cards"),
+)
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stream's windows measured and decided as they close, under both policies, with the real rule table."""
+    reference, serving = t.split_stream(t.stream(spark, sf_dir))
+    cuts = {name: quantile_bins(e) for name, e in reference_quantile_edges(reference, ["value", "score"]).items()}
+    bins = t.written_once(spark, sf_dir, "decision_bins", lambda: monitor.reference_bins(reference, cuts, ["ub"]))
+    _, rows = t.split_stream(t.as_stream_features(_stream(spark, sf_dir, "events")))
+    folder = shared_folder(spark, "stream-decisions")
+    policies = decisions.policy_table(spark)
+    options = {"scenario": "scenario", "score": "score", "events_path": f"{folder}/events", "decide": lambda events: decisions.decide(events, policies), "cards_path": f"{folder}/cards"}
+    monitor.start_monitor(rows, bins, "ts", cuts, ["ub"], checkpoint=f"{folder}/checkpoint", **options).awaitTermination()
+    monitor.close_open_windows(as_utc_timestamps(serving), bins, "ts", cuts, ["ub"], **options)
+    cards = spark.read.parquet(f"{folder}/cards")
+    run = F.col("trigger.consecutive_breaching_windows").cast("bigint").alias("run")
+    return cards.select("card_id", "policy_version", "scenario", F.date_format("window_start", "yyyy-MM-dd").alias("window_date"), "action", "disposition", "rule_id", run, "confidence")
+
+
 @query(
     "stream_dual_scoring",
     """SELECT 'audit' AS sink, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, count(*) AS rows, round(sum(CASE WHEN event_type <> 'error' THEN least(value, 500) / 500 END), 4) AS total FROM events GROUP BY ALL

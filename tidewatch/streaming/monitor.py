@@ -12,18 +12,21 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.operators.drift import psi_from_counts
+from tidewatch.functions.numbers import digest_id
+from tidewatch.operators.drift import CATEGORICAL, KS_P_VALUE, NUMERIC, PREDICTION_PSI, PSI_BREACH, PSI_SEVERE, psi_from_counts
 from tidewatch.operators.ordering import assign_buckets
 from tidewatch.sources import sinks
 
-WINDOW_KEY = ("window_start",)
+STREAM = "scenario"
+ROWS = "__rows"  # the pseudo-feature whose one bin counts all rows of a window
 
 
 def to_bins(df: DataFrame, keep: Sequence[Column | str], cuts: Mapping[str, Sequence[float]], categorical: Sequence[str]) -> DataFrame:
-    """Long (keep, feature, bin) rows with cut points fixed by the reference."""
+    """Long (keep, feature, bin) rows with cut points fixed by the reference, and one per row for ROWS."""
     plan = {c: (f"__bin_{c}", points) for c, points in cuts.items()}
     wide = assign_buckets(df.withColumns({c: F.col(c).cast("double") for c in cuts}) if cuts else df, plan)
     pairs = [
+        F.struct(F.lit(ROWS).alias("feature"), F.lit("all").alias("bin")),
         *[F.struct(F.lit(c).alias("feature"), F.col(f"__bin_{c}").cast("string").alias("bin")) for c in cuts],
         *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bin")) for c in categorical],
     ]
@@ -34,59 +37,112 @@ def reference_bins(reference: DataFrame, cuts: Mapping[str, Sequence[float]], ca
     return to_bins(reference, [], cuts, categorical).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n_ref"))
 
 
-def windowed_bins(stream: DataFrame, ts: str, cuts: Mapping[str, Sequence[float]], categorical: Sequence[str], *, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Bin counts per event-time window of a stream or of a batch frame."""
+def _stream_of(df: DataFrame, scenario: str | None) -> Column:
+    return (F.lit("stream") if scenario is None else F.col(scenario)).alias(STREAM)
+
+
+def windowed_bins(
+    stream: DataFrame, ts: str, cuts: Mapping[str, Sequence[float]], categorical: Sequence[str], *,
+    scenario: str | None = None, width: str = "1 day", late: str = "1 hour",
+) -> DataFrame:
+    """Bin counts per stream and event-time window, of a stream or of a batch frame.
+
+    ``scenario`` names the column that tells the monitored streams apart; without it all rows
+    are one stream.
+    """
     marked = stream.withWatermark(ts, late) if stream.isStreaming else stream
-    long = to_bins(marked, [F.window(ts, width).alias("window"), ts], cuts, categorical)
-    counted = long.groupBy(F.col("window"), "feature", "bin").agg(F.count(F.lit(1)).alias("n_cur"))
-    return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "feature", "bin", "n_cur")
+    named = marked.withColumn("__stream", _stream_of(marked, scenario))
+    long = to_bins(named, [F.col("__stream"), F.window(ts, width).alias("window"), ts], cuts, categorical)
+    counted = long.groupBy("__stream", F.col("window"), "feature", "bin").agg(F.count(F.lit(1)).alias("n_cur"))
+    return counted.select(F.col("__stream").alias(STREAM), F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "feature", "bin", "n_cur")
 
 
 def psi_of_bins(counts: DataFrame, reference: DataFrame) -> DataFrame:
-    """(window_start, window_end, feature, psi) of closed windows' bin counts."""
-    psi = psi_from_counts(reference, counts, ["window_start", "window_end"])
-    return psi.select("window_start", "window_end", "feature", "psi", F.col("cur_rows").alias("current_rows"))
+    """(scenario, window_start, window_end, feature, psi, ref_rows, current_rows) of closed windows' bin counts."""
+    psi = psi_from_counts(reference, counts, [STREAM, "window_start", "window_end"])
+    return psi.select(STREAM, "window_start", "window_end", "feature", "psi", "ref_rows", F.col("cur_rows").alias("current_rows"))
+
 
+def measured_rows(
+    psi: DataFrame, *, score: str | None = None, categorical: Sequence[str] = (), run_id: str = "stream", model_version: str | None = None, data_version: str | None = None,
+) -> DataFrame:
+    """One drift event per stream and closed window, in the columns the decision step reads.
 
-def measured_rows(psi: DataFrame, breach: float = 0.10) -> DataFrame:
-    """One row per closed window."""
-    return psi.groupBy("window_start", "window_end").agg(
-        F.max("psi").alias("max_psi"), F.count_if(F.col("psi") >= breach).alias("breaching_feature_count"), F.max("current_rows").alias("current_rows")
+    ``score`` names the feature that holds the model's score; it is measured apart from the others.
+    """
+    is_score = F.col("feature") == F.lit(score) if score else F.lit(False)
+    is_feature = ~is_score & (F.col("feature") != ROWS)
+    kind = F.when(F.col("feature").isin(*categorical), F.lit(CATEGORICAL)).otherwise(F.lit(NUMERIC)) if categorical else F.lit(NUMERIC)
+    stat = F.when(
+        is_feature,
+        F.struct("feature", kind.alias("kind"), "psi", F.lit(None).cast("double").alias("ks_p_value"), (F.col("psi") >= PSI_BREACH).alias("breaching"), (F.col("psi") >= PSI_SEVERE).alias("severe")),
+    )
+    whole = F.col("feature") == ROWS
+    rows = psi.groupBy(STREAM, "window_start", "window_end").agg(
+        F.array_sort(F.collect_list(stat)).alias("feature_stats"),  # one per monitored feature
+        F.max(F.when(is_score, F.col("psi"))).alias("prediction_psi"), F.max(F.when(is_feature, F.col("psi"))).alias("max_psi"),
+        F.count_if(is_feature & (F.col("psi") >= PSI_BREACH)).alias("breaching_feature_count"),
+        F.max(F.when(whole, F.col("ref_rows"))).alias("reference_rows"), F.max(F.when(whole, F.col("current_rows"))).alias("current_rows"),
     )
+    day = F.date_format("window_start", "yyyyMMdd")
+    identity = F.concat_ws("|", F.lit(run_id), F.col(STREAM), F.col("window_start").cast("string"))
+    text = lambda value: F.lit(value).cast("string")
+    return rows.select(
+        digest_id("de", F.concat(F.lower(F.col(STREAM)), F.lit("-d"), day), identity).alias("event_id"), F.col("window_end").cast("timestamp").alias("created_at"),
+        "window_start", "window_end", STREAM, "feature_stats", F.coalesce(F.col("prediction_psi") >= PREDICTION_PSI, F.lit(False)).alias("prediction_drift"), "prediction_psi", "max_psi",
+        "breaching_feature_count", "reference_rows", "current_rows", text(None).alias("report_uri"), text(model_version).alias("model_version"), text(data_version).alias("data_version"),
+        F.struct(
+            F.lit(PSI_BREACH).alias("psi_breach"), F.lit(PSI_SEVERE).alias("psi_severe"), F.lit(KS_P_VALUE).alias("ks_p_value"),
+            F.lit(PREDICTION_PSI).alias("prediction_psi"), F.size("feature_stats").alias("monitored_features"),
+        ).alias("policy_thresholds"),
+    )
 
 
 def start_monitor(
     stream: DataFrame, reference: DataFrame, ts: str, cuts: Mapping[str, Sequence[float]], categorical: Sequence[str], *,
-    events_path: str, checkpoint: str, late: str = "1 hour", decide: Callable[[DataFrame], DataFrame] | None = None, cards_path: str | None = None,
-    trigger: Mapping | None = None,
+    events_path: str, checkpoint: str, scenario: str | None = None, score: str | None = None, late: str = "1 hour",
+    decide: Callable[[DataFrame], DataFrame] | None = None, cards_path: str | None = None, trigger: Mapping | None = None,
 ) -> StreamingQuery:
     """Starts the monitor. Measurements are appended before decisions, and survive one that fails.
 
-    ``reference`` is a stored table of reference bin counts. A second start from the same
-    checkpoint goes on where the first stopped.
+    ``reference`` is a stored table of reference bin counts. ``decide`` turns the events on record
+    into cards, one per event and policy; those of the batch's windows are appended. A second start
+    from the same checkpoint goes on where the first stopped.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # the batch is read several times and must leave the state once
-        rows = measured_rows(psi_of_bins(batch, reference))
-        sinks.append_once(rows, events_path, WINDOW_KEY)
+        rows = measured_rows(psi_of_bins(batch, reference), score=score, categorical=categorical)
+        sinks.append_once(rows, events_path, sinks.EVENT_KEY)
         if decide is not None and cards_path is not None:
-            stored = batch.sparkSession.read.schema(rows.schema).parquet(events_path)
-            fresh = stored.join(batch.select("window_start").distinct(), "window_start", "left_semi")
-            sinks.append_once(decide(fresh), cards_path, WINDOW_KEY)
+            append_cards(batch.sparkSession.read.schema(rows.schema).parquet(events_path), batch, decide, cards_path)
         batch.unpersist()
 
-    counts = windowed_bins(stream, ts, cuts, categorical, late=late)
+    counts = windowed_bins(stream, ts, cuts, categorical, scenario=scenario, late=late)
     writer = counts.writeStream.outputMode("append").foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def close_open_windows(rows: DataFrame, reference: DataFrame, ts: str, cuts: Mapping[str, Sequence[float]], categorical: Sequence[str], *, events_path: str) -> None:
-    """Measures, in batch, the windows the watermark has not passed when a stream is ended."""
-    counts = windowed_bins(rows, ts, cuts, categorical)
+def append_cards(events: DataFrame, windows: DataFrame, decide: Callable[[DataFrame], DataFrame], cards_path: str) -> None:
+    """Decides with all events as history and appends the cards of ``windows``, once per event and policy."""
+    due = events.join(windows.select(*sinks.EVENT_KEY).distinct(), list(sinks.EVENT_KEY), "left_semi")
+    cards = decide(events).join(due.select(F.col("event_id").alias("drift_event_id")), "drift_event_id", "left_semi")
+    sinks.append_once(cards, cards_path, sinks.CARD_KEY)
+
+
+def close_open_windows(
+    rows: DataFrame, reference: DataFrame, ts: str, cuts: Mapping[str, Sequence[float]], categorical: Sequence[str], *, events_path: str,
+    scenario: str | None = None, score: str | None = None, decide: Callable[[DataFrame], DataFrame] | None = None, cards_path: str | None = None,
+) -> None:
+    """Measures (and decides), in batch, the windows the watermark has not passed when a stream is ended."""
+    counts = windowed_bins(rows, ts, cuts, categorical, scenario=scenario)
     stored = rows.sparkSession.read.parquet(events_path)
-    still_open = counts.join(stored.select("window_start").distinct(), "window_start", "left_anti")
-    sinks.append_once(measured_rows(psi_of_bins(still_open, reference)), events_path, WINDOW_KEY)
+    still_open = counts.join(stored.select(*sinks.EVENT_KEY).distinct(), list(sinks.EVENT_KEY), "left_anti")
+    measured = measured_rows(psi_of_bins(still_open, reference), score=score, categorical=categorical)
+    sinks.append_once(measured, events_path, sinks.EVENT_KEY)
+    if decide is not None and cards_path is not None:
+        events = rows.sparkSession.read.schema(measured.schema).parquet(events_path)
+        append_cards(events, events, decide, cards_path)  # cards on record stay as they are
 
 
 def start_scoring(
