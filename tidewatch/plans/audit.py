@@ -70,12 +70,12 @@ def prediction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUDIT_LOG = """
 log AS (
   SELECT CAST(w AS TIMESTAMP) + INTERVAL 1 DAY AS ts, 'drift' AS kind, event_id AS ref, scenario AS subject,
-         'window ' || strftime(w, '%Y-%m-%d') || ': ' || breaching_feature_count || ' breaching, max PSI ' || printf('%.4f', max_psi) || ', prediction drift ' || CASE WHEN prediction_drift THEN 'True' ELSE 'False' END AS summary FROM dev
+         strftime(w, '%Y-%m-%d') || ': breaches ' || breaching_feature_count || ', PSI ' || printf('%.4f', max_psi) || CASE WHEN prediction_drift THEN ', scores moved' ELSE '' END AS summary FROM dev
   UNION ALL SELECT CAST(w AS TIMESTAMP) + INTERVAL 1 DAY, 'card', card_id, scenario,
-         policy_version || ' rule ' || rule_id || ': ' || action || ' / ' || disposition || ' (confidence ' || printf('%.4f', confidence) || ') -> ' || state FROM stated
-  UNION ALL SELECT created_at, 'retrain', run_id, card_id, mode || ' challenger ' || challenger_version || ' vs champion ' || champion_version || ': ' || outcome || ' (' || failed_criteria_count || ' failed checks)' || coalesce(', authorised by ' || authorized_by, '') FROM runs
-  UNION ALL SELECT ts, 'approval', approval_id, card_id, kind || ' ' || decision || ' by ' || approver || ': ' || reason FROM approvals
-  UNION ALL SELECT CAST(timestamp_utc AS TIMESTAMP), 'alias', alias, to_version, action || ' ' || alias || ': ' || coalesce(from_version, 'None') || ' -> ' || to_version || ' by ' || actor || ' (' || reason || ')' FROM moves)
+         action || ' by rule ' || rule_id || ' of ' || policy_version || ', ' || disposition || ', confidence ' || printf('%.4f', confidence) || ', now ' || state FROM stated
+  UNION ALL SELECT created_at, 'retrain', run_id, card_id, outcome || ' of ' || challenger_version || ' against ' || champion_version || ', ' || mode || ', failures ' || failed_criteria_count || coalesce(', let through by ' || authorized_by, '') FROM runs
+  UNION ALL SELECT ts, 'approval', approval_id, card_id, approver || ': ' || decision || ' for ' || kind || ', ' || reason FROM approvals
+  UNION ALL SELECT CAST(timestamp_utc AS TIMESTAMP), 'alias', alias, to_version, actor || ': ' || action || ' ' || alias || ' from ' || coalesce(from_version, 'None') || ' to ' || to_version || ', ' || reason FROM moves)
 """
 
 
@@ -142,29 +142,36 @@ def card_history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("card_id", "state", "current_rows", size("runs"), size("approvals"), F.element_at("runs", -1)["outcome"].alias("last_outcome"))
 
 
-REPORT = """
-SELECT card_id, '1. Decision' AS section, 'Current state' AS key, state AS value FROM stated
-UNION ALL SELECT card_id, '1. Decision', 'Policy version', policy_version FROM stated
-UNION ALL SELECT card_id, '1. Decision', 'Rule', rule_id FROM stated
-UNION ALL SELECT card_id, '1. Decision', 'Action', action FROM stated
-UNION ALL SELECT card_id, '1. Decision', 'Disposition', disposition FROM stated
-UNION ALL SELECT card_id, '1. Decision', 'Confidence', printf('%.4f', confidence) FROM stated
-UNION ALL SELECT card_id, '1. Decision', 'Card status at emission', CASE WHEN action IN ('FULL_RETRAIN', 'INCREMENTAL_RETRAIN') THEN 'OPEN' ELSE 'CLOSED' END FROM stated
-UNION ALL SELECT card_id, '3. Trigger evidence', 'Drift event', drift_event_id FROM stated
-UNION ALL SELECT card_id, '3. Trigger evidence', 'Monitored features', '4' FROM stated
-UNION ALL SELECT card_id, '3. Trigger evidence', 'Max PSI', printf('%.4f', max_psi) FROM stated
-UNION ALL SELECT card_id, '3. Trigger evidence', 'Prediction drift', CAST(prediction_drift AS VARCHAR) FROM stated
-UNION ALL SELECT card_id, '3. Trigger evidence', 'Consecutive breaching windows', CAST(run AS VARCHAR) FROM stated
-UNION ALL SELECT card_id, '3. Trigger evidence', 'Rows (reference / window)', reference_rows || ' / ' || current_rows FROM stated JOIN dev ON event_id = drift_event_id
-UNION ALL SELECT card_id, '4. Policy reasoning', 'Downgraded from', '-' FROM stated
-UNION ALL SELECT card_id, '5. Acceptance criteria', 'Pinned data version', 'd1' FROM stated
-UNION ALL SELECT card_id, '9. Lineage', 'Model version measured', 'v1' FROM stated
-UNION ALL SELECT card_id, '9. Lineage', 'Reference data version', 'd1' FROM stated
-UNION ALL SELECT card_id, '3. Trigger evidence', 'Breaching feature ' || feature, printf('%.4f', psi) FROM stated s JOIN dev_long l ON l.scenario = s.scenario AND l.w = s.w AND l.feature <> 'score' AND l.psi >= s.psi_breach
-UNION ALL SELECT card_id, '5. Acceptance criteria', k, v FROM stated, (VALUES ('auroc_non_inferiority_margin', '0.005'), ('recall_top_decile_min_ratio', '1.0'), ('max_brier_increase', '0.005'), ('max_ece', '0.05'), ('max_subgroup_auroc_drop', '0.01')) AS cr(k, v)
-UNION ALL SELECT card_id, '6. Retrain runs and gate verdicts', run_id, outcome || ' (' || failed_criteria_count || ' failed checks)' FROM runs
-UNION ALL SELECT card_id, '7. Human decisions', approval_id, decision || ' by ' || approver FROM approvals
-UNION ALL SELECT card_id, '8. Model registry moves', timestamp_utc || ' ' || action || ' ' || alias, coalesce(from_version, 'None') || ' -> ' || to_version FROM (
+REPORT = f"""
+SELECT card_id, 'decision' AS section, 'state' AS key, state AS value FROM stated
+UNION ALL SELECT card_id, 'decision', 'policy', policy_version FROM stated
+UNION ALL SELECT card_id, 'decision', 'rule', rule_id FROM stated
+UNION ALL SELECT card_id, 'decision', 'action', action FROM stated
+UNION ALL SELECT card_id, 'decision', 'disposition', disposition FROM stated
+UNION ALL SELECT card_id, 'decision', 'confidence', printf('%.4f', confidence) FROM stated
+UNION ALL SELECT card_id, 'decision', 'status', CASE WHEN action IN ('FULL_RETRAIN', 'INCREMENTAL_RETRAIN') THEN 'OPEN' ELSE 'CLOSED' END FROM stated
+UNION ALL SELECT card_id, 'evidence', 'event', drift_event_id FROM stated
+UNION ALL SELECT card_id, 'evidence', 'features', '4' FROM stated
+UNION ALL SELECT card_id, 'evidence', 'psi', printf('%.4f', max_psi) FROM stated
+UNION ALL SELECT card_id, 'evidence', 'scores moved', CAST(prediction_drift AS VARCHAR) FROM stated
+UNION ALL SELECT card_id, 'evidence', 'run', CAST(run AS VARCHAR) FROM stated
+UNION ALL SELECT card_id, 'evidence', 'rows', reference_rows || ' / ' || current_rows FROM stated JOIN dev ON event_id = drift_event_id
+UNION ALL SELECT card_id, 'reasoning', 'held back from', '-' FROM stated
+UNION ALL SELECT card_id, 'reasoning', 'rationale', {c.RATIONALE} FROM stated
+UNION ALL SELECT card_id, 'decision', 'stream', scenario FROM stated
+UNION ALL SELECT card_id, 'decision', 'window', strftime(w, '%Y-%m-%d') || ' to ' || strftime(w + INTERVAL 1 DAY, '%Y-%m-%d') FROM stated
+UNION ALL SELECT card_id, 'decision', 'made', strftime(w + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') FROM stated
+UNION ALL SELECT card_id, 'decision', 'confidence: ' || k, printf('%.4f', v) FROM (SELECT card_id, unnest(['severity', 'breadth', 'persistence', 'evidence']) AS k, unnest([round(severity, 6), round(breadth, 6), round(persistence, 6), evidence]) AS v FROM stated)
+UNION ALL SELECT card_id, 'evidence', 'score psi', coalesce(printf('%.4f', prediction_psi), '-') FROM stated
+UNION ALL SELECT card_id, 'evidence', 'labels', 'leading_indicators' FROM stated
+UNION ALL SELECT card_id, 'criteria', 'data', 'd1' FROM stated
+UNION ALL SELECT card_id, 'lineage', 'model', 'v1' FROM stated
+UNION ALL SELECT card_id, 'lineage', 'reference', 'd1' FROM stated
+UNION ALL SELECT card_id, 'evidence', 'breach of ' || feature, printf('%.4f', psi) FROM stated s JOIN dev_long l ON l.scenario = s.scenario AND l.w = s.w AND l.feature <> 'score' AND l.psi >= s.psi_breach
+UNION ALL SELECT card_id, 'criteria', k, v FROM stated, (VALUES ('auroc_non_inferiority_margin', '0.005'), ('recall_top_decile_min_ratio', '1.0'), ('max_brier_increase', '0.005'), ('max_ece', '0.05'), ('max_subgroup_auroc_drop', '0.01')) AS cr(k, v)
+UNION ALL SELECT card_id, 'runs', run_id, outcome || ', failures ' || failed_criteria_count || ', ' || mode FROM runs
+UNION ALL SELECT card_id, 'people', approval_id, approver || ': ' || decision || ', ' || reason FROM approvals
+UNION ALL SELECT card_id, 'moves', timestamp_utc || ' ' || action || ' ' || alias, actor || ': ' || coalesce(from_version, 'None') || ' to ' || to_version FROM (
   SELECT DISTINCT k.card_id, m.* FROM moves m JOIN (SELECT card_id, card_id AS key_ FROM cards UNION SELECT card_id, run_id FROM runs) k ON contains(m.reason, k.key_))
 """
 
@@ -174,7 +181,7 @@ def card_report_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs, cards, approvals = t.runs(spark, sf_dir), t.cards(spark, sf_dir), t.approvals(spark, sf_dir)
     history = lifecycle.card_history(cards, t.events(spark, sf_dir), runs, approvals)
     moves = lifecycle.moves_by_card(t.alias_moves(spark, sf_dir), runs, cards)
-    return lifecycle.card_report(history, moves).where("key <> 'Rationale'")
+    return lifecycle.card_report(history, moves)
 
 
 @query(

@@ -340,3 +340,12 @@ shadow AS (
          CASE WHEN doc_id % 50 <> 0 THEN CAST((doc_id * 37) % 101 AS DOUBLE) / 101::DOUBLE END AS s
   FROM documents)
 """
+
+# A card's sentence, from the columns of ``cards``.
+RATIONALE = """CASE rule_id
+         WHEN '1' THEN 'quiet window: all features stay below PSI ' || psi_breach || ', scores steady'
+         WHEN '2' THEN breach_count || ' mild breach(es) in PSI [' || psi_breach || ', 0.25), not yet repeated: alert'
+         WHEN '3' THEN 'over the limit ' || run || ' windows in a row: ' || array_to_string(persistent, ', ')
+         WHEN 'uncovered' THEN breach_count || ' breach(es) of PSI ' || psi_breach || ' fit no rule of ' || policy_version || ': ALERT_ONLY'
+         ELSE CASE WHEN coalesce(top >= 0.25, false) THEN worst || ' severe at PSI ' || printf('%.4f', top) ELSE 'scores moved, PSI ' || coalesce(printf('%.4f', prediction_psi), 'unknown') END
+              || '; confidence ' || printf('%.4f', confidence) || CASE WHEN confidence >= 0.75 THEN ' reaches ' ELSE ' misses ' END || '0.75' END"""
