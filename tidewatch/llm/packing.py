@@ -14,10 +14,12 @@ Other columns of the documents are not carried.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -30,18 +32,19 @@ from tidewatch.llm.registry import query
 WINDOW = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-CACHED = 500_000
+KEPT_RUNS = 800_000
 END_OF_WORD = "</w>"
-MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+RUNS = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\s]+")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-class BlockEncoder:
-    """Little-endian 32-bit ids of blocks between ASCII white space, each encoded once and kept.
+class WordEncoder:
+    """Little-endian 32-bit ids of texts; each distinct word is encoded once and kept.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of
-    its blocks. A block of letters and trailing ASCII marks is two of the tokenizer's words; all new
-    words of letters are encoded in one call and told apart by their end-of-word tokens.
+    The tokenizer drops white space and takes runs of letters apart from all else, so a text's ids
+    are those of its letter runs and of the runs between. All new letter runs are encoded in one call
+    and told apart by their end-of-word tokens. A text with a run that the tokenizer might join to its
+    neighbour (an apostrophe, a non-ASCII mark, an added token) is encoded block by block instead.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,61 +58,60 @@ class BlockEncoder:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = word.endswith(END_OF_WORD)
-        self.blocks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+        self.odd: set[bytes] = set()
 
     def _each(self, blocks: list[bytes]) -> dict[bytes, bytes]:
         found = self.tokenizer.encode_batch_fast([b.decode() for b in blocks], add_special_tokens=False)
         return {b: array("I", x.ids).tobytes() for b, x in zip(blocks, found)}
 
-    def _learn_words(self, words: list[bytes]) -> None:
-        """Encodes words of letters."""
-        if len(self.words) + len(words) > CACHED:
-            self.words.clear()
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs of letters."""
         ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         if len(cuts) != len(words):  # a letter that the tokenizer's Unicode tables lack
-            self.words.update(self._each(words))
-            return
-        flat, lo = ids.tobytes(), 0
-        for word, hi in zip(words, cuts):
-            self.words[word] = flat[lo:hi]
-            lo = hi
-
-    def learn(self, fresh: set[bytes]) -> None:
-        plain, whole, new = [], [], set()
-        for b in sorted(fresh):
-            word = b.rstrip(MARKS)
-            if word and word.decode().lower().isalpha() and not any(a in b for a in self.added):
-                plain.append((b, word, b[len(word) :]))
-                if word not in self.words:
-                    new.add(word)
+            return self._each(words)
+        flat = ids.tobytes()
+        return {word: flat[lo:hi] for word, lo, hi in zip(words, [0, *cuts], cuts)}
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        words, marks = [], []
+        for run in fresh:
+            if run[0] < 0x80 and not run[:1].isalpha():
+                (self.odd.add if b"'" in run else marks.append)(run)
+            elif run.isalpha() or run.decode().lower().isalpha():
+                words.append(run)
             else:
-                whole.append(b)
-        if new:
-            self._learn_words(sorted(new))
-            if any(word not in self.words for _, word, _ in plain):  # the store was emptied meanwhile
-                self._learn_words(sorted({word for _, word, _ in plain} - self.words.keys()))
-        tails = {tail for _, _, tail in plain if tail} - self.blocks.keys()
-        self.blocks.update(self._each(sorted(tails | set(whole))))
-        for b, word, tail in plain:
-            self.blocks[b] = self.words[word] + self.blocks[tail] if tail else self.words[word]
+                self.odd.add(run)
+        if words:
+            self.runs.update(self._words(words))
+        if marks:
+            self.runs.update(self._each(marks))
 
     def buffers(self, texts: list[str | None]) -> list[bytes]:
-        rows = [(t or "").encode().split() for t in texts]
-        fresh = set().union(*rows) - self.blocks.keys()
-        if len(self.blocks) + len(fresh) > CACHED:
-            self.blocks.clear()
-            fresh = set().union(*rows)
+        encoded = [(t or "").encode() for t in texts]
+        if len(self.runs) + len(self.odd) > KEPT_RUNS:
+            self.runs.clear()
+            self.odd.clear()
+        rows = [RUNS.findall(b) for b in encoded]
+        known, odd = self.runs, self.odd
+        fresh = set(filterfalse(known.__contains__, chain.from_iterable(rows))) - odd
         if fresh:
-            self.learn(fresh)
-        known = self.blocks
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+            self._learn(fresh)
+        out = []
+        for text, row in zip(encoded, rows):
+            if (odd and not odd.isdisjoint(row)) or any(a in text for a in self.added):
+                blocks = text.split()
+                ids = self._each(list(set(blocks)))
+                out.append(b"".join(map(ids.__getitem__, blocks)))
+            else:
+                out.append(b"".join(map(known.__getitem__, row)))
+        return out
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> BlockEncoder:
-    return BlockEncoder(path)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def token_buffers(texts: list[str | None], path: str) -> list[bytes]:
