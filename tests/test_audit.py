@@ -78,7 +78,7 @@ def test_reasons_are_checked(spark):
 def test_upper_median_drops_nulls_after_the_limit(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 1.0), (3, None), (4, 9.0)], "t int, v double")
     assert l.upper_median_of_latest(df, "v", "t", "t", 3).first()["median"] == 9.0
-    assert l.upper_median_of_latest(df.where("v IS NULL"), "v", "t", "t").first()["median"] is None
+    assert l.upper_median_of_latest(df.where("v IS NULL"), "v", "t", "t", 3).first()["median"] is None
 
 
 def test_fixed_places_round_the_binary_value(spark):

@@ -52,7 +52,7 @@ s AS (SELECT list_sort(list(value)) AS v FROM latest) SELECT round(v[len(v) // 2
 )
 def median_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = t.predictions(spark, sf_dir).where("status = 'success'")
-    return lifecycle.upper_median_of_latest(ok, "latency_ms", "ts", "request_id").select(F.round("median", 6).alias("median"))
+    return lifecycle.upper_median_of_latest(ok, "latency_ms", "ts", "request_id", 500).select(F.round("median", 6).alias("median"))
 
 
 @query("prediction_versions", "SELECT 'v' || (user_id % 3 + 1) AS model_version, count(*) AS predictions, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events WHERE event_type <> 'error' GROUP BY ALL")
