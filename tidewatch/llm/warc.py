@@ -23,8 +23,9 @@ BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcapt
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
 BASE32_DIGITS, BASE32_LETTERS = "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)"
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|noscript\b.*?(?:</noscript\s*>|\z))"
 BLOCK_TAG = rf"(?i)</?(?:{BLOCKS})\b[^>]*(?:>|\z)"
+BLANKS = r"(?: [ \t\r\x0B\f]|[\t\r\x0B\f])[ \t\r\x0B\f]*"  # runs that are not one plain blank already
 OTHER_TAG = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
 TITLE = r"(?is)<title[^>]*>([^<]*)"
 LANGUAGE = r'(?i)<html\b[^>]*\slang="([^">]*)"'
@@ -41,8 +42,8 @@ def _resolved(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Visible text: block elements end lines, blanks are joined, empty lines dropped, entities resolved."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BLOCK_TAG, "\n"), OTHER_TAG, "")
-    joined = F.regexp_replace(F.regexp_replace(bare, r"[ \t\r\x0B\f]+", " "), r" ?\n[ \n]*", "\n")
-    return _resolved(F.regexp_replace(joined, r"^[ \n]+|[ \n]+\z", ""))
+    joined = F.regexp_replace(F.regexp_replace(bare, BLANKS, " "), r" ?\n[ \n]*", "\n")
+    return _resolved(F.btrim(joined, F.lit(" \n")))
 
 
 def digest(content: Column) -> Column:
@@ -145,7 +146,7 @@ response AS (SELECT *, {_id_sql("'response'", "page_id::VARCHAR", "url")} AS ref
 bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{BLOCK_TAG}', chr(10), 'g'), '{OTHER_TAG}', '', 'g') AS b FROM response),
 facts AS (SELECT *, {_digest_sql('html')} AS source_digest, trim(regexp_replace({_resolved_sql(f"regexp_extract(html, '{TITLE}', 1)")}, '\\s+', ' ', 'g')) AS title,
   regexp_extract(html, '{LANGUAGE}', 1) AS language, regexp_extract_all(html, '{LINK}', 1) AS links,
-  {_resolved_sql(r"regexp_replace(regexp_replace(regexp_replace(b, '[ \t\r\x0B\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g')")} AS plain FROM bare),
+  {_resolved_sql("trim(regexp_replace(regexp_replace(b, '" + BLANKS + r"', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))")} AS plain FROM bare),
 records AS (
   SELECT refers_to, url AS refers_to_uri, '2024-01-01T00:00:00Z' AS refers_to_date, source_headers, source_digest, 'metadata' AS warc_type, {_id_sql("'metadata'", 'refers_to')} AS record_id,
     {_id_sql("'conversion'", 'refers_to')} AS concurrent_to, '{METADATA_TYPE}' AS content_type,
