@@ -17,6 +17,7 @@ from pyspark.sql.window import WindowSpec
 
 from tidewatch.functions.numbers import SHARE_FLOOR, digest_id, kolmogorov_p, psi_term, share
 from tidewatch.operators.ordering import (
+    salted_join,
     BUCKET,
     assign_buckets,
     assign_buckets_long,
@@ -243,9 +244,9 @@ def sturges_psi(
     steps = Window.partitionBy(*by).orderBy("edge")
     ref_bins = below.unionByName(last).select(*by, (F.col("edge") - 1).alias("bin"), (F.col("below") - F.coalesce(F.lag("below").over(steps), F.lit(0))).alias("n_ref"))
 
-    # Bin counts of each window. Plans are one row per window: broadcast, or skew-split, by measured size.
+    # Bin counts of each window. Plans are one row per window; a large window's rows are spread by salt.
     wide = spreading.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN feature = '{c}' THEN struct(lo, step, bins) END)").alias(f"__p_{c}") for c in features])
-    placed = rows.join(wide, keys).selectExpr(*keys, *[f"{_bin_of(c)} AS `{c}`" for c in features])
+    placed = salted_join(rows, wide, keys).selectExpr(*keys, *[f"{_bin_of(c)} AS `{c}`" for c in features])
     cur_bins = unpivot_values(placed, keys, features, "int").groupBy(*by, F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n_cur"))
 
     compared = ref_bins.join(cur_bins, [*by, "bin"], "left").join(plan.select(*by, "ref_rows", "cur_rows"), by)

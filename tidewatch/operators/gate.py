@@ -50,9 +50,9 @@ def pinned_criteria(cards: DataFrame, criteria: DataFrame) -> DataFrame:
 
 
 def gate_cards(
-    cards: DataFrame, champion: DataFrame, challenger: DataFrame, champion_groups: DataFrame, challenger_groups: DataFrame, criteria: DataFrame,
+    cards: DataFrame, pairs: DataFrame, champion: DataFrame, challenger: DataFrame, champion_groups: DataFrame, challenger_groups: DataFrame, criteria: DataFrame,
 ) -> DataFrame:
-    """Every card's verdict on every challenger under the thresholds the card pinned.
+    """Each named pair's verdict under the thresholds its card pinned; ``pairs`` is (card_id, challenger).
 
     A verdict depends on the pinned numbers, not on the card, so checks are made once per
     distinct set of numbers and then handed to the cards that pinned it.
@@ -64,7 +64,8 @@ def gate_cards(
         champion, challenger.join(names), champion_groups, challenger_groups.join(names), bars, ["criteria_version", "challenger"]
     )
     verdicts = gate_verdicts(judged, ["criteria_version", "challenger"])
-    return pinned.select("card_id", "criteria_version").join(verdicts, "criteria_version").withColumn("criteria_version", F.concat(F.lit("card:"), F.col("card_id")))
+    named = pinned.select("card_id", "criteria_version").join(pairs.select("card_id", "challenger").distinct(), "card_id")
+    return named.join(verdicts, ["criteria_version", "challenger"]).withColumn("criteria_version", F.concat(F.lit("card:"), F.col("card_id")))
 
 
 def _at_least(observed: Column, required: Column) -> Column:

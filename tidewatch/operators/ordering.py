@@ -345,5 +345,16 @@ def sample_rows(df: DataFrame, keys: Sequence[str], rows: int | None, seed: int
     return hash_select(df, keys, rows=rows, seed=seed, portable=portable).where("selected").drop("selected")
 
 
+def salted_join(left: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
+    """An inner join of many rows with a table of few rows per key, when a few keys hold most rows.
+
+    Each key of the large side is spread over ``salts`` tasks by a hash of the row, and the small
+    side repeated as often. Adaptive execution may still broadcast the small side by its measured size.
+    """
+    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

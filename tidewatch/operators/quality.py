@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.numbers import clipped_log_loss, right_closed_bin, safe_ratio
-from tidewatch.operators.ordering import BUCKET, assign_buckets, cut_points, exact_quantiles, running_totals, union_all
+from tidewatch.operators.ordering import BUCKET, assign_buckets, cut_points, exact_quantiles, running_totals, salted_join, union_all
 
 # Standard settings of the metric report.
 TOP_FRACTION, BINS, DEFAULT_THRESHOLD = 0.10, 10, 0.5
@@ -79,7 +79,7 @@ def _with_recall(df: DataFrame, summary: DataFrame, keys: Sequence[str], label:
     cut = summary.where("cut IS NOT NULL").select(*keys, "cut.p", "cut.take")
     rows = df.select(*keys, F.col(score).cast("double").alias("p"), F.col(tie).cast("double").alias("__t"), F.col(tie).alias("__tie"), (F.col(label) == 1).cast("bigint").alias("pos"))
     rows = assign_buckets(rows, {"__t": (BUCKET, cut_points(rows.select("__t"), ["__t"])["__t"])})
-    tied = rows.join(cut, [*keys, "p"])
+    tied = salted_join(rows, cut, [*keys, "p"])
     parts = tied.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.max("take").alias("take"))
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -157,7 +157,7 @@ def top_fraction_cut(df: DataFrame, keys: Sequence[str], score: str, fraction: f
 
 def confusion_at_top_fraction(df: DataFrame, keys: Sequence[str], label: str, score: str, fraction: float = TOP_FRACTION) -> DataFrame:
     cut = top_fraction_cut(df, keys, score, fraction).withColumnRenamed("threshold", "__cut")
-    joined = df.join(cut, list(keys)) if keys else df.join(F.broadcast(cut))
+    joined = salted_join(df, cut, list(keys)) if keys else df.join(F.broadcast(cut))
     return confusion_counts(joined, keys, label, score, F.col("__cut"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.operators.ordering import cut_points, exact_quantiles, running_totals
+from tidewatch.operators.ordering import cut_points, exact_quantiles, running_totals, salted_join
 
 PAIR = ("champion_version", "shadow_version")
 MIN_REQUESTS = 50
@@ -56,7 +56,7 @@ def shadow_stats(shadow: DataFrame, thresholds: DataFrame | None = None, pair: S
     """One row per model pair; a failed shadow score is counted, never dropped."""
     pair = list(pair)
     limits = thresholds if thresholds is not None else latest_threshold(shadow, pair)
-    both = shadow.join(limits, pair)
+    both = salted_join(shadow, limits, pair)
     c, s = F.col("champion_score"), F.col("shadow_score")
     scored = s.isNotNull()
     diff = F.abs(s - c)

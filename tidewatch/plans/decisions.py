@@ -157,12 +157,15 @@ def gate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.CARDS, c.CHECKS, recursive=True,
         select="""
 SELECT card_id, v.challenger, v.outcome, v.checks, v.failed AS failed_criteria_count, 'card:' || card_id AS criteria_version
-FROM cards CROSS JOIN verdicts v WHERE policy_version = 'policy-v2' AND action IN ('FULL_RETRAIN', 'INCREMENTAL_RETRAIN')""",
+FROM cards JOIN verdicts v ON v.challenger = CASE WHEN n % 2 = 0 THEN 'v3' ELSE 'v2' END OR (v.challenger = 'v9' AND n % 3 = 0) WHERE policy_version = 'policy-v2' AND action IN ('FULL_RETRAIN', 'INCREMENTAL_RETRAIN')""",
     ),
 )
 def gate_by_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every retrain card gates every challenger under the thresholds the card pinned."""
-    found = gate.gate_cards(t.retrain_cards(spark, sf_dir), *t.sides(spark, sf_dir), gate.criteria_table(spark))
+    """Every retrain card gates its own challengers, one trained and for some one known to be bad, under the thresholds it pinned."""
+    cards = t.retrain_cards(spark, sf_dir)
+    own = F.when(F.col("n") % 2 == 0, F.lit("v3")).otherwise(F.lit("v2"))
+    pairs = cards.select("card_id", F.explode(F.array_compact(F.array(own, F.when(F.col("n") % 3 == 0, F.lit("v9"))))).alias("challenger"))
+    found = gate.gate_cards(cards, pairs, *t.sides(spark, sf_dir), gate.criteria_table(spark))
     return found.drop("reasons")
 
 
