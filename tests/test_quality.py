@@ -112,3 +112,11 @@ def test_aliases_and_preconditions(spark):
     got = {r["run_id"]: r for r in s.promotion_preconditions(runs, s.current_aliases(moves), counts).collect()}
     assert got["r1"]["ready_to_approve"] and not got["r2"]["ready_to_approve"]
     assert not got["r2"]["challenger_in_shadow"] and not got["r3"]["champion_unchanged_since_gate"] and got["r2"]["seen"] == 0
+
+
+def test_sets_with_unscored_rows_are_refused_by_name(spark):
+    rows = [("a", 1, 0.5, "x"), ("a", 0, None, "y"), ("b", 1, 0.5, "x"), ("b", 0, 0.2, "y"), ("c", None, 0.1, "x"), ("d", 1, 0.1, "x"), ("e", 1, float("nan"), "x"), ("e", 0, 0.3, "z"), ("f", None, None, "w"), ("f", 1, 0.2, "v"), ("f", 0, 0.1, "u")]
+    df = spark.createDataFrame(rows, "s string, y int, p double, k string")
+    good, refused = q.gate_metrics(df, ["s"], "y", "p", "k")
+    assert {r["s"]: r["reason"] for r in refused.collect()} == {"a": "unscored rows", "c": "unlabelled", "d": "single class", "e": "unscored rows"}
+    assert {r["s"]: r["rows"] for r in good.collect()} == {"b": 2, "f": 2}

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.numbers import clipped_log_loss, right_closed_bin, safe_ratio
-from tidewatch.operators.ordering import BUCKET, assign_buckets, cut_points, exact_quantiles, running_totals, salted_join, union_all
+from tidewatch.operators.ordering import BUCKET, assign_buckets, cut_points, exact_quantiles, running_totals, salted_join, sort_key, union_all
 
 # Standard settings of the metric report.
 TOP_FRACTION, BINS, DEFAULT_THRESHOLD = 0.10, 10, 0.5
@@ -28,7 +28,7 @@ def score_counts(df: DataFrame, keys: Sequence[str], label: str, score: str) ->
 
 
 def ranked_scores(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
-    """Distinct scores with the label counts below, up to and over all of their group."""
+    """Distinct scores with the label counts below, up to and over all of their group; a missing score ranks lowest."""
     points = cut_points(df.select(F.col(score).cast("double").alias("p")), ["p"])["p"]
     return running_totals(score_counts(df, keys, label, score), keys, "p", ["pos", "neg", "n"], points=points)
 
@@ -77,7 +77,7 @@ def _with_recall(df: DataFrame, summary: DataFrame, keys: Sequence[str], label:
     of tie keys is ranked. Its other tied rows are counted per bucket in the map tasks."""
     keys = list(keys)
     cut = summary.where("cut IS NOT NULL").select(*keys, "cut.p", "cut.take")
-    rows = df.select(*keys, F.col(score).cast("double").alias("p"), F.col(tie).cast("double").alias("__t"), F.col(tie).alias("__tie"), (F.col(label) == 1).cast("bigint").alias("pos"))
+    rows = df.select(*keys, F.col(score).cast("double").alias("p"), sort_key(df, tie).alias("__t"), F.col(tie).alias("__tie"), (F.col(label) == 1).cast("bigint").alias("pos"))
     rows = assign_buckets(rows, {"__t": (BUCKET, cut_points(rows.select("__t"), ["__t"])["__t"])})
     tied = salted_join(rows, cut, [*keys, "p"])
     parts = tied.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.max("take").alias("take"))
@@ -206,12 +206,15 @@ def metric_deltas(block: DataFrame, keys: Sequence[str], model: str, base: str,
 
 
 def gate_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str, tie: str) -> tuple[DataFrame, DataFrame]:
-    """(usable metric rows, refused keys with a reason): unlabelled or one-class sets are refused."""
+    """(usable metric rows, refused keys with a reason): unlabelled, one-class or partly unscored sets are refused."""
     labelled = df.where(F.col(label).isNotNull())
-    classes = df.groupBy(*keys).agg(F.count(F.col(label)).alias("labels"), F.count_distinct(F.col(label)).alias("classes"))
-    refused = classes.where("classes < 2").select(
-        *keys, F.when(F.col("labels") == 0, F.lit("unlabelled")).otherwise(F.lit("single class")).alias("reason")
+    known = F.col(label).isNotNull()
+    unscored = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    classes = df.groupBy(*keys).agg(
+        F.count(F.col(label)).alias("labels"), F.count_distinct(F.col(label)).alias("classes"), F.count_if(known & unscored).alias("unscored")
     )
+    reason = F.when(F.col("labels") == 0, F.lit("unlabelled")).when(F.col("classes") < 2, F.lit("single class")).when(F.col("unscored") > 0, F.lit("unscored rows"))
+    refused = classes.select(*keys, reason.alias("reason")).where("reason is not null")
     good = labelled.join(refused.select(*keys), list(keys), "left_anti")
     return metric_block(good, keys, label, score, tie), refused
 

@@ -78,8 +78,8 @@ def fit_encoder(train: DataFrame, spec: FeatureSpec, *, scale: bool = False) ->
     return FittedEncoder(spec, fitted, Pipeline(stages=stages).fit(prepare(train, spec, fitted)))
 
 
-def _gbt(label: str, trees: int, depth: int, seed: int) -> GBTClassifier:
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=LEARNING_RATE * 2, seed=seed, maxBins=64)
+def _gbt(label: str, trees: int, depth: int, seed: int, rate: float = LEARNING_RATE, bins: int = 64) -> GBTClassifier:
+    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxBins=bins)
 
 
 def select_tree_count(train: DataFrame, spec: FeatureSpec, label: str, order: str, *, max_trees: int, floor: int = MIN_TREES, depth: int = 4, seed: int = 42) -> int:

@@ -95,11 +95,11 @@ def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "attribution_rollup",
     f"""WITH {CONTRIBUTIONS},
 u AS (SELECT 'l_quantity' AS feature, cq AS v FROM a UNION ALL SELECT 'l_extendedprice', ce FROM a UNION ALL SELECT 'l_discount', cd FROM a UNION ALL SELECT 'l_tax', cx FROM a)
-SELECT feature, round(avg(abs(v)), 6) AS mean_abs_contribution, abs(round(avg(v), 6)) AS mean_contribution FROM u GROUP BY ALL""",
+SELECT feature, round(avg(abs(v)), 6) AS mean_abs_contribution, round(avg(v), 6) + 0.0::DOUBLE AS mean_contribution FROM u GROUP BY ALL""",
 )
 def attribution_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = attribution.global_importance(_contributions(spark, sf_dir))
-    return found.select("feature", F.round("mean_abs_contribution", 6).alias("mean_abs_contribution"), F.abs(F.round("mean_contribution", 6)).alias("mean_contribution"))
+    return found.select("feature", F.round("mean_abs_contribution", 6).alias("mean_abs_contribution"), (F.round("mean_contribution", 6) + 0.0).alias("mean_contribution"))
 
 
 @query(
@@ -146,7 +146,7 @@ def median_impute_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_isotonic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trains on the first labelled documents and scores all of them with both models."""
     rows = t.written_once(spark, sf_dir, "labelled_documents", lambda: _labelled(spark, sf_dir))
-    (encoder, base), calibrated, _ = training.train_models(rows, SPEC, "quality", "doc_id", max_trees=8, floor=4, depth=3, folds=3)
+    (encoder, base), calibrated, _ = training.train_models(rows, SPEC, "quality", "doc_id")
     scored = calibrated.score(training.score(rows, encoder, base, "raw"), "calibrated")
     return scored.select("doc_id", "quality", F.round("raw", 6).alias("raw"), F.round("calibrated", 6).alias("calibrated"))
 
