@@ -41,6 +41,11 @@ def written_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     return spark.read.parquet(_WRITTEN[key])
 
 
+def forget() -> None:
+    """Derived tables are built anew when next asked for."""
+    _WRITTEN.clear()
+
+
 # --- the event stream -----------------------------------------------------------------------
 def as_stream_features(events: DataFrame) -> DataFrame:
     """Window keys and monitored columns of raw events, for batch frames and streams alike."""
