@@ -101,6 +101,55 @@ def decide_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("card_id", "scenario", _date(), "action", "rule_id")
 
 
+# Two looser policies, scores that move in one window of four, labels and retrains on some windows:
+# together they reach every rule, the downgrade and the uncovered case.
+COVERAGE_POLICIES = (
+    {**decisions.POLICIES[0], "policy_version": "policy-c1", "psi_breach": 0.25, "psi_severe": 0.6, "alert_only_max_features": 1},
+    {**decisions.POLICIES[0], "policy_version": "policy-c2", "psi_breach": 0.4, "psi_severe": 0.75, "alert_only_max_features": 1},
+)
+COVERAGE_SQL = c.with_(
+    c.RUNS_OF_BREACHES.replace("('policy-v1', 0.1::DOUBLE), ('policy-v2', 0.2::DOUBLE)", "('policy-c1', 0.25::DOUBLE), ('policy-c2', 0.4::DOUBLE)"),
+    """
+numbered AS (SELECT *, CAST(date_diff('day', DATE '2024-01-11', w) AS BIGINT) AS n, CASE policy_version WHEN 'policy-c1' THEN 0.6::DOUBLE ELSE 0.75::DOUBLE END AS severe FROM weighed),
+told AS (
+  SELECT * EXCLUDE (prediction_drift, confidence), n % 4 = 3 AS drift, n % 7 = 2 AS matured, CASE WHEN n % 7 = 2 THEN 0.01::DOUBLE * (n % 5) END AS lost,
+         CASE n % 6 WHEN 5 THEN 2.5::DOUBLE WHEN 4 THEN 9::DOUBLE END AS days, CASE WHEN n % 6 = 4 THEN 1 ELSE 0 END AS used,
+         round(0.35 * severity + 0.2 * breadth + 0.2 * persistence + 0.25 * CASE WHEN n % 7 = 2 THEN 1::DOUBLE ELSE 0.5::DOUBLE END, 6) AS confidence FROM numbered),
+picked AS (
+  SELECT *, CASE WHEN matured AND lost > 0.03 THEN '5' WHEN coalesce(top >= severe, false) OR drift THEN '4' WHEN run >= 2 AND len(persistent) > 0 THEN '3'
+                 WHEN breach_count = 1 AND run < 2 THEN '2' WHEN breach_count = 0 THEN '1' ELSE 'uncovered' END AS rule FROM told),
+acting AS (SELECT *, CASE WHEN rule IN ('4', '5') THEN 'FULL_RETRAIN' WHEN rule = '3' THEN 'INCREMENTAL_RETRAIN' WHEN rule = '1' THEN 'NO_OP' ELSE 'ALERT_ONLY' END AS wanted FROM picked),
+held AS (SELECT *, wanted LIKE '%RETRAIN' AND (coalesce(days < 7, false) OR used >= 1) AS held_back FROM acting)
+""",
+    recursive=True,
+    select="""
+SELECT policy_version, scenario, strftime(w, '%Y-%m-%d') AS window_date, confidence, CASE WHEN held_back THEN '6' ELSE rule END AS rule_id,
+       CASE WHEN held_back THEN 'ALERT_ONLY' ELSE wanted END AS action, CASE WHEN held_back THEN wanted END AS downgraded_from,
+       CASE WHEN held_back OR rule = '5' OR (rule = '4' AND confidence < 0.75) THEN 'ESCALATE_HUMAN' WHEN rule IN ('3', '4') THEN 'AUTO_PROCEED_SHADOW' ELSE 'NONE' END AS disposition,
+       CASE WHEN held_back THEN wanted || ' held back, ' || CASE WHEN coalesce(days < 7, false) THEN 'last retrain ' || printf('%.2f', days) || ' days ago, cooldown 7' ELSE 'retrains used ' || used || ' of 1' END
+         WHEN rule = '5' THEN 'labels are in: AUROC lost ' || printf('%.4f', lost) || ', allowed 0.03'
+         WHEN rule = '4' THEN CASE WHEN coalesce(top >= severe, false) THEN worst || ' severe at PSI ' || printf('%.4f', top) ELSE 'scores moved, PSI ' || coalesce(printf('%.4f', prediction_psi), 'unknown') END
+              || '; confidence ' || printf('%.4f', confidence) || CASE WHEN confidence >= 0.75 THEN ' reaches ' ELSE ' misses ' END || '0.75'
+         WHEN rule = '3' THEN 'over the limit ' || run || ' windows in a row: ' || array_to_string(persistent, ', ')
+         WHEN rule = '2' THEN breach_count || ' mild breach(es) in PSI [' || psi_breach || ', ' || severe || '), not yet repeated: alert'
+         WHEN rule = '1' THEN 'quiet window: all features stay below PSI ' || psi_breach || ', scores steady'
+         ELSE breach_count || ' breach(es) of PSI ' || psi_breach || ' fit no rule of ' || policy_version || ': ALERT_ONLY' END AS rationale FROM held""",
+)
+
+
+@query("rule_coverage", COVERAGE_SQL)
+def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards under looser policies with matured labels and retrain history, so that every rule has its say."""
+    n = t.window_number()
+    events = t.events(spark, sf_dir).withColumn("prediction_drift", n % 4 == 3)
+    keyed = events.select("scenario", "window_start", n.alias("n"))
+    matured = keyed.where("n % 7 = 2").select("scenario", "window_start", F.lit(True).alias("labels_matured"), (F.lit(0.01) * (F.col("n") % 5)).alias("matured_auroc_drop_seen"))
+    days = F.when(F.col("n") % 6 == 5, F.lit(2.5)).when(F.col("n") % 6 == 4, F.lit(9.0))
+    retrains = keyed.where("n % 6 in (4, 5)").select("scenario", "window_start", days.alias("days_since_last_retrain"), F.when(F.col("n") % 6 == 4, 1).otherwise(0).cast("bigint").alias("retrains_in_cooldown"))
+    cards = decisions.decide(events, decisions.policy_table(spark, COVERAGE_POLICIES), retrains=retrains, matured=matured)
+    return cards.select("policy_version", "scenario", _date(), "confidence", "rule_id", "action", "downgraded_from", "disposition", "rationale")
+
+
 @query(
     "retrain_cooldown_history",
     c.with_(
