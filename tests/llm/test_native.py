@@ -137,3 +137,11 @@ def test_outliers_of_a_group_are_dropped_and_clean_documents_kept(spark):
     got = quality_rules.judge(spark.createDataFrame(clean + loud, "doc_id int, text string, lang string, source string"))
     assert rows_of(got.where("not kept"), "doc_id") == [(1000 + i,) for i in range(5)]
     assert got.select("cut_level").distinct().first()[0] == "source"
+
+
+def test_salted_joins_give_the_same_verdicts(spark, monkeypatch):
+    from tidewatch.llm import common
+
+    want = rows_of(quality_rules.judge(awkward(spark)), "doc_id", "kept", "cut_level", "length_cut")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert rows_of(quality_rules.judge(awkward(spark)), "doc_id", "kept", "cut_level", "length_cut") == want

@@ -11,20 +11,42 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tidewatch.session import shared_folder
 
 BROADCAST_ROWS = 100_000
+_MADE: list[str] = []
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MARKS = 1 << 23  # bits of the filter that picks rows by key before a join
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def written(df: DataFrame, purpose: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: later steps read it, a lost executor loses nothing."""
+    """The frame as a Parquet table in the shared folder: later steps read it, a lost executor loses nothing.
+
+    The shuffle files of the write are of no use after it and are given up at once.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    writer = df.write.option("compression", "zstd")
-    parts = list(partition_by)
-    (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    _MADE.append(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        parts = list(partition_by)
+        (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path) if not parts else spark.read.parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` has made so far; call it when every result that reads them is stored."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drops input columns whose names (case aside) an operator is about to use."""
     taken = {n.lower() for n in names}
@@ -47,7 +69,8 @@ def small_or_salted(left: DataFrame, small: DataFrame, keys: list[str], rows: in
         for k in keys:
             joined = joined.drop(small[k])
         return joined
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    plain = [F.col(f"`{c}`") for c, kind in left.dtypes if not kind.startswith(("map", "struct", "array", "variant"))]
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = (salted["__salt"] == repeated["__salt"])
     for k in keys:
@@ -82,17 +105,19 @@ def mark(key: str) -> Column:
 def marked(rows: DataFrame, key: str, marks: np.ndarray, hit: bool = True) -> DataFrame:
     """The rows whose key's bit is set (a superset of the keys sought), or with ``hit`` false all others."""
     sent = rows.sparkSession.sparkContext.broadcast(marks)
-    schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in batches:
-            m = batch.column(batch.num_columns - 1).fill_null(-1).to_numpy(zero_copy_only=False)
-            chosen = (m >= 0) & ((bits[m >> 3] >> (m & 7)) & 1 == 1)
-            found = batch.filter(pa.array(chosen == hit))
-            yield pa.RecordBatch.from_arrays(found.columns[:-1], schema=pa.schema(list(found.schema)[:-1]))
-
-    return rows.withColumn("__mark", mark(key)).mapInArrow(run, schema)
+        return chosen(batches, sent.value, hit)
+
+    return rows.withColumn("__mark", mark(key)).mapInArrow(run, rows.schema)
+
+
+def chosen(batches: Iterator[pa.RecordBatch], marks: np.ndarray, hit: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is ``mark``, without it and cut to the rows that ``marked`` keeps."""
+    for batch in batches:
+        m = batch.column(batch.num_columns - 1).fill_null(-1).to_numpy(zero_copy_only=False)
+        found = batch.filter(pa.array(((m >= 0) & ((marks[m >> 3] >> (m & 7)) & 1 == 1)) == hit))
+        yield pa.RecordBatch.from_arrays(found.columns[:-1], schema=pa.schema(list(found.schema)[:-1]))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

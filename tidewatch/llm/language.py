@@ -34,7 +34,7 @@ ROUNDS, MORE_ROUNDS = 12, 6
 PENALTY = 4.0
 NEGLIGIBLE = 0.03
 UNKNOWN = "und"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _letters() -> np.ndarray:
@@ -88,7 +88,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for first, run in chunked(batch.column(0).to_pylist(), CHUNK):
+            for first, run in chunked(batch.column(0), CHUNK):
                 firsts, buckets, counts = trigram_counts(run)
                 for k in range(len(run)):
                     own = held.setdefault(langs[first + k], np.zeros(BUCKETS, np.int64))
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = sent.value
         for batch in batches:
             named, score, sets, parts = [], [], [], []
-            for _, part in chunked(batch.column(batch.num_columns - 1).to_pylist(), CHUNK):
+            for _, part in chunked(batch.column(batch.num_columns - 1), CHUNK):
                 shares = mixtures(m, part)
                 for t, own in zip(part, shares):
                     if not own.any() or not _has_letter(t):

@@ -31,7 +31,7 @@ CUT = 0.7
 SHRINK_TO_POOLED, SHRINK_TO_DIAGONAL = 0.1, 0.1
 LEAST_VARIANCE = 1e-3
 TEMPERATURE = 1.0
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "letters", "capitals", "digits", "beyond_ascii", "stops", "loud", "symbols", "other_marks",
     "words_ending_in_symbols", "words_all_capitals", "repeated_next", "distinct_words", "commonest_word", "line_words", "repeated_lines", "letter_entropy",
@@ -105,7 +105,7 @@ def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(part) for _, part in chunked(batch.column(batch.num_columns - 1).to_pylist(), CHUNK)]
+            found = [statistics(part) for _, part in chunked(batch.column(batch.num_columns - 1), CHUNK)]
             flat = np.concatenate(found) if found else np.zeros((0, D))
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, D), pa.int32()), pa.array(flat.ravel()))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
@@ -179,6 +179,21 @@ def classify(vectors: DataFrame, model: Discriminant, vector: str = "statistics"
     return ordered.mapInArrow(run, with_fields(kept, "score double, predicted int"))
 
 
+def classify_texts(docs: DataFrame, model: Discriminant, text: str = "text", cut: float = CUT) -> DataFrame:
+    """The documents with score and predicted, from their texts in one step."""
+    kept = without(docs, ["score", "predicted"]).schema.fields
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).cast("string").cast("binary").alias("__bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.scores(statistics(part)) for _, part in chunked(batch.column(batch.num_columns - 1), CHUNK)]
+            score = np.concatenate(found) if found else np.zeros(0)
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= cut).astype("int32"))], names=[*[f.name for f in kept], "score", "predicted"])
+
+    return rows.mapInArrow(run, with_fields(kept, "score double, predicted int"))
+
+
 def taught_rows(vectors: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Vectors of the documents that labels may be learned from, with their label."""
     return vectors.where(~held_out(4, 2)).select("doc_id", "statistics").join(labels.select("doc_id", label).where(F.col(label).isNotNull()), "doc_id")

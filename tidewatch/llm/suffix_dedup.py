@@ -37,8 +37,8 @@ from tidewatch.llm.textbytes import _VALUES, Texts, chunked, mixed, powers
 
 LENGTH, GRAM, SIDE = 50, 12, 19
 STRINGS = LENGTH - GRAM + 1
-CHUNK = 1 << 20
-PHRASES_HELD = 1_000_000
+CHUNK = 1 << 18
+PHRASES_HELD = 250_000
 BYTES_PER_BUCKET = 2 << 20
 ENTRIES_PER_BUCKET = 10_000
 HOT_GRAM = 20_000
@@ -134,7 +134,7 @@ def phrases(docs: DataFrame, buckets: int) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            for first, part in chunked(batch.column(1).to_pylist(), CHUNK):
+            for first, part in chunked(batch.column(1), CHUNK):
                 p = Parse(part)
                 parts.append((p.gram, p.phrase, ids[first + p.text], p.left, p.right))
                 held += len(p.phrase)
@@ -206,7 +206,7 @@ def phrase_bytes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, wanted = np.asarray(batch.column(0)), batch.column(2)
-            for start, part in chunked(batch.column(1).to_pylist(), CHUNK):
+            for start, part in chunked(batch.column(1), CHUNK):
                 p = Parse(part)
                 out: list[tuple] = []
                 for k in range(len(part)):
@@ -271,7 +271,7 @@ def cut_texts(rows: DataFrame, as_text: bool) -> DataFrame:
         for batch in batches:
             covered = batch.column(batch.num_columns - 1)
             kept, spans = [], []
-            for start, part in chunked(batch.column(batch.num_columns - 2).to_pylist(), CHUNK):
+            for start, part in chunked(batch.column(batch.num_columns - 2), CHUNK):
                 p = Parse(part)
                 for k, text in enumerate(part):
                     flat = covered.slice(start + k, 1).flatten().flatten()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 18
+ROWS_AT_ONCE = 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -71,15 +73,16 @@ class Words:
         return mixed(raw ^ (self.ends - self.starts).astype(np.uint64))
 
 
-def chunked(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, texts) in runs of about ``limit`` bytes; null is the empty text."""
+def chunked(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, texts) of a binary column in runs of about ``limit`` bytes; null is the empty text."""
     first, run, size = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t or b""
-        if run and size + len(t) > limit:
-            yield first, run
-            first, run, size = i, [], 0
-        run.append(t)
-        size += len(t)
+    for lo in range(0, len(texts), ROWS_AT_ONCE):
+        for i, t in enumerate(texts.slice(lo, ROWS_AT_ONCE).to_pylist(), lo):
+            t = t or b""
+            if run and size + len(t) > limit:
+                yield first, run
+                first, run, size = i, [], 0
+            run.append(t)
+            size += len(t)
     if run:
         yield first, run
