@@ -32,7 +32,7 @@ from tidewatch.llm.registry import query
 WINDOW = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-KEPT_RUNS = 800_000
+KEPT_RUNS = 500_000
 END_OF_WORD = "</w>"
 RUNS = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\s]+")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -88,9 +88,9 @@ class WordEncoder:
         if marks:
             self.runs.update(self._each(marks))
 
-    def buffers(self, texts: list[str | None]) -> list[bytes]:
+    def buffers(self, texts: list[str | None], kept_runs: int = KEPT_RUNS) -> list[bytes]:
         encoded = [(t or "").encode() for t in texts]
-        if len(self.runs) + len(self.odd) > KEPT_RUNS:
+        if len(self.runs) + len(self.odd) > kept_runs:
             self.runs.clear()
             self.odd.clear()
         rows = [RUNS.findall(b) for b in encoded]
@@ -114,13 +114,16 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def token_buffers(texts: list[str | None], path: str) -> list[bytes]:
+def token_buffers(texts: list[str | None], path: str, kept_runs: int = KEPT_RUNS) -> list[bytes]:
     """Little-endian 32-bit ids of each text, as the tokenizer file gives them."""
-    return _encoder(path).buffers(texts)
+    return _encoder(path).buffers(texts, kept_runs)
 
 
-def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Full windows and the remainder of each document; ``with_ids`` adds the ids themselves."""
+def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, kept_runs: int = KEPT_RUNS) -> DataFrame:
+    """Full windows and the remainder of each document; ``with_ids`` adds the ids themselves.
+
+    ``kept_runs`` bounds the words a Python worker keeps: more of them save time, fewer save memory.
+    """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +131,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), token_buffers(part.column(1).to_pylist(), path)):
+                for doc, ids in zip(part.column(0).to_pylist(), token_buffers(part.column(1).to_pylist(), path, kept_runs)):
                     ids = memoryview(ids + end)
                     total = len(ids) // 4
                     for start in range(0, total, window):
