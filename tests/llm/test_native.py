@@ -139,6 +139,22 @@ def test_outliers_of_a_group_are_dropped_and_clean_documents_kept(spark):
     assert got.select("cut_level").distinct().first()[0] == "source"
 
 
+def _long_words(i, plus):
+    return " ".join(f"{'w' * (4 + (k + i) % 3 + plus)}{k:02}{i:04}" for k in range(40))
+
+
+def test_a_groups_own_spread_decides_its_cuts(spark):
+    rows = [(i, _long_words(i, 0), "en", "calm") for i in range(300)] + [(1000 + i, _long_words(i, 2), "en", "calm") for i in range(3)]
+    spam = " ".join(f"{w}{k}***" for k, w in enumerate(LINE.split()))
+    rows += [(2000 + i, _long_words(i, 0) if i % 3 else f"{spam} {i}", "en", "spammed") for i in range(300)]
+    repeated = [f"{' '.join(f'a{k}b{i}' for k in range(60))} {' '.join(f'a{k}b{i}' for k in range(9))}" for i in range(2)]
+    rows += [(3000 + i, t, "en", "calm") for i, t in enumerate(repeated)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(300)) and not any(got[1000 + i]["kept"] for i in range(3))
+    assert not any(got[3000 + i]["kept"] or got[3000 + i]["base_failed"] for i in range(2))
+    assert all(got[2000 + i]["kept"] == (i % 3 > 0) and got[2000 + i]["cut_level"] == "source" for i in range(300))
+
+
 def test_salted_joins_give_the_same_verdicts(spark, monkeypatch):
     from tidewatch.llm import common
 

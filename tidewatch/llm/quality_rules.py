@@ -3,8 +3,14 @@
 Every document gets base counts. Four rates derived from them are summarised per (language,
 source) in a mergeable sketch: counts of rows per grid bin, the bins kept to three significant
 digits, so two sketches merge by adding counts and a quantile is off by less than one percent.
-A group's cut is its median plus a multiple of its quartile spread. Groups with few documents
-take the merged sketch of their language, and small languages the sketch of the whole corpus.
+Groups with few documents take the merged sketch of their language, and small languages the sketch
+of the whole corpus.
+
+``judge`` learns its cuts (``learned_thresholds``) from the documents that pass the base rules: median
+plus an allowance of six quartile spreads or, where the quartiles are equal, up to the 99th percentile.
+An allowance is at most twice that of the level above and at most ``most``, so a group with much junk
+can't switch its own rule off. ``judge_fixed`` has the cuts of op6_quality_rules and its SQL, where the
+constants ``least`` exceed every spread seen so far; op6_quality_rules_learned is the learned form.
 
 Defined cases: a null text counts as empty; documents without words fail the base rules; null
 language or source is a group of its own; repeated rows are judged one by one; input columns
@@ -46,6 +52,20 @@ METRICS = (
 MIN_GROUP = 200
 
 
+@dataclass(frozen=True)
+class Learned:
+    """Bounds in thousandths of a learned allowance above the median."""
+
+    name: str
+    floor: int
+    most: int
+
+
+LEARNED = (Learned("symbols", 10, 150), Learned("repeats", 20, 250), Learned("dup_lines", 50, 400), Learned("length", 200, 2000))
+SPREADS = 6
+ABOVE_PARENT = 2
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
@@ -124,11 +144,12 @@ def sketches(counted: DataFrame, lang: str = "lang", source: str = "source") ->
 
 
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles per key: the first bin whose running count reaches the rank."""
+    """Quartiles and 99th percentile per key: the first bin whose running count reaches the rank."""
     merged = sketch.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = merged.withColumns({"cum": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy(*keys))})
     at = {q: F.min(F.when(F.col("cum") * 4 >= F.col("total") * k, F.col("bin"))).alias(q) for k, q in ((1, "q1"), (2, "q2"), (3, "q3"))}
+    at["top"] = F.min(F.when(F.col("cum") * 100 >= F.col("total") * 99, F.col("bin"))).alias("top")
     return run.groupBy(*keys).agg(F.max("total").alias("total"), *at.values())
 
 
@@ -152,15 +173,48 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return joined.select("lang", "source", "cut_level", *pick)
 
 
+def _allowances(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, total, q2, allowance): what the group's own quantiles allow above its median."""
+    bound = lambda field: F.create_map(*[x for m in LEARNED for x in (F.lit(m.name), F.lit(getattr(m, field)))])[F.col("metric")]
+    own = F.when(F.col("q3") > F.col("q1"), (F.col("q3") - F.col("q1")) * SPREADS).otherwise(F.col("top") - F.col("q2"))
+    return _quartiles(sketch, [*keys, "metric"]).select(*keys, "metric", "total", "q2", F.least(F.greatest(own, bound("floor")), bound("most")).alias("allowance"))
+
+
+def learned_thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """As ``thresholds``, with cuts that the quantiles decide, bounded by the level above."""
+    own = _allowances(sketch, ["lang", "source"])
+    lang = _allowances(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.col("total").alias("l_total"), F.col("q2").alias("l_q2"), F.col("allowance").alias("l_own"))
+    whole = _allowances(sketch, []).select(F.col("metric").alias("wm"), F.col("q2").alias("w_q2"), F.col("allowance").alias("w"))
+    # One row per metric.
+    joined = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["metric"] == lang["m"])).join(F.broadcast(whole), own["metric"] == whole["wm"])
+    of_lang = F.least("l_own", F.col("w") * ABOVE_PARENT)
+    above = F.when(F.col("l_total") >= min_group, of_lang).otherwise(F.col("w"))
+    level = F.when(F.col("total") >= min_group, F.lit("source")).when(F.col("l_total") >= min_group, F.lit("language")).otherwise(F.lit("corpus"))
+    cut = F.when(F.col("cut_level") == "source", F.col("q2") + F.least("allowance", above * ABOVE_PARENT)).when(F.col("cut_level") == "language", F.col("l_q2") + of_lang).otherwise(F.col("w_q2") + F.col("w"))
+    rows = joined.withColumn("cut_level", level).withColumn("cut", cut)
+    picks = [F.max(F.when(F.col("metric") == m.name, F.col("cut"))).alias(f"{m.name}_cut") for m in METRICS]
+    return rows.groupBy("lang", "source").agg(F.max("cut_level").alias("cut_level"), *picks)
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents with counts, cuts and ``kept``: base rules passed and no rate above its cut."""
+    """The documents with counts, learned cuts and ``kept``: base rules passed and no rate above its cut."""
     return judge_counted(with_counts(docs, text), lang, source, min_group)
 
 
 def judge_counted(counts: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
     """As ``judge``, over what ``with_counts`` returned; it is written once, as the cuts and the verdicts both read it."""
     counted = written(counts, "quality-counts")
-    cuts = written(thresholds(sketches(counted, lang, source), min_group), "quality-cuts")
+    return _verdicts(counted, learned_thresholds(sketches(counted.where("not base_failed"), lang, source), min_group), lang, source)
+
+
+def judge_fixed(counts: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+    """As ``judge_counted``, with at least the constants of METRICS allowed above the median."""
+    counted = written(counts, "quality-counts")
+    return _verdicts(counted, thresholds(sketches(counted, lang, source), min_group), lang, source)
+
+
+def _verdicts(counted: DataFrame, found: DataFrame, lang: str, source: str) -> DataFrame:
+    cuts = written(found, "quality-cuts")
     cuts = cuts.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[c for c in cuts.columns if c not in ("lang", "source")])
     keyed = counted.withColumns({"__lang": F.col(lang), "__source": F.col(source)})
     joined = small_or_salted(keyed, cuts, ["__lang", "__source"], cuts.count()).drop("__lang", "__source")
@@ -226,4 +280,42 @@ FROM judged
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     counted = with_counts(docs).drop("text")
-    return judge_counted(counted).select("doc_id", *COUNTS, "base_failed", "kept", "cut_level")
+    return judge_fixed(counted).select("doc_id", *COUNTS, "base_failed", "kept", "cut_level")
+
+
+def _allowance_sql(keys: str) -> str:
+    group = f"{keys}, " if keys else ""
+    case = lambda field: "CASE metric " + " ".join(f"WHEN '{m.name}' THEN {getattr(m, field)}" for m in LEARNED) + " END"
+    return f"""SELECT {group}metric, total, q2, least(greatest(CASE WHEN q3 > q1 THEN (q3 - q1) * {SPREADS} ELSE top - q2 END, {case("floor")}), {case("most")}) AS a FROM (
+  SELECT {group}metric, max(total) AS total, min(bin) FILTER (cum * 4 >= total) AS q1, min(bin) FILTER (cum * 4 >= total * 2) AS q2,
+    min(bin) FILTER (cum * 4 >= total * 3) AS q3, min(bin) FILTER (cum * 100 >= total * 99) AS top
+  FROM (SELECT {group}metric, bin, sum(n) OVER (PARTITION BY {group}metric ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY {group}metric) AS total
+    FROM (SELECT {group}metric, bin, count(*) AS n FROM binned GROUP BY {group}metric, bin)) GROUP BY {group}metric)"""
+
+
+_PASSED_SQL = _METRIC_SQL.replace(" FROM counts WHERE ", " FROM counts WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND ")
+LEARNED_SQL = f"""
+{OP6_SQL[:OP6_SQL.index("valued AS")].strip()}
+valued AS ({_PASSED_SQL}),
+binned AS (SELECT lang, source, metric, v // u * u AS bin FROM (SELECT *, power(10, greatest(length(v::VARCHAR) - 3, 0))::BIGINT AS u FROM valued)),
+own AS ({_allowance_sql('lang, source')}),
+whole AS ({_allowance_sql('')}),
+lng AS (SELECT l.lang, l.metric, l.total, l.q2, least(l.a, {ABOVE_PARENT} * w.a) AS a FROM ({_allowance_sql('lang')}) l JOIN whole w USING (metric)),
+cuts AS (SELECT o.lang, o.source, o.metric,
+  CASE WHEN o.total >= {MIN_GROUP} THEN 'source' WHEN l.total >= {MIN_GROUP} THEN 'language' ELSE 'corpus' END AS cut_level,
+  CASE WHEN o.total >= {MIN_GROUP} THEN o.q2 + least(o.a, {ABOVE_PARENT} * CASE WHEN l.total >= {MIN_GROUP} THEN l.a ELSE w.a END)
+    WHEN l.total >= {MIN_GROUP} THEN l.q2 + l.a ELSE w.q2 + w.a END AS cut
+  FROM own o JOIN lng l ON o.metric = l.metric AND o.lang IS NOT DISTINCT FROM l.lang JOIN whole w ON o.metric = w.metric),
+wide AS (SELECT lang, source, max(cut_level) AS cut_level, {", ".join(f"max(cut) FILTER (metric = '{m.name}') AS {m.name}_cut" for m in METRICS)} FROM cuts GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {" AND ".join(f"NOT coalesce(1000 * {m.top} // nullif({m.bottom}, 0) > {m.name}_cut, false)" for m in METRICS)} AS kept,
+  cut_level, {", ".join(f"{m.name}_cut" for m in METRICS)}
+FROM counts c LEFT JOIN wide t ON c.lang IS NOT DISTINCT FROM t.lang AND c.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query("op6_quality_rules_learned", LEARNED_SQL)
+def op6_quality_rules_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    counted = with_counts(docs).drop("text")
+    return judge_counted(counted).select("doc_id", *COUNTS, "base_failed", "kept", "cut_level", *[f"{m.name}_cut" for m in METRICS])
