@@ -66,6 +66,21 @@ def test_shards_of_a_graph_with_a_hot_group(spark):
     assert cut["cut"] < cut["edges"] / 2
 
 
+def test_groups_that_fit_stay_together(spark):
+    """Group k has as many copies as SIZES[k]; the last is larger than a shard."""
+    sizes = [2] * 40 + [20, 50, 100, 200, 700, 2400]
+    values = [f"g{k}" for k, n in enumerate(sizes) for _ in range(n)] + [None] * 5000
+    nodes = written(spark.createDataFrame([(i, 40 + i % 7 if v is None else 43, v) for i, v in enumerate(values)], "node bigint, size bigint, v string").repartition(5), "t")
+    placed = sharding.grouped_shards(nodes, "v", shards=8).cache()
+    loads = [r["s"] for r in placed.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert placed.count() == len(values) == placed.select("node").distinct().count() and max(loads) < 1.01 * min(loads)
+    assert placed.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("a"), (F.countDistinct("slot") == F.count("*")).alias("b")).where("not a or not b").isEmpty()
+    spread = {r["v"]: r["n"] for r in placed.join(nodes, "node").where("v is not null").groupBy("v").agg(F.countDistinct("shard").alias("n")).collect()}
+    assert {v: n for v, n in spread.items() if n > 1} == {f"g{len(sizes) - 1}": 3}
+    found = sharding.kept_together(nodes, "v", placed).first()
+    assert (found["groups"], found["whole"]) == (len(sizes), len(sizes) - 1)
+
+
 def test_shards_of_awkward_documents(spark, tmp_path):
     awkward(spark).write.parquet(f"{tmp_path}/a/documents.parquet")
     got = RUNS["op2_label_shards"](spark, f"{tmp_path}/a")

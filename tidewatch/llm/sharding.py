@@ -8,7 +8,13 @@ part takes the share of proposals whose hash lies below the share of room. Round
 moves to lower and to higher shards, so two nodes never swap for ever. What then exceeds a shard's
 fair size is released, and released and unlinked nodes fill the shards: largest first, each class
 laid along the shards' missing bytes by running totals, so what one class leaves uneven, smaller
-nodes even out. Only sums per shard and size class ever reach the driver.
+nodes even out. Only sums per shard and size class reach the driver, and the groups named next.
+
+Equal texts (``grouped_shards``) are groups whose members hear all of their group: a combining count
+per group and cell (a hash class of nodes) stands for the members, and votes are counted per group and
+shard. A group moves, is released and is filled in as one unit, so its members end in one shard.
+Groups above 1/BIG of a fair shard, at most BIG times the shards, are placed first: largest first, whole
+where they fit the shard with most room, otherwise over the shards with most room in turn.
 
 Defined cases: a null text has size 1 and no links; repeated rows are nodes of their own, linked as
 equal texts; a node larger than a fair shard makes its shard that much larger; an empty table gives
@@ -17,6 +23,8 @@ an empty result; other input columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.llm.common import documents, written
@@ -29,6 +37,8 @@ SPOKES = 64
 ROWS_PER_BUCKET = 4096
 MOST_BUCKETS = 4096
 FILL_SHARES = (0.3, 0.05)
+CELLS = 256
+BIG = 64
 
 
 def equal_value_edges(nodes: DataFrame, value: str) -> DataFrame:
@@ -59,16 +69,42 @@ def _loads(nodes: DataFrame, shards: int) -> list[int]:
 def propagate(linked: DataFrame, edges: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
     """(node, size, shard) of the linked nodes after label propagation; both inputs are read in every round."""
     state = written(linked.select("node", "size", _shard_of("node", shards).alias("shard")), "shards-start")
-    quiet = 0
-    for turn in range(rounds):
-        loads = _loads(state, shards)
+
+    def facing(state: DataFrame) -> DataFrame:
         votes = edges.join(state.select(F.col("node").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.count(F.lit(1)).alias("votes"))
         heard = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("to")).alias("low"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all"))
-        faced = state.join(heard, state["node"] == heard["a"])
         gain = F.col("best.votes") - F.coalesce(F.col("all")[F.col("shard")], F.lit(0))
+        return state.join(heard, state["node"] == heard["a"]).select(*state.columns, (-F.col("best.low")).cast("int").alias("to"), gain.alias("gain"))
+
+    return _turns(state, facing, ["node"], "node", shards, [0] * shards, capacity, rounds)
+
+
+def propagate_groups(cells: DataFrame, shards: int, placed: list[int], capacity: float, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` (unit, cell, n, size) with their shard: each member hears every other member of its unit.
+
+    ``placed`` are the bytes that lie in each shard already.
+    """
+    state = written(cells.withColumn("shard", F.pmod("cell", F.lit(shards)).cast("int")), "shards-start")
+
+    def facing(state: DataFrame) -> DataFrame:
+        votes = state.groupBy("unit", F.col("shard").alias("to")).agg(F.sum("n").alias("votes"))  # at most one row per unit and shard
+        heard = votes.groupBy("unit").agg(F.max(F.struct("votes", (-F.col("to")).alias("low"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all"))
         to = (-F.col("best.low")).cast("int")
-        towards = to < F.col("shard") if turn % 2 == 0 else to > F.col("shard")
-        wish = faced.select("node", "size", to.alias("to"), F.floor(F.log2(gain.cast("double"))).cast("int").alias("gain")).where((gain > 0) & towards)
+        # A member doesn't hear itself.
+        gain = F.when(to == F.col("shard"), F.lit(0)).otherwise(F.col("best.votes") - F.col("all")[F.col("shard")] + 1)
+        return state.join(heard, "unit").select(*state.columns, to.alias("to"), gain.alias("gain"))
+
+    return _turns(state, facing, ["unit", "cell"], "unit", shards, placed, capacity, rounds)
+
+
+def _turns(state: DataFrame, facing: Callable[[DataFrame], DataFrame], keys: list[str], drawn: str, shards: int, placed: list[int], capacity: float, rounds: int) -> DataFrame:
+    """Rounds of moves: ``facing`` adds to each row the shard it would move to and the gain; rows of equal ``drawn`` share a draw."""
+    quiet = 0
+    for turn in range(rounds):
+        loads = [a + b for a, b in zip(placed, _loads(state, shards))]
+        faced = facing(state)
+        towards = F.col("to") < F.col("shard") if turn % 2 == 0 else F.col("to") > F.col("shard")
+        wish = faced.where((F.col("gain") > 0) & towards).select(*keys, "size", "to", F.floor(F.log2(F.col("gain").cast("double"))).cast("int").alias("gain"))
         wish = written(wish, "shards-wishes")
         if wish.isEmpty():
             quiet += 1
@@ -81,9 +117,10 @@ def propagate(linked: DataFrame, edges: DataFrame, shards: int, capacity: float,
         before = F.coalesce(F.sum("bytes").over(Window.partitionBy("to").orderBy(F.desc("gain")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         share = demand.select("to", "gain", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (room - before) / F.col("bytes"))).alias("share"))
         # At most one row per shard and power of two of the gain.
-        draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        moved = wish.join(F.broadcast(share), ["to", "gain"]).where(draw < F.col("share")).select("node", "to")
-        state = written(state.join(moved, "node", "left").select("node", "size", F.coalesce("to", "shard").alias("shard")), "shards-round")
+        draw = F.pmod(F.xxhash64(drawn, F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+        moved = wish.join(F.broadcast(share), ["to", "gain"]).where(draw < F.col("share")).select(*keys, "to")
+        body = [c for c in state.columns if c not in (*keys, "shard")]
+        state = written(state.join(moved, keys, "left").select(*keys, *body, F.coalesce("to", "shard").alias("shard")), "shards-round")
     return state
 
 
@@ -167,6 +204,88 @@ def balanced_shards(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, ro
     return _prefix(placed, ["shard"], rows).select("node", "size", "shard", F.col("place").alias("slot"))
 
 
+def place_big(groups: list[tuple[str, int]], shards: int, capacity: float) -> list[tuple[str, float, float, int]]:
+    """(value, low, high, shard): the shares of each group's nodes and their shards, for few large groups."""
+    room, out = [capacity] * shards, []
+    for value, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        left, parts = float(size), []
+        for s in sorted(range(shards), key=lambda s: (-room[s], s)):
+            part = min(left, max(0.0, room[s]))
+            if part > 0:
+                parts.append([s, part])
+                left -= part
+            if left <= 0:
+                break
+        if left > 0:  # more than all shards hold: the rest is laid evenly over them
+            found = {s: part for s, part in parts}
+            parts = [[s, found.get(s, 0.0) + left / shards] for s in range(shards)]
+        at = 0.0
+        for k, (s, part) in enumerate(parts):
+            high = 1.0 if k == len(parts) - 1 else at + part / size
+            out.append((value, at, high, s))
+            room[s] -= part
+            at = high
+    return out
+
+
+def grouped_shards(nodes: DataFrame, value: str, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """(node, size, shard, slot) with nodes of equal ``value`` in one shard where they fit; ``nodes`` is a written table.
+
+    ``nodes`` has node (unique), size (> 0) and ``value``; a null value is no group.
+    """
+    totals = nodes.agg(F.sum("size"), F.count(F.lit(1))).first()
+    rows, fair = totals[1], (totals[0] or 0) / shards
+    if rows == 0:
+        return nodes.select("node", "size", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
+    cell = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(CELLS)).cast("int")
+    keyed = nodes.select("node", "size", F.col(value).alias("value"), cell.alias("cell"))
+    cells = written(keyed.where("value is not null").groupBy("value", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("node").alias("least")), "shards-cells")
+    groups = cells.groupBy("value").agg(F.sum("n").alias("of"), F.sum("size").alias("bytes"), F.min("least").alias("unit")).where("of > 1")
+    groups = written(groups, "shards-groups")
+    # Each holds more than 1 / (BIG * shards) of all bytes, so there are fewer than BIG * shards.
+    big = [(r["value"], r["bytes"]) for r in groups.where(F.col("bytes") > fair / BIG).select("value", "bytes").collect()]
+    spark = nodes.sparkSession
+    kind = nodes.select(F.col(value).alias("v")).schema["v"].dataType.simpleString()
+    shares = spark.createDataFrame(place_big(big, shards, FULL * fair), f"v {kind}, low double, high double, shard int")
+    draw = F.pmod(F.xxhash64("node", F.lit("share")), F.lit(1 << 20)) / float(1 << 20)
+    if big:
+        sent = keyed.withColumn("draw", draw)
+        hit = (sent["value"] == shares["v"]) & (sent["draw"] >= shares["low"]) & (sent["draw"] < shares["high"])
+        spread = sent.join(F.broadcast(shares), hit, "left").select("node", "size", "value", "cell", F.col("shard").alias("big"))
+    else:
+        spread = keyed.withColumn("big", F.lit(None).cast("int"))
+    small = groups.where(F.col("bytes") <= fair / BIG).select("value", "unit")
+    parts = written(cells.join(small, "value").select("value", "unit", "cell", "n", "size"), "shards-parts")
+    # A value's rows meet its unit by cell, so that a value of very many rows is CELLS keys.
+    tagged = spread.join(parts.select("value", "cell", "unit"), ["value", "cell"], "left").select("node", "size", "cell", "big", "unit")
+    tagged = written(tagged, "shards-tagged")
+    first = tagged.where("big is not null").select("node", "size", F.col("big").alias("shard"))
+    loads = _loads(first, shards)
+    state = propagate_groups(parts.drop("value"), shards, loads, FULL * fair, rounds)
+    units = state.groupBy("unit").agg(F.sum("size").alias("size"), F.min("shard").alias("shard"), F.max("shard").alias("other"))
+    whole = written(units.select(F.col("unit").alias("node"), "size", "shard", "other"), "shards-units")
+    room = F.create_map(*[x for s in range(shards) for x in (F.lit(s), F.lit(max(0.0, FULL * fair - loads[s])))])[F.col("shard")]
+    settled = whole.where("shard = other").select("node", "size", "shard")
+    kept = written(_prefix(settled, ["shard"], rows).where(F.col("before") + F.col("size") <= room).select("node", "size", "shard"), "shards-kept")
+    alone = tagged.where("big is null and unit is null").select("node", "size")
+    free = written(alone.unionByName(whole.select("node", "size").join(kept.select("node"), "node", "left_anti")), "shards-free")
+    after = [a + b for a, b in zip(loads, _loads(kept, shards))]
+    placed = kept if free.isEmpty() else kept.unionByName(fill(free, after, rows))
+    target = placed.select(F.col("node").alias("unit"), "shard")
+    by_cell = parts.select("unit", "cell").join(target, "unit").unionByName(target.join(parts.select("unit"), "unit", "left_anti").select("unit", F.lit(-1).alias("cell"), "shard"))
+    rest = tagged.where("big is null").select("node", "size", F.coalesce("unit", "node").alias("unit"), F.when(F.col("unit").isNull(), -1).otherwise(F.col("cell")).alias("cell"))
+    out = first.unionByName(rest.join(by_cell, ["unit", "cell"]).select("node", "size", "shard"))
+    return _prefix(written(out, "shards-placed"), ["shard"], rows).select("node", "size", "shard", F.col("place").alias("slot"))
+
+
+def kept_together(nodes: DataFrame, value: str, placed: DataFrame) -> DataFrame:
+    """One row: groups of equal ``value``, those in one shard, pairs of equal nodes and those in one shard."""
+    held = nodes.where(F.col(value).isNotNull()).select("node", F.col(value).alias("value")).join(placed.select("node", "shard"), "node")
+    per = held.groupBy("value", "shard").agg(F.count(F.lit(1)).alias("n"))
+    by = per.groupBy("value").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.expr("n * (n - 1) div 2")).alias("near")).where("n > 1")
+    return by.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("most") == F.col("n")).alias("whole"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"), F.sum("near").alias("pairs_together"))
+
+
 def cut_edges(edges: DataFrame, placed: DataFrame) -> DataFrame:
     """One row: edges (both ways counted once) and how many of them join two shards."""
     side = lambda c: placed.select(F.col("node").alias(c), F.col("shard").alias(f"{c}_shard"))
@@ -182,6 +301,6 @@ def op2_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"),
     )
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "shard-nodes")
-    placed = balanced_shards(nodes.select("node", "size"), written(equal_value_edges(nodes, "digest"), "shard-edges"))
+    placed = grouped_shards(nodes.select("node", "size", "digest"), "digest")
     rows = nodes.drop("size", "digest").join(placed, "node")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
