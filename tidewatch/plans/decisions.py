@@ -498,7 +498,10 @@ FROM cards GROUP BY policy_version, scenario""",
     ),
 )
 def backtest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perturb the serving stream three ways, cut it into blocks, measure, decide, summarise."""
+    """Perturb the serving stream three ways, cut it into blocks, measure, decide, summarise.
+
+    S2 (nulls filled), S4 (relabelled at the base rate) and the gate are left out, here and in the SQL.
+    """
     reference, serving = t.split_stream(t.stream(spark, sf_dir))
     base = serving.select("event_id", "value", "k", "hour", "ub", "score")
     streams = backtest.perturbed_streams(
