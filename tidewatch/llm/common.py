@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,40 +13,86 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tidewatch.session import shared_folder
 
 BROADCAST_ROWS = 100_000
-_MADE: list[str] = []
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MARKS = 1 << 23  # bits of the filter that picks rows by key before a join
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+class Scope:
+    """Owner of the tables that ``written`` makes while it is entered, so that its caller can give them up together.
+
+    Leaving the block deletes nothing, as a lazy result may still read the tables; ``close`` does,
+    once every result that reads them is stored. Tables of other operators and callers are not touched.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        self._token = _OWNER.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _OWNER.reset(self._token)
+
+    def close(self) -> None:
+        while self.paths:
+            _delete(self.spark, self.paths.pop())
+
+
+_OWNER: ContextVar[Scope | None] = ContextVar("owner", default=None)
+_writers, _writing = 0, threading.Lock()
+
+
+class _ShufflesDropped:
+    """Shuffle files of the writes inside are given up at once; the session's own setting comes back with the last writer."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        global _writers, _before
+        with _writing:
+            if _writers == 0:
+                _before = self.conf.get(DROP_SHUFFLES, None)
+                self.conf.set(DROP_SHUFFLES, "true")
+            _writers += 1
+
+    def __exit__(self, *_: object) -> None:
+        global _writers
+        with _writing:
+            _writers -= 1
+            if _writers == 0:
+                self.conf.unset(DROP_SHUFFLES) if _before is None else self.conf.set(DROP_SHUFFLES, _before)
+
+
 def written(df: DataFrame, purpose: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """The frame as a Parquet table in the shared folder: later steps read it, a lost executor loses nothing.
 
-    The shuffle files of the write are of no use after it and are given up at once.
+    The table belongs to the ``Scope`` entered, if any, and is given up early with ``given_up``.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    _MADE.append(path)
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    if _OWNER.get() is not None:
+        _OWNER.get().paths.append(path)
+    with _ShufflesDropped(spark):
         writer = df.write.option("compression", "zstd")
         parts = list(partition_by)
         (writer.partitionBy(*parts) if parts else writer).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(DROP_SHUFFLES)
-        else:
-            spark.conf.set(DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path) if not parts else spark.read.parquet(path)
-
-
-def drop_intermediates(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` has made so far; call it when every result that reads them is stored."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(conf).delete(path, True)
+    stored = spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
+    stored.__dict__["_stored_at"] = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def given_up(*tables: DataFrame) -> None:
+    """Deletes frames that ``written`` returned, when nothing still to be run reads them."""
+    for table in tables:
+        _delete(table.sparkSession, table.__dict__["_stored_at"])
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, jaccard_join, language, merkle, packing, quality_classifier, quality_rules, sharding, suffix_dedup, warc  # noqa: F401
+from tidewatch.llm import bpe, jaccard_join, language, line_dedup, merkle, packing, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, warc, whitening  # noqa: F401
 from tidewatch.llm.registry import RUNS, SQL
 
 
