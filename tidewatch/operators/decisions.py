@@ -75,11 +75,15 @@ def breach_list(stats: Column, threshold: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["feature"].alias("feature"), s["psi"].alias("psi"), s["ks_p"].alias("ks_p")))
 
 
-def _feature_streaks(named: DataFrame, stream: Sequence[str], start: str) -> tuple[DataFrame, DataFrame]:
+STREAKS = "policy_version string, scenario string, feature string, run bigint"
+
+
+def _feature_streaks(named: DataFrame, stream: Sequence[str], start: str, carried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(stream, feature, __at, __base) of starts at which all rows breach a feature, and the numbered starts.
 
     ``__at`` numbers a stream's starts and ``__rows`` counts the rows before a start. A streak is
-    a run of numbers without a gap; ``__base`` is the count of rows before its first start.
+    a run of numbers without a gap; ``__base`` is the count of rows before its first start. A
+    streak that begins with the frame goes on from the ``carried`` one: its base lies before the frame.
     """
     starts = named.groupBy(*stream, start).agg(F.count(F.lit(1)).alias("__n"), F.first(F.lit(1)).alias("__one"))
     placed = running_totals(starts, stream, start, ["__n", "__one"])
@@ -88,23 +92,28 @@ def _feature_streaks(named: DataFrame, stream: Sequence[str], start: str) -> tup
     held = hits.join(placed, [*stream, start]).where("__hits = __n").withColumn("__one", F.lit(1))
     held = running_totals(held, [*stream, "feature"], start, ["__one"]).withColumn("__streak", F.col("__at") - F.col("__one_before"))
     base = held.groupBy(*stream, "feature", "__streak").agg(F.min("__rows").alias("__base"))
+    if carried is not None:
+        base = base.join(carried, [*stream, "feature"], "left").withColumn("__base", F.when(F.col("__base") == 0, -F.coalesce("run", F.lit(0))).otherwise(F.col("__base"))).drop("run")
     return held.join(base, [*stream, "feature", "__streak"]).select(*stream, "feature", "__at", "__base"), placed
 
 
-def breach_runs(events: DataFrame, policies: DataFrame, limit: int | None = None) -> DataFrame:
+def breach_runs(events: DataFrame, policies: DataFrame, limit: int | None = None, carried: DataFrame | None = None) -> DataFrame:
     """Events x policies with the breaching names, run length and persistent features.
 
     A run is the longest unbroken row of windows, up to this one, in which one feature breaches; the
     features that hold it are persistent. It is found per feature, as streaks of consecutive window
     starts, so no window gathers its past. Rows that share a start are not each other's past; all
     count for later ones, for which a feature holds if all of them breach it. ``limit`` looks back
-    over at most so many rows.
+    over at most so many rows. ``carried`` (``STREAKS``) holds the streaks that were open before
+    the first event, as ``streaks_after`` returns them.
     """
     stream = ["policy_version", "scenario"]
     crossed = events.join(F.broadcast(policies))
     named = crossed.withColumn("breaching", breaching_names(F.col("feature_stats"), F.col("psi_breach")))
-    streaks, placed = _feature_streaks(named, stream, "window_start")
+    streaks, placed = _feature_streaks(named, stream, "window_start", carried)
     past = streaks.withColumn("__at", F.col("__at") + 1).withColumnRenamed("__base", "__before")
+    if carried is not None:
+        past = past.unionByName(carried.select(*stream, "feature", F.lit(0).cast("bigint").alias("__at"), (-F.col("run")).alias("__before")))
     own = named.select(*stream, "event_id", "window_start", F.explode(F.array_distinct("breaching")).alias("feature"))
     own = own.join(placed.select(*stream, "window_start", "__at", "__rows"), [*stream, "window_start"]).join(past, [*stream, "feature", "__at"], "left")
     run = F.coalesce(F.col("__rows") - F.col("__before"), F.lit(0)) + 1
@@ -121,10 +130,28 @@ def breach_runs(events: DataFrame, policies: DataFrame, limit: int | None = None
     )
 
 
+def streaks_after(events: DataFrame, policies: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """The streaks (``STREAKS``) open after the last window of each stream, to carry to the events that follow.
+
+    Streams without a new event keep what they carried. The result has at most one row per
+    policy, stream and feature, however long the history is.
+    """
+    stream = ["policy_version", "scenario"]
+    named = events.join(F.broadcast(policies)).withColumn("breaching", breaching_names(F.col("feature_stats"), F.col("psi_breach")))
+    streaks, placed = _feature_streaks(named, stream, "window_start", carried)
+    last = placed.groupBy(*stream).agg(F.max("__at").alias("__at"), F.sum("__n").alias("__all"))
+    now = streaks.join(last, [*stream, "__at"]).select(*stream, "feature", (F.col("__all") - F.col("__base")).cast("bigint").alias("run"))
+    if carried is None:
+        return now
+    return now.unionByName(carried.join(last, stream, "left_anti").select(*stream, "feature", "run"))
+
+
 # --- evidence and confidence --------------------------------------------------------------
-def evidence(events: DataFrame, policies: DataFrame, *, retrains: DataFrame | None = None, matured: DataFrame | None = None) -> DataFrame:
-    """Everything the rule table reads. Retrain history and matured labels are off by default."""
-    runs = breach_runs(events, policies)
+def evidence(
+    events: DataFrame, policies: DataFrame, *, retrains: DataFrame | None = None, matured: DataFrame | None = None, carried: DataFrame | None = None
+) -> DataFrame:
+    """Everything the rule table reads. Retrain history, matured labels and carried streaks are off by default."""
+    runs = breach_runs(events, policies, carried=carried)
     if retrains is None:
         runs = runs.withColumns({"days_since_last_retrain": F.lit(None).cast("double"), "retrains_in_cooldown": F.lit(0).cast("bigint")})
     else:

@@ -39,7 +39,8 @@ def unwritten(new: DataFrame, stored: DataFrame, keys: Sequence[str], order: Seq
     return ranked.select(*keys, "__row.*").select(*new.columns)
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at ``path``; one that does not exist yet is empty."""
     try:
         return spark.read.schema(like.schema).parquet(path)
     except AnalysisException as error:
@@ -55,8 +56,7 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 def append_once(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
     """Appends rows whose key is not on record; a stored row always wins."""
-    stored = _stored(new.sparkSession, path, new)
-    append(unwritten(new, stored, keys, order), path)
+    append(unwritten(new, stored(new.sparkSession, path, new), keys, order), path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
