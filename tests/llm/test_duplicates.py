@@ -57,15 +57,73 @@ def test_registered_groups_equal_brute_force(spark, sf_dir):
     assert got == groups_by_brute_force(texts, 3, 90, 100)
 
 
-def test_failed_pairs_are_tried_again(spark, monkeypatch):
-    """With one-bit bitmaps every pair looks alike, so exactness rests on verification alone."""
+@pytest.mark.parametrize("block", [4_000, 5])
+def test_buckets_that_joined_too_early_are_looked_at_again(spark, block, monkeypatch):
+    """With empty bitmaps every pair looks alike, so exactness rests on the second look alone."""
     monkeypatch.setattr(jaccard_join, "_bitmap", lambda tokens: bytes(8))
+    monkeypatch.setattr(jaccard_join, "EXACT_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HOT_TOKEN", block)
     texts = _corpus(4, copies=12)
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs, 3, 90, 100).collect()}
     assert got == groups_by_brute_force(texts, 3, 90, 100)
 
 
+@pytest.mark.parametrize("num", [70, 80, 90])
+def test_sets_on_the_boundary_are_linked(spark, num):
+    """Every two sizes up to 60 at the least overlap that links them, and at one token less.
+
+    One word a shingle, so sizes and overlaps are what is asked for; each pair has words of its own.
+    """
+    texts, want, k = {}, {}, 0
+    for n in range(1, 61):
+        for m in range(-(-n * num // 100), n + 1):
+            least = -(-(n + m) * num // (100 + num))
+            for common in (least, least - 1):
+                if not 0 < common <= m or (n == m == common):
+                    continue
+                word = lambda side, i: f"{side}{k}x{i}"  # noqa: B023, E731
+                shared = [word("c", i) for i in range(common)]
+                texts[2 * k] = " ".join(shared + [word("a", i) for i in range(n - common)])
+                texts[2 * k + 1] = " ".join(shared + [word("b", i) for i in range(m - common)])
+                linked = common * 100 >= num * (n + m - common)
+                want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if linked else 2 * k + 1}
+                k += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs, 1, num, 100).collect()}
+    assert got == want and any(i != c for i, c in want.items())
+    assert any(len(texts[i].split()) == 10 and len(texts[i + 1].split()) == 9 and want[i + 1] == i for i in range(0, 2 * k, 2)) is (num <= 90)
+
+
+def test_a_text_and_its_beginning(spark):
+    """Sets of ten and nine shingles at 90 %."""
+    texts = {}
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(12)]
+        texts |= {2 * k: " ".join(words), 2 * k + 1: " ".join(words[:11])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs, 3, 90, 100).collect()} == {i: i - i % 2 for i in texts}
+
+
+def test_lists_never_shorten_as_sets_grow():
+    for num in range(50, 100):
+        k = [jaccard_join.shared_least(n, num, 100) for n in range(1, 400)]
+        assert k == sorted(k) and all(jaccard_join.listed(n, num, 100) <= n for n in range(400))
+
+
+def test_of_each_group_one_row_stays(spark):
+    rng = random.Random(9)
+    text = [rng.choice("abcdefghijklmnop") * 3 + str(rng.randrange(99)) for _ in range(60)]
+    near, far, other = " ".join(text[:-1]), " ".join(text[::-1]), " ".join(sorted(text))
+    base = " ".join(text)
+    rows = [(1, base), (2, near), (2, far), (3, base), (3, base), (4, far), (5, other), (5, other), (6, ""), (6, ""), (None, base), (None, base), (7, None), (8, near + " x"), (9, far), (9, other + " y"), (10, ""), (10, near)]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id bigint, text string, component_id string, rows int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(1, base), (2, far), (5, other), (6, ""), (6, ""), (None, base), (None, base), (7, None), (10, "")], key=repr)
+    assert jaccard_join.keep_one(docs).columns == docs.columns
+    assert jaccard_join.keep_one(docs.where("doc_id < 0")).count() == 0
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
