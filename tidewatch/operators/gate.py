@@ -68,6 +68,36 @@ def gate_cards(
     return named.join(verdicts, ["criteria_version", "challenger"]).withColumn("criteria_version", F.concat(F.lit("card:"), F.col("card_id")))
 
 
+def on_own_windows(cards: DataFrame, fixed_sets: DataFrame, windows: DataFrame, window_set: str) -> DataFrame:
+    """Metric rows per card: those of the sets all cards share, and those of the card's own window as ``window_set``.
+
+    ``windows`` has one row per stream and window (and group), measured once however many cards
+    ask for it: metrics are handed to cards, the rows behind them are never repeated.
+    """
+    own = cards.select("card_id", "scenario", "window_start")
+    mine = own.join(windows, ["scenario", "window_start"]).drop("scenario", "window_start").withColumn("eval_set", F.lit(window_set))
+    shared = own.select("card_id").join(fixed_sets)
+    return shared.unionByName(mine.select(*shared.columns))
+
+
+def gate_own_windows(
+    cards: DataFrame, pairs: DataFrame, frozen: tuple[DataFrame, DataFrame], windows: tuple[DataFrame, DataFrame], criteria: DataFrame, *,
+    champion: str, window_set: str = "recent_labeled_window",
+) -> DataFrame:
+    """Each named pair's verdict under its card's own thresholds, on the frozen sets and on the window the card is about.
+
+    ``frozen`` and ``windows`` are (metrics, subgroup metrics) by model and eval_set, or by model, scenario and
+    window_start. A window that could not be measured fails its coverage check.
+    """
+    pinned = pinned_criteria(cards, criteria)
+    metrics, groups = (on_own_windows(cards, f, w, window_set) for f, w in zip(frozen, windows))
+    named = pairs.select("card_id", "challenger").distinct()
+    ours = lambda df: df.where(F.col("model") == champion).drop("model")
+    theirs = lambda df: df.withColumnRenamed("model", "challenger").join(named, ["card_id", "challenger"])
+    checks = gate_checks(ours(metrics), theirs(metrics), ours(groups), theirs(groups), pinned, ["card_id", "challenger"], ["card_id"])
+    return gate_verdicts(checks, ["card_id", "challenger"])
+
+
 def _at_least(observed: Column, required: Column) -> Column:
     return F.round(observed - required, 9) >= 0
 
@@ -91,23 +121,24 @@ def _check(name: str, passed: Column, observed: Column | None, required: Column
 
 def gate_checks(
     champion: DataFrame, challenger: DataFrame, champion_groups: DataFrame, challenger_groups: DataFrame, criteria: DataFrame,
-    keys: Sequence[str] = ("challenger",),
+    keys: Sequence[str] = ("challenger",), champion_keys: Sequence[str] = (),
 ) -> DataFrame:
     """One row per check.
 
-    ``champion`` and its groups are keyed by eval_set, the challenger's by ``keys`` and
-    eval_set. ``criteria`` is one row for all, or one per key (card-pinned thresholds). A set
+    ``champion`` and its groups are keyed by eval_set and by those of the ``keys`` that
+    ``champion_keys`` names, the challenger's by ``keys`` and eval_set. ``criteria`` is one row for all, or one per key (card-pinned thresholds). A set
     that either side lacks fails its coverage check when all sets are required.
     """
     keys = list(keys)
     shared = [k for k in keys if k in criteria.columns]
     metrics = ("rows", *METRICS)
-    ours = champion.select("eval_set", *[F.col(m).alias(f"a_{m}") for m in metrics], F.lit(True).alias("has_a"))
+    shared_set = ["eval_set", *champion_keys]
+    ours = champion.select(*shared_set, *[F.col(m).alias(f"a_{m}") for m in metrics], F.lit(True).alias("has_a"))
     theirs = challenger.select(*keys, "eval_set", *[F.col(m).alias(f"b_{m}") for m in metrics], F.lit(True).alias("has_b"))
     subjects = challenger.select(*keys).distinct()
     wanted = subjects.join(criteria, shared) if shared else subjects.join(F.broadcast(criteria))
     wanted = wanted.select("*", F.posexplode("evaluation_sets").alias("set_order", "eval_set")).drop("evaluation_sets")
-    paired = wanted.join(theirs, [*keys, "eval_set"], "left").join(ours, "eval_set", "left")
+    paired = wanted.join(theirs, [*keys, "eval_set"], "left").join(ours, shared_set, "left")
 
     present = F.coalesce(F.col("has_a"), F.lit(False)) & F.coalesce(F.col("has_b"), F.lit(False))
     absent = F.when(F.col("has_a").isNull(), F.lit("champion")).otherwise(F.lit("challenger"))
@@ -149,7 +180,7 @@ def gate_checks(
     # Subgroups of every set both sides have: a union of both sides' groups, one row each.
     both = paired.where(present).select(*keys, *base, "max_subgroup_auroc_drop")
     group = ["eval_set", "column_name", "group_value"]
-    before = both.join(champion_groups.select(*group, F.col("roc_auc").alias("before")), "eval_set").select(*keys, *group, "before", F.lit(None).cast("double").alias("after"))
+    before = both.join(champion_groups.select(*group, *champion_keys, F.col("roc_auc").alias("before")), shared_set).select(*keys, *group, "before", F.lit(None).cast("double").alias("after"))
     after = challenger_groups.select(*keys, *group, F.lit(None).cast("double").alias("before"), F.col("roc_auc").alias("after"))
     sides = before.unionByName(after).groupBy(*keys, *group).agg(F.max("before").alias("before"), F.max("after").alias("after"))
     matched = both.join(sides, [*keys, "eval_set"])

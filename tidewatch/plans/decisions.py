@@ -218,6 +218,77 @@ def gate_by_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("reasons")
 
 
+# Two policies whose cards pin different thresholds.
+LENIENT = {"auroc_non_inferiority_margin": 0.2, "recall_top_decile_min_ratio": 0.5, "max_brier_increase": 0.5, "max_ece": 0.9, "max_subgroup_auroc_drop": 0.45}
+GATE_POLICIES = (decisions.POLICIES[0], {**decisions.POLICIES[1], "acceptance_criteria": LENIENT})
+_W = "model, scenario, w"
+OWN_WINDOWS = c.with_(
+    c.CARDS, c.METRICS,
+    f"""
+labelled AS (
+  SELECT s.event_id AS doc_id, s.scenario, s.w, CAST(l.toxic AS VARCHAR) AS toxic, l.quality AS y, s.score FROM cur s JOIN labels l ON l.doc_id = s.event_id % (SELECT count(*) FROM documents)),
+wl AS (
+  SELECT 'v1' AS model, doc_id, scenario, w, toxic, y, score AS p FROM labelled UNION ALL SELECT 'v2', doc_id, scenario, w, toxic, y, CAST((doc_id * 37) % 101 AS DOUBLE) / 101::DOUBLE FROM labelled
+  UNION ALL SELECT 'v3', doc_id, scenario, w, toxic, y, 0.8::DOUBLE + 0.1::DOUBLE * score FROM labelled UNION ALL SELECT 'v9', doc_id, scenario, w, toxic, y, 1::DOUBLE - score FROM labelled),
+{c.auc('wl', _W, 'rank_w').strip()},
+{c.ece('wl', _W, 'ece_w').strip()},
+{c.top_recall('wl', _W, 'top_w').strip()},
+wm AS (
+  SELECT model, scenario, w, b.rows, round(roc_auc, 6) AS roc_auc, round(recall, 6) AS recall, round(brier, 6) AS brier, round(ece, 6) AS ece
+  FROM (SELECT model, scenario, w, count(*) AS rows, avg((p - y) * (p - y)) AS brier FROM wl GROUP BY ALL HAVING count(DISTINCT y) = 2) b
+  JOIN rank_w USING (model, scenario, w) JOIN ece_w USING (model, scenario, w) JOIN top_w USING (model, scenario, w)),
+wg_long AS (SELECT model, scenario, w, 'toxic=' || coalesce(toxic, 'nan') AS label, y, p FROM wl),
+{c.auc('wg_long', _W + ', label', 'wg_auc').strip()},
+bars(policy_version, margin, ratio, up, ece_top, fall) AS (VALUES ('policy-v1', 0.005::DOUBLE, 1::DOUBLE, 0.005::DOUBLE, 0.05::DOUBLE, 0.01::DOUBLE), ('policy-v2', 0.2::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 0.45::DOUBLE)),
+gp AS (
+  SELECT card_id, policy_version, scenario, w, u.challenger FROM cards, unnest([CASE WHEN n % 2 = 0 THEN 'v3' ELSE 'v2' END, CASE WHEN n % 3 = 0 THEN 'v9' END]) AS u(challenger)
+  WHERE action IN ('FULL_RETRAIN', 'INCREMENTAL_RETRAIN') AND u.challenger IS NOT NULL),
+faced AS (
+  SELECT gp.*, 'frozen' AS eval_set, a.roc_auc AS aa, b.roc_auc AS ba, a.recall_at_top_decile AS ar, b.recall_at_top_decile AS br, a.brier_score AS ab, b.brier_score AS bb, b.expected_calibration_error AS be, true AS present
+  FROM gp JOIN metrics a ON a.model = 'v1' AND a.eval_set = 'frozen_holdout' JOIN metrics b ON b.model = gp.challenger AND b.eval_set = 'frozen_holdout'
+  UNION ALL
+  SELECT gp.*, 'own', a.roc_auc, b.roc_auc, a.recall, b.recall, a.brier, b.brier, b.ece, a.model IS NOT NULL AND b.model IS NOT NULL
+  FROM gp LEFT JOIN wm a ON a.model = 'v1' AND a.scenario = gp.scenario AND a.w = gp.w LEFT JOIN wm b ON b.model = gp.challenger AND b.scenario = gp.scenario AND b.w = gp.w),
+groups_of AS (
+  SELECT gp.card_id, gp.challenger, 'frozen' AS eval_set, a.roc_auc AS before, b.roc_auc AS after
+  FROM gp JOIN grp b ON b.model = gp.challenger AND b.eval_set = 'frozen_holdout' JOIN grp a ON a.model = 'v1' AND a.eval_set = b.eval_set AND a.column_name = b.column_name AND a.group_value = b.group_value
+  UNION ALL
+  SELECT gp.card_id, gp.challenger, 'own', round(a.roc_auc, 6), round(b.roc_auc, 6)
+  FROM gp JOIN wg_auc b ON b.model = gp.challenger AND b.scenario = gp.scenario AND b.w = gp.w JOIN wg_auc a ON a.model = 'v1' AND a.scenario = b.scenario AND a.w = b.w AND a.label = b.label),
+told AS (
+  SELECT card_id, challenger, CASE WHEN present THEN 5 ELSE 1 END AS checks,
+         CASE WHEN NOT present THEN 1 ELSE CAST(round(ba - (aa - margin), 9) < 0 AS INTEGER) + CAST(round(br - ar * ratio, 9) < 0 AS INTEGER)
+              + CAST(round(ab + up - bb, 9) < 0 AS INTEGER) + CAST(round(ece_top - be, 9) < 0 AS INTEGER) END AS failed
+  FROM faced JOIN bars USING (policy_version)
+  UNION ALL
+  SELECT g.card_id, g.challenger, 1, CASE WHEN before IS NULL OR after IS NULL THEN 0 ELSE CAST(round(after - (before - fall), 9) < 0 AS INTEGER) END
+  FROM groups_of g JOIN faced f USING (card_id, challenger, eval_set) JOIN bars USING (policy_version) WHERE present)""",
+    recursive=True,
+    select="""SELECT card_id, policy_version, scenario, challenger, CASE WHEN sum(failed) = 0 THEN 'PASS' ELSE 'BLOCK' END AS outcome, CAST(sum(checks) AS BIGINT) AS checks, CAST(sum(failed) AS BIGINT) AS failed_criteria_count
+FROM told JOIN gp USING (card_id, challenger) GROUP BY card_id, policy_version, scenario, challenger""",
+)
+
+
+def challengers_of(cards: DataFrame) -> DataFrame:
+    """(card_id, challenger): one trained for the card and, for some, one known to be bad."""
+    n = t.window_number()
+    own = F.when(n % 2 == 0, F.lit("v3")).otherwise(F.lit("v2"))
+    return cards.select("card_id", F.explode(F.array_compact(F.array(own, F.when(n % 3 == 0, F.lit("v9"))))).alias("challenger"))
+
+
+@query("gate_own_window", OWN_WINDOWS)
+def gate_own_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every retrain card gates its challengers on the window it is about, under the thresholds its policy pinned."""
+    cards = decisions.decide(t.events(spark, sf_dir), decisions.policy_table(spark, GATE_POLICIES)).where(F.col("action").isin(*decisions.RETRAIN_ACTIONS))
+    cards = t.written_once(spark, sf_dir, "gate_cards", lambda: cards)
+    held = (t.set_metrics(spark, sf_dir), t.group_metrics(spark, sf_dir))
+    frozen = tuple(df.where(F.col("eval_set") == "frozen_holdout") for df in held)
+    found = gate.gate_own_windows(cards, challengers_of(cards), frozen, t.window_metrics(spark, sf_dir), gate.criteria_table(spark), champion="v1")
+    return found.join(cards.select("card_id", "policy_version", "scenario"), "card_id").select(
+        "card_id", "policy_version", "scenario", "challenger", "outcome", "checks", "failed_criteria_count"
+    )
+
+
 @query(
     "gate_worst_subgroup",
     c.with_(

@@ -11,6 +11,7 @@ from tidewatch.operators.ordering import sample_rows
 from tidewatch.operators.validation import Expectation
 from tidewatch.plans import tables as t
 from tidewatch.plans.registry import query
+from tidewatch.sources.readers import read_page
 from tidewatch.sources import sinks
 
 ORDER_RULES = (
@@ -375,3 +376,13 @@ def table_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ours = {n: t.table(spark, sf_dir, n) for n in TABLES}
     copy = {n: (df.where("o_orderstatus <> 'P'") if n == "orders" else df) for n, df in ours.items() if n != "nation"}
     return sinks.reconcile(sinks.table_counts(ours), sinks.table_counts(copy))
+
+
+@query(
+    "late_page",
+    "SELECT event_id, user_id, CAST(value AS DOUBLE) AS value FROM events ORDER BY value, event_id LIMIT 50 OFFSET (SELECT CAST(floor(count(*) * 0.9) AS BIGINT) FROM events)",
+)
+def late_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page near the end of a long list, as a viewer of the table turns to it."""
+    events = t.table(spark, sf_dir, "events")
+    return read_page(events, ["value", "event_id"], int(events.count() * 9 // 10), 50).select("event_id", "user_id", F.col("value").cast("double").alias("value"))

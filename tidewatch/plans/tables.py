@@ -133,6 +133,32 @@ def group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_once(spark, sf_dir, "group_metrics", build)
 
 
+def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows of the serving windows, scored by every model."""
+    documents = table(spark, sf_dir, "documents").count()
+    _, serving = split_stream(stream(spark, sf_dir))
+    rows = serving.withColumn("doc_id", F.col("event_id") % documents).join(table(spark, sf_dir, "labels"), "doc_id").select(
+        "event_id", "scenario", F.col("w").cast("timestamp").alias("window_start"), "ub", F.col("toxic").cast("string").alias("toxic"), F.col("quality").alias("y"),
+        F.col("score").alias("p_v1"), (F.pmod(F.col("event_id") * 37, F.lit(101)).cast("double") / 101.0).alias("p_v2"),
+        (F.lit(0.8) + F.lit(0.1) * F.col("score")).alias("p_v3"), (F.lit(1.0) - F.col("score")).alias("p_v9"),
+    )
+    return quality.unpivot_scores(rows, {"v1": "p_v1", "v2": "p_v2", "v3": "p_v3", "v9": "p_v9"})
+
+
+def window_metrics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metrics and subgroup metrics by model and serving window; windows of one class are refused."""
+    keys = ["model", "scenario", "window_start"]
+    scores = written_once(spark, sf_dir, "window_scores", lambda: window_scores(spark, sf_dir))
+
+    def measured() -> DataFrame:
+        found, _ = quality.gate_metrics(scores, keys, "y", "p", "event_id")
+        return found.withColumns({m: F.round(m, 6) for m in ("positive_rate", *gate.METRICS)})
+
+    metrics = written_once(spark, sf_dir, "window_metrics", measured)
+    groups = written_once(spark, sf_dir, "window_groups", lambda: quality.subgroup_metrics(scores, keys, "y", "p", ("toxic",)).withColumn("roc_auc", F.round("roc_auc", 6)))
+    return metrics, groups
+
+
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Champion and challenger metrics and subgroup metrics."""
     m, g = set_metrics(spark, sf_dir), group_metrics(spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from tidewatch.operators.ordering import positions
 from tidewatch.sources.schemas import ALIAS_MOVE, RAW_ENCOUNTER_TEXT
 
 
@@ -53,8 +54,16 @@ def read_labelled(spark: SparkSession, path: str, schema: StructType, target: st
 
 
 def read_page(df: DataFrame, order: Sequence[str], offset: int, count: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + count`` in key order."""
-    return df.orderBy(*order).offset(offset).limit(count)
+    """Rows ``offset`` to ``offset + count`` in the order of the first column, ties by the others; the page itself is in order.
+
+    Rows are placed by global positions, so a late page costs what an early one does and no task
+    sorts the rows before it.
+    """
+    main, *ties = order
+    placed = df.withColumn("__tie", F.struct(*ties)) if len(ties) > 1 else df
+    tie = "__tie" if len(ties) > 1 else (ties[0] if ties else main)
+    placed = positions(placed, main, tie, out="__place").where((F.col("__place") >= offset) & (F.col("__place") < offset + count))
+    return placed.orderBy("__place").select(*df.columns)
 
 
 def read_alias_log(spark: SparkSession, path: str) -> DataFrame:
