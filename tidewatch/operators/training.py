@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from tidewatch.functions.text import MISSING
 from tidewatch.functions.numbers import hash_bits
 from tidewatch.operators.drift import value_counts
+from tidewatch.operators.isotonic import isotonic_steps, step_ends
 from tidewatch.operators.ordering import cut_points, exact_quantiles
 from tidewatch.operators.preparation import validation_tail
 
@@ -123,7 +124,8 @@ def fit_calibrated(train: DataFrame, spec: FeatureSpec, label: str, key: str, *,
     for fold in range(folds):
         encoder, model = fit_base(tagged.where(F.col("__fold") != fold), spec, label, trees=trees, depth=depth, seed=seed)
         held = score(tagged.where(F.col("__fold") == fold), encoder, model, "__x")
-        curve = IsotonicRegression(featuresCol="__x", labelCol=label, predictionCol="prediction").fit(held.withColumn(label, F.col(label).cast("double")))
+        ends = step_ends(isotonic_steps(held, "__x", label))  # pooled beforehand: the fit holds the steps, not the rows
+        curve = IsotonicRegression(featuresCol="x", labelCol="value", weightCol="weight", predictionCol="prediction").fit(ends).setFeaturesCol("__x")
         members.append((encoder, model, curve))
     return CalibratedModel(tuple(members))
 

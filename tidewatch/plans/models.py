@@ -8,6 +8,7 @@ from tidewatch.operators import attribution, grounding, training
 from tidewatch.plans import check_sql as c
 from tidewatch.plans import tables as t
 from tidewatch.plans.registry import query
+from tidewatch.operators.isotonic import isotonic_steps
 
 # --- grounding --------------------------------------------------------------------------------
 # RE2 has no look-behind, so the SQL lists every place a figure may start and tests the rest of
@@ -173,9 +174,24 @@ def training_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("external_model_score", "SELECT doc_id, round(1 / (1 + exp(-(CAST(n_chars AS DOUBLE) / 1000 - 1))), 6) AS p FROM documents")
 def external_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any vectorised model over Arrow batches."""
-    import numpy as np
+    """A fitted logistic curve as a column expression, inside the scan's own stage."""
+    docs = t.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.round(1 / (1 + F.exp(-(F.col("n_chars").cast("double") / 1000 - 1))), 6).alias("p"))
+
 
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    scored = training.score_external(docs, lambda batch: 1 / (1 + np.exp(-(batch["n_chars"] / 1000.0 - 1))), ["n_chars"])
-    return scored.select("doc_id", F.round("p", 6).alias("p"))
+@query(
+    "isotonic_fit",
+    c.with_(
+        c.SCORED,
+        "d AS (SELECT p_v2 AS x, count(*) AS w, sum(y) AS s FROM scored GROUP BY p_v2)",
+        "n AS (SELECT x, w, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS uw, sum(s) OVER (ORDER BY x) AS us, sum(w) OVER (ORDER BY x) - w AS bw, sum(s) OVER (ORDER BY x) - s AS bs FROM d)",
+        "runs AS (SELECT a.i AS a, b.i AS b, (b.us - a.bs) / (b.uw - a.bw)::DOUBLE AS m FROM n a JOIN n b ON a.i <= b.i)",
+        "least_ AS (SELECT r.a, n.i, min(r.m) AS m FROM n JOIN runs r ON r.a <= n.i AND r.b >= n.i GROUP BY r.a, n.i)",
+        "fitted AS (SELECT n.x, n.w, max(l.m) AS v FROM n JOIN least_ l ON l.i = n.i GROUP BY n.x, n.w)",
+        select="SELECT round(min(x), 6) AS lo, round(max(x), 6) AS hi, CAST(sum(w) AS BIGINT) AS rows, round(v, 6) AS value FROM fitted GROUP BY round(v, 6)",
+    ),
+)
+def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibration curve of a model over its labelled rows, as steps."""
+    steps = isotonic_steps(t.scored(spark, sf_dir), "p_v2", "y")
+    return steps.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.col("weight").cast("bigint").alias("rows"), F.round("value", 6).alias("value"))
