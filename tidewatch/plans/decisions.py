@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.operators import backtest, decisions, drift, gate, lifecycle, perturb, shadow
 from tidewatch.operators.preparation import row_windows, window_end, window_start
-from tidewatch.operators.quality import metric_deltas
+from tidewatch.operators.quality import gate_metrics, metric_deltas, subgroup_metrics, unpivot_scores
 from tidewatch.plans import check_sql as c
 from tidewatch.plans import tables as t
-from tidewatch.plans.preparation import uniform_sql
+from tidewatch.plans.preparation import bits_sql, uniform_sql
 from tidewatch.plans.registry import query
 
 DATE = "strftime(w, '%Y-%m-%d') AS window_date"
@@ -600,3 +600,147 @@ def backtest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     summary = backtest.summarise(rows)
     return summary.drop("gated_cards", "retrained_pass", "retrained_block", "bad_challenger_block")
+
+
+# --- back-test of all five perturbations, gated -------------------------------------------------
+_FIVE = f"""
+strm AS (
+  SELECT event_id, CAST(ts AS DATE) AS w, value, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k, CAST(hour(ts) AS BIGINT) AS hour,
+         CAST(user_id % 10 AS VARCHAR) AS ub, least(value, 500::DOUBLE) / 500::DOUBLE AS score,
+         CASE event_id % 4 WHEN 1 THEN '>7' WHEN 2 THEN 'Norm' WHEN 3 THEN '>8' END AS grade, l.quality AS y
+  FROM events LEFT JOIN labels l ON l.doc_id = event_id % (SELECT count(*) FROM documents)),
+ref AS (SELECT * FROM strm WHERE w < DATE '2024-01-11'),
+base AS (
+  SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () AS total, CASE WHEN ub IN ('7', '8', '9') THEN 4 ELSE 1 END AS wt,
+         row_number() OVER (PARTITION BY grade IS NULL ORDER BY {bits_sql('event_id', '42-rows')}, event_id) AS gn, count(*) OVER (PARTITION BY grade IS NULL) AS gc, {uniform_sql('event_id', '42-values')} AS gu,
+         row_number() OVER (ORDER BY {bits_sql('event_id', '42-rows')}, event_id) AS ln, avg(y) OVER () AS rate, {uniform_sql('event_id', '42-labels')} AS lu
+  FROM strm WHERE w >= DATE '2024-01-11'),
+summed AS (SELECT *, sum(wt) OVER (ORDER BY event_id) AS upto, sum(wt) OVER () AS weight FROM base),
+spread AS (
+  SELECT *, CAST(floor((upto - wt)::DOUBLE / weight::DOUBLE * total + 0.5::DOUBLE) AS BIGINT) AS a, CAST(floor(upto::DOUBLE / weight::DOUBLE * total + 0.5::DOUBLE) AS BIGINT) AS b FROM summed),
+placed AS (
+  SELECT 'S1' AS scenario, pos, total, value, CAST(greatest(round_even(k * 1.2::DOUBLE + sqrt(-2::DOUBLE * ln({uniform_sql('event_id', '42-k-a')})) * cos(6.283185307179586::DOUBLE * ({uniform_sql('event_id', '42-k-b')})), 0), (SELECT min(k) FROM base)) AS BIGINT) AS k, hour, ub, score, grade, y FROM base
+  UNION ALL SELECT 'S2', pos, total, value, k, hour, ub, score,
+    coalesce(grade, CASE WHEN gn <= round_even(gc * 0.4::DOUBLE, 0) THEN CASE WHEN gu < 0.25 THEN '>7' WHEN gu < 0.25 + 0.2 THEN '>8' ELSE 'Norm' END END), y FROM base
+  UNION ALL SELECT 'S3', u.p, total, value, k, hour, ub, score, grade, y FROM spread, unnest(range(a, b)) AS u(p)
+  UNION ALL SELECT 'S4', pos, total, value, k, hour, ub, score, grade, CASE WHEN ln <= round_even(total * 0.3::DOUBLE, 0) THEN CASE WHEN lu < rate THEN 1 ELSE 0 END ELSE y END FROM base
+  UNION ALL SELECT 'S5', pos, total, value, k, hour, ub, score, grade, y FROM base),
+cur AS (SELECT scenario, CAST(DATE '2026-01-01' + CAST(pos // {BLOCK} AS INTEGER) AS DATE) AS w, pos, value, k, hour, ub, score, grade, y FROM placed WHERE (pos // {BLOCK} + 1) * {BLOCK} <= total)
+"""
+_FIVE_CARDS = (
+    c.CARDS.replace(c.STREAM.strip(), _FIVE.strip())
+    .replace("dev_long AS (", c.categorical("grade", out="grades").strip() + ",\ndev_long AS (", 1)
+    .replace("psi, NULL FROM cats)", "psi, NULL FROM cats UNION ALL SELECT scenario, w, feature, 'categorical', psi, NULL FROM grades)")
+    .replace("breach_count / 4::DOUBLE", "breach_count / 5::DOUBLE")
+)
+
+
+def _model_rows(side: str, keys: str) -> str:
+    models = (("v1", "score"), ("v3", "0.8::DOUBLE + 0.1::DOUBLE * score"), ("v9", "1::DOUBLE - score"))
+    return " UNION ALL ".join(f"SELECT '{m}' AS model, {keys}, ub, y, {p} AS p FROM {side} WHERE y IS NOT NULL" for m, p in models)
+
+
+def _measured_sql(rows: str, keys: str, tie: str, out: str) -> str:
+    return f"""
+{c.auc(rows, keys, out + '_rank').strip()},
+{c.ece(rows, keys, out + '_ece').strip()},
+{c.top_recall(rows, keys, out + '_top', tie).strip()},
+{out} AS (
+  SELECT {keys}, round(roc_auc, 6) AS roc_auc, round(recall, 6) AS recall, round(brier, 6) AS brier, round(ece, 6) AS ece
+  FROM (SELECT {keys}, avg((p - y) * (p - y)) AS brier FROM {rows} GROUP BY ALL HAVING count(DISTINCT y) = 2) b
+  JOIN {out}_rank USING ({keys}) JOIN {out}_ece USING ({keys}) JOIN {out}_top USING ({keys})),
+{c.auc(rows, keys + ', ub', out + '_ub').strip()}"""
+
+
+_GATED = f"""
+bars(policy_version, margin, ratio, up, ece_top, fall) AS (VALUES ('policy-v1', 0.005::DOUBLE, 1::DOUBLE, 0.005::DOUBLE, 0.05::DOUBLE, 0.01::DOUBLE), ('policy-v2', 0.2::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 0.45::DOUBLE)),
+gp AS (SELECT card_id, policy_version, scenario, w, u.challenger FROM cards, unnest(['v3', 'v9']) AS u(challenger) WHERE action IN ('FULL_RETRAIN', 'INCREMENTAL_RETRAIN')),
+faced AS (
+  SELECT gp.*, 'frozen' AS eval_set, a.roc_auc AS aa, b.roc_auc AS ba, a.recall AS ar, b.recall AS br, a.brier AS ab, b.brier AS bb, b.ece AS be, true AS present
+  FROM gp JOIN fm a ON a.model = 'v1' JOIN fm b ON b.model = gp.challenger
+  UNION ALL
+  SELECT gp.*, 'own', a.roc_auc, b.roc_auc, a.recall, b.recall, a.brier, b.brier, b.ece, a.model IS NOT NULL AND b.model IS NOT NULL
+  FROM gp LEFT JOIN wm a ON a.model = 'v1' AND a.scenario = gp.scenario AND a.w = gp.w LEFT JOIN wm b ON b.model = gp.challenger AND b.scenario = gp.scenario AND b.w = gp.w),
+groups_of AS (
+  SELECT gp.card_id, gp.challenger, 'frozen' AS eval_set, round(a.roc_auc, 6) AS before, round(b.roc_auc, 6) AS after FROM gp JOIN fm_ub b ON b.model = gp.challenger JOIN fm_ub a ON a.model = 'v1' AND a.ub = b.ub
+  UNION ALL
+  SELECT gp.card_id, gp.challenger, 'own', round(a.roc_auc, 6), round(b.roc_auc, 6)
+  FROM gp JOIN wm_ub b ON b.model = gp.challenger AND b.scenario = gp.scenario AND b.w = gp.w JOIN wm_ub a ON a.model = 'v1' AND a.scenario = b.scenario AND a.w = b.w AND a.ub = b.ub),
+told AS (
+  SELECT card_id, challenger, CASE WHEN NOT present THEN 1 ELSE CAST(round(ba - (aa - margin), 9) < 0 AS INTEGER) + CAST(round(br - ar * ratio, 9) < 0 AS INTEGER)
+         + CAST(round(ab + up - bb, 9) < 0 AS INTEGER) + CAST(round(ece_top - be, 9) < 0 AS INTEGER) END AS failed FROM faced JOIN bars USING (policy_version)
+  UNION ALL
+  SELECT g.card_id, g.challenger, CASE WHEN before IS NULL OR after IS NULL THEN 0 ELSE CAST(round(after - (before - fall), 9) < 0 AS INTEGER) END
+  FROM groups_of g JOIN faced f USING (card_id, challenger, eval_set) JOIN bars USING (policy_version) WHERE present),
+verdict AS (SELECT card_id, challenger, CASE WHEN sum(failed) = 0 THEN 'PASS' ELSE 'BLOCK' END AS outcome FROM told GROUP BY ALL),
+sided AS (SELECT card_id, max(outcome) FILTER (challenger = 'v3') AS good, max(outcome) FILTER (challenger = 'v9') AS bad FROM verdict GROUP BY card_id)
+"""
+
+
+@query(
+    "backtest_five_scenarios",
+    c.with_(
+        _FIVE_CARDS,
+        f"wl AS ({_model_rows('cur', 'scenario, w, pos')})", _measured_sql("wl", _W, "pos", "wm"),
+        f"fl AS ({_model_rows('ref', 'event_id')})", _measured_sql("fl", "model", "event_id", "fm"),
+        _GATED, recursive=True,
+        select="""
+SELECT policy_version, scenario, count(*) AS windows, round(avg(CAST(breaching_feature_count > 0 OR prediction_drift AS INTEGER)), 4) AS monitor_breach_rate,
+       round(avg(CAST(action <> 'NO_OP' AS INTEGER)), 4) AS acting_card_rate, min(date_diff('day', DATE '2026-01-01', w)) FILTER (action <> 'NO_OP') AS detection_latency_windows,
+       array_to_string(list_sort(list(DISTINCT action)), ',') AS actions, array_to_string(list_sort(list(DISTINCT disposition)), ',') AS dispositions,
+       round(min(confidence), 4) AS confidence_min, round(max(confidence), 4) AS confidence_max, count(g.good) AS gated_cards,
+       count(*) FILTER (g.good = 'PASS') AS retrained_pass, count(*) FILTER (g.good = 'BLOCK') AS retrained_block, count(*) FILTER (g.bad = 'BLOCK') AS bad_challenger_block
+FROM cards LEFT JOIN sided g USING (card_id) GROUP BY policy_version, scenario""",
+    ),
+)
+def backtest_five_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five perturbations of the serving stream, measured, decided, and gated on each card's own window.
+
+    Labels go through the perturbations with their rows: S3 repeats them, S4 redraws a share of them, and
+    the gate sees what is left in the window a card is about.
+    """
+    documents = t.table(spark, sf_dir, "documents").count()
+    grade = F.when(F.col("event_id") % 4 == 1, F.lit(">7")).when(F.col("event_id") % 4 == 2, F.lit("Norm")).when(F.col("event_id") % 4 == 3, F.lit(">8"))
+    told = t.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__doc"), F.col("quality").cast("int").alias("y"))
+    rows = t.stream(spark, sf_dir).withColumn("grade", grade).withColumn("__doc", F.col("event_id") % documents).join(told, "__doc", "left").drop("__doc")
+    reference, serving = t.split_stream(t.written_once(spark, sf_dir, "labelled_stream", lambda: rows))
+    base = serving.select("event_id", "value", "k", "hour", "ub", "score", "grade", "y")
+    streams = backtest.perturbed_streams(
+        base,
+        {
+            "S1": lambda df: perturb.scale_jitter(df, ["event_id"], ["k"], portable=True),
+            "S2": lambda df: perturb.fill_nulls(df, ["event_id"], "grade", portable=True),
+            "S3": lambda df: perturb.weighted_resample(df, "event_id", F.when(F.col("ub").isin("7", "8", "9"), 4).otherwise(1)),
+            "S4": lambda df: perturb.relabel_at_base_rate(df, ["event_id"], "y", portable=True),
+            "S5": perturb.unchanged,
+        },
+    )
+    windows = t.written_once(spark, sf_dir, "five_windows", lambda: row_windows(streams, "event_id", "event_id", BLOCK, groups=["scenario"], keep_partial=False))
+    spec = drift.MonitorSpec(("scenario", "window_index"), ("value", "k", "hour"), ("ub", "grade"), "score")
+    index = F.col("window_index")
+    found = drift.window_events(reference, windows, spec, scenario="scenario", window_start=window_start(index), window_end=window_end(index), window_number=index)
+    events = t.written_once(spark, sf_dir, "five_events", lambda: found)
+    cards = t.written_once(spark, sf_dir, "five_cards", lambda: decisions.decide(events, decisions.policy_table(spark, GATE_POLICIES)))
+    retrains = cards.where(F.col("action").isin(*decisions.RETRAIN_ACTIONS))
+
+    def scored(df: DataFrame) -> DataFrame:
+        score = F.col("score")
+        models = df.where("y IS NOT NULL").withColumns({"p_v1": score, "p_v3": F.lit(0.8) + F.lit(0.1) * score, "p_v9": F.lit(1.0) - score})
+        return unpivot_scores(models, {"v1": "p_v1", "v3": "p_v3", "v9": "p_v9"})
+
+    def measured(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+        held = t.written_once(spark, sf_dir, f"five_{name}_rows", lambda: scored(df))
+        whole = lambda: gate_metrics(held, keys, "y", "p", "event_id")[0].withColumns({m: F.round(m, 6) for m in gate.METRICS})
+        parts = lambda: subgroup_metrics(held, keys, "y", "p", ("ub",)).withColumn("roc_auc", F.round("roc_auc", 6))
+        return t.written_once(spark, sf_dir, f"five_{name}_metrics", whole), t.written_once(spark, sf_dir, f"five_{name}_groups", parts)
+
+    frozen = measured(reference.withColumn("eval_set", F.lit("frozen_holdout")), ["model", "eval_set"], "frozen")
+    own = measured(windows.withColumn("window_start", window_start(index)), ["model", "scenario", "window_start"], "own")
+    pairs = retrains.select("card_id", F.explode(F.array(F.lit("v3"), F.lit("v9"))).alias("challenger"))
+    verdicts = gate.gate_own_windows(retrains, pairs, frozen, own, gate.criteria_table(spark), champion="v1")
+    outcome = lambda m: F.max(F.when(F.col("challenger") == m, F.col("outcome")))
+    sided = verdicts.groupBy("card_id").agg(outcome("v3").alias("gate_retrained"), outcome("v9").alias("gate_bad"))
+    counted = events.select(F.col("event_id").alias("drift_event_id"), F.col("breaching_feature_count").alias("breaching_features"))
+    joined = cards.join(counted, "drift_event_id").join(sided, "card_id", "left")
+    number = F.datediff(F.col("window_start").cast("date"), F.lit("2026-01-01").cast("date")).cast("bigint")
+    return backtest.summarise(joined.withColumn("window_index", number))
