@@ -219,3 +219,30 @@ def test_authorisation_and_pins(spark):
 def test_run_ids_name_their_card(spark):
     row = spark.sql("SELECT 'dc-2026-01-03-1a2b3c4d' c").select(g.run_id(F.col("c"), F.lit("live"), F.lit("2")).alias("a"), g.run_id(F.col("c"), F.lit("live"), F.lit(None)).alias("b")).first()
     assert row["a"].startswith("rr-2026-01-03-1a2b3c4d-") and row["a"] != row["b"] and len(row["b"]) == 31
+
+
+def test_cards_are_gated_on_their_own_window_and_thresholds(spark):
+    from datetime import datetime
+
+    from tidewatch.operators import gate
+
+    day = [datetime(2026, 1, d) for d in (1, 2, 3)]
+    strict = {t: float(gate.CRITERIA[t]) for t in gate.THRESHOLDS}
+    lenient = {**strict, "auroc_non_inferiority_margin": 0.3, "max_ece": 1.0}
+    cards = spark.createDataFrame(
+        [("a", "s", day[0], strict), ("b", "s", day[0], lenient), ("c", "s", day[1], strict), ("d", "s", day[2], strict)],
+        "card_id string, scenario string, window_start timestamp, acceptance_criteria map<string,double>",
+    )
+    metrics = "rows long, roc_auc double, recall_at_top_decile double, brier_score double, expected_calibration_error double"
+    good, worse = (100, 0.7, 0.3, 0.1, 0.02), (100, 0.5, 0.3, 0.1, 0.06)
+    frozen = spark.createDataFrame([("v1", "frozen_holdout", *good), ("v2", "frozen_holdout", *good)], f"model string, eval_set string, {metrics}")
+    own = [("v1", "s", day[0], *good), ("v2", "s", day[0], *worse), ("v1", "s", day[1], *good), ("v2", "s", day[1], *good)]  # the third day has no labels
+    windows = spark.createDataFrame(own, f"model string, scenario string, window_start timestamp, {metrics}")
+    group = "column_name string, group_value string, roc_auc double"
+    frozen_groups = spark.createDataFrame([("v1", "frozen_holdout", "g", "x", 0.7), ("v2", "frozen_holdout", "g", "x", 0.7)], f"model string, eval_set string, {group}")
+    window_groups = spark.createDataFrame([("v1", "s", day[1], "g", "x", 0.7), ("v2", "s", day[1], "g", "x", None)], f"model string, scenario string, window_start timestamp, {group}")
+    pairs = cards.selectExpr("card_id", "'v2' AS challenger")
+    found = gate.gate_own_windows(cards, pairs, (frozen, frozen_groups), (windows, window_groups), gate.criteria_table(spark), champion="v1").collect()
+    got = {r.card_id: (r.outcome, r.checks, r.failed_criteria_count) for r in found}
+    assert got == {"a": ("BLOCK", 11, 2), "b": ("PASS", 11, 0), "c": ("PASS", 12, 0), "d": ("BLOCK", 7, 1)}
+    assert next(r for r in found if r.card_id == "d").reasons == ["evaluation_set_present [recent_labeled_window]: recent_labeled_window lacks the champion's metrics"]
