@@ -81,6 +81,52 @@ def test_groups_that_fit_stay_together(spark):
     assert (found["groups"], found["whole"]) == (len(sizes), len(sizes) - 1)
 
 
+def test_votes_through_shared_pieces(spark):
+    """Against a plain count over all pairs: each node hears the others of a piece, divided by their number."""
+    import random
+
+    draw = random.Random(5)
+    held = {(draw.randrange(60), piece) for piece in range(40) for _ in range(draw.choice([1, 2, 3, 30]))}
+    held |= {(node, piece + 100) for node, piece in held if piece < 10}  # bundles of two pieces
+    shard = {node: draw.randrange(4) for node in range(60)}
+    sharding.HOT, old = 8, sharding.HOT
+    links = sharding.bundled(written(spark.createDataFrame(sorted(held), "node bigint, piece bigint"), "t"))
+    voters = spark.createDataFrame(sorted(shard.items()), "node bigint, shard int")
+    got = {r["node"]: (r["all"], r["own"]) for r in sharding.heard(links, voters).collect()}
+    sharding.HOT = old
+    members = {}
+    for node, piece in held:
+        members.setdefault(piece, set()).add(node)
+    want = {}
+    for them in members.values():
+        for a in them if len(them) > 1 else ():
+            for b in them - {a}:
+                want.setdefault(a, {}).setdefault(shard[b], []).append(1 / (len(them) - 1))
+    assert set(got) == set(want)
+    for node, (votes, own) in got.items():
+        heard = {s: (v - (own if s == shard[node] else 0)) / sharding.VOTE for s, v in votes.items()}
+        assert all(abs(heard.get(s, 0) - sum(want[node].get(s, []))) < 1e-6 for s in range(4))
+
+
+def test_propagation_cuts_fewer_links(spark):
+    """400 families of five that share pieces, one piece in every third node, units of equal values among them."""
+    rows = [(i, 40 + i % 9, f"v{i if i % 7 else i // 70}", [i // 5 * 3, i // 5 * 3 + 1, 10**6 + i] + ([-1] if i % 3 == 0 else [])) for i in range(2000)]
+    alike = {}
+    rows = [(i, size if i % 7 else 40, v, alike.setdefault(v, links)) for i, size, v, links in rows] + [(5000 + i, 30 + i % 5, None, None) for i in range(500)]
+    nodes = written(spark.createDataFrame(rows, "node bigint, size bigint, v string, links array<bigint>").repartition(4), "t")
+    heads = nodes.where("v is not null").groupBy("v").agg(F.min("node").alias("node")).select("node")
+    links = sharding.bundled(written(nodes.join(heads, "node").select("node", F.explode("links").alias("piece")), "t"))
+    found = {}
+    for rounds in (0, sharding.ROUNDS):
+        placed = sharding.grouped_shards(nodes, "v", shards=8, rounds=rounds, links="links").cache()
+        loads = [r["s"] for r in placed.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+        assert placed.count() == 2500 and len(loads) == 8 and max(loads) < 1.01 * min(loads)
+        assert placed.join(nodes, "node").where("v is not null").groupBy("v").agg(F.countDistinct("shard").alias("n")).where("n > 1").isEmpty()
+        found[rounds] = sharding.cut_links(links, placed).first()
+    assert found[0]["cut_votes"] > 0.8 * found[0]["votes"]
+    assert found[sharding.ROUNDS]["cut_votes"] < 0.5 * found[sharding.ROUNDS]["votes"]
+
+
 def test_shards_of_awkward_documents(spark, tmp_path):
     awkward(spark).write.parquet(f"{tmp_path}/a/documents.parquet")
     got = RUNS["op2_label_shards"](spark, f"{tmp_path}/a")

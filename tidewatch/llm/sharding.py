@@ -10,14 +10,20 @@ fair size is released, and released and unlinked nodes fill the shards: largest
 laid along the shards' missing bytes by running totals, so what one class leaves uneven, smaller
 nodes even out. Only sums per shard and size class reach the driver, and the groups named next.
 
-Equal texts (``grouped_shards``) are groups whose members hear all of their group: a combining count
-per group and cell (a hash class of nodes) stands for the members, and votes are counted per group and
-shard. A group moves, is released and is filled in as one unit, so its members end in one shard.
+Documents (``grouped_shards``): equal texts are one node, a unit, which moves, is released and is filled
+in whole. Units are linked by the pieces (sentences or lines) they share. A piece's members don't become
+pairs: members are counted per piece and shard, at most one number a shard, and each member hears those
+counts, less itself, divided by the number of the others, so a piece's word is one vote however common
+it is and a piece of every document says next to nothing. Pieces with the same members are one bundle
+that counts as often as it has pieces. A bundle's counts go to its members by salted keys, so a piece that
+a third of all documents hold is spread. While units move, a shard may hold ROOMY times its fair size;
+then those held by the fewest votes are released first.
 Groups above 1/BIG of a fair shard, at most BIG times the shards, are placed first: largest first, whole
-where they fit the shard with most room, otherwise over the shards with most room in turn.
+where they fit the shard with most room, otherwise over the shards with most room in turn. They don't
+move, but what shares a piece with them hears the shard of their first part.
 
-Defined cases: a null text has size 1 and no links; repeated rows are nodes of their own, linked as
-equal texts; a node larger than a fair shard makes its shard that much larger; an empty table gives
+Defined cases: a null text has size 1 and no links, a text without a piece of SHORTEST characters has
+none either; repeated rows are equal texts; a node larger than a fair shard makes its shard that much larger; an empty table gives
 an empty result; other input columns are not carried.
 """
 
@@ -39,6 +45,11 @@ MOST_BUCKETS = 4096
 FILL_SHARES = (0.3, 0.05)
 CELLS = 256
 BIG = 64
+PIECE = "[.!?\\n\u3002\uff01\uff1f]+"
+SHORTEST = 20  # characters of a piece that links
+VOTE = 1_000_000_000  # one vote in whole numbers
+HOT = 4096  # members of a bundle that hear its counts under one key
+ROOMY = 1.25
 
 
 def equal_value_edges(nodes: DataFrame, value: str) -> DataFrame:
@@ -79,22 +90,72 @@ def propagate(linked: DataFrame, edges: DataFrame, shards: int, capacity: float,
     return _turns(state, facing, ["node"], "node", shards, [0] * shards, capacity, rounds)
 
 
-def propagate_groups(cells: DataFrame, shards: int, placed: list[int], capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (unit, cell, n, size) with their shard: each member hears every other member of its unit.
+def pieces(text: Column) -> Column:
+    """Hashes of a text's distinct sentences and lines of at least SHORTEST characters."""
+    cut = F.filter(F.transform(F.split(text, PIECE), F.trim), lambda p: F.length(p) >= SHORTEST)
+    return F.array_distinct(F.transform(cut, lambda p: F.xxhash64(p)))
 
-    ``placed`` are the bytes that lie in each shard already.
+
+def bundled(held: DataFrame) -> DataFrame:
+    """Links (node, bundle, n, weight, vote, salt) of ``held`` (node, piece), a written table of distinct rows.
+
+    A bundle stands for ``weight`` pieces with the same ``n`` >= 2 nodes; ``vote`` is what each other node counts.
     """
-    state = written(cells.withColumn("shard", F.pmod("cell", F.lit(shards)).cast("int")), "shards-start")
+    celled = held.withColumn("cell", F.pmod(F.xxhash64("node", F.lit("cell")), F.lit(CELLS)).cast("int"))
+    parts = written(celled.groupBy("piece", "cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("least")), "shards-pieces")
+    whole = parts.groupBy("piece").agg(F.sum("n").alias("n"), F.bit_xor("who").alias("who"), F.min("least").alias("least")).where("n > 1")
+    named = parts.select("piece", "cell").join(whole.select("piece", "n", F.xxhash64("n", "who", "least").alias("bundle")), "piece")
+    # A piece's members meet its bundle by cell, so that a piece of very many members is CELLS keys.
+    links = celled.join(named, ["piece", "cell"]).groupBy("node", "bundle", "n").agg(F.count(F.lit(1)).alias("weight"))
+    vote = F.floor(F.col("weight") * F.lit(VOTE) / (F.col("n") - 1)).cast("bigint")
+    return written(links.select("node", "bundle", "n", "weight", vote.alias("vote"), F.pmod(F.xxhash64("node", F.lit("salt")), _salts()).alias("salt")), "shards-links")
+
+
+def _salts() -> Column:
+    return F.ceil(F.col("n") / HOT).cast("bigint")
 
-    def facing(state: DataFrame) -> DataFrame:
-        votes = state.groupBy("unit", F.col("shard").alias("to")).agg(F.sum("n").alias("votes"))  # at most one row per unit and shard
-        heard = votes.groupBy("unit").agg(F.max(F.struct("votes", (-F.col("to")).alias("low"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all"))
-        to = (-F.col("best.low")).cast("int")
-        # A member doesn't hear itself.
-        gain = F.when(to == F.col("shard"), F.lit(0)).otherwise(F.col("best.votes") - F.col("all")[F.col("shard")] + 1)
-        return state.join(heard, "unit").select(*state.columns, to.alias("to"), gain.alias("gain"))
 
-    return _turns(state, facing, ["unit", "cell"], "unit", shards, placed, capacity, rounds)
+def heard(links: DataFrame, voters: DataFrame) -> DataFrame:
+    """(node, all, own): votes per shard that reach a node through its bundles, its own included, and its own."""
+    counts = links.select("node", "bundle", "n").join(voters.select("node", "shard"), "node").groupBy("bundle", "n", "shard").agg(F.count(F.lit(1)).alias("c"))
+    told = counts.groupBy("bundle", "n").agg(F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("counts"))  # one entry a shard
+    told = told.select("bundle", "counts", F.explode(F.sequence(F.lit(0).cast("bigint"), _salts() - 1)).alias("salt"))
+    votes = links.join(told, ["bundle", "salt"]).select("node", "vote", F.explode("counts").alias("to", "c"))
+    votes = votes.groupBy("node", "to").agg(F.sum(F.col("vote") * F.col("c")).alias("votes"))
+    own = links.groupBy("node").agg(F.sum("vote").alias("own"))
+    return votes.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all")).join(own, "node")
+
+
+def propagate_units(units: DataFrame, links: DataFrame, fixed: DataFrame, shards: int, placed: list[int], capacity: float, rounds: int = ROUNDS) -> DataFrame:
+    """(node, size, shard) of the linked ``units`` (node, size) after rounds of moves.
+
+    ``fixed`` (node, shard) are nodes that are heard but don't move, ``placed`` the bytes that lie in each shard already.
+    """
+    state = written(units.select("node", "size", _shard_of("node", shards).alias("shard")), "shards-start")
+
+    def facing(state: DataFrame) -> DataFrame:
+        voters = state.select("node", "shard").unionByName(fixed)
+        met = state.join(heard(links, voters), "node")
+        # A node doesn't hear itself.
+        others = F.transform(F.map_entries("all"), lambda e: F.struct((e["value"] - F.when(e["key"] == F.col("shard"), F.col("own")).otherwise(0)).alias("votes"), (-e["key"]).alias("low")))
+        best = F.array_max(others)
+        return met.select(*state.columns, (-best["low"]).cast("int").alias("to"), (best["votes"] - F.col("all")[F.col("shard")] + F.col("own")).alias("gain"))
+
+    return _turns(state, facing, ["node"], "node", shards, placed, capacity, rounds)
+
+
+def _least_held_go(state: DataFrame, links: DataFrame, fixed: DataFrame, rows: int, room: list[float]) -> DataFrame:
+    """The nodes of ``state`` that stay in their shards' ``room``: those that most votes hold, by powers of two, come first."""
+    met = state.join(heard(links, state.select("node", "shard").unionByName(fixed)), "node")
+    ties = F.greatest(F.lit(1), F.col("all")[F.col("shard")] - F.col("own"))
+    ranked = written(met.select("node", "size", "shard", F.floor(F.log2(ties.cast("double"))).cast("int").alias("ties")), "shards-held")
+    sums = ranked.groupBy("shard", "ties").agg(F.sum("size").alias("bytes"))
+    above = Window.partitionBy("shard").orderBy(F.desc("ties")).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("shard", "ties", F.coalesce(F.sum("bytes").over(above), F.lit(0)).alias("base"))
+    space = F.create_map(*[x for s, r in enumerate(room) for x in (F.lit(s), F.lit(r))])[F.col("shard")]
+    # One row per shard and power of two.
+    joined = _prefix(ranked, ["shard", "ties"], rows).join(F.broadcast(bases), ["shard", "ties"])
+    return joined.where(F.col("base") + F.col("before") + F.col("size") <= space).select("node", "size", "shard")
 
 
 def _turns(state: DataFrame, facing: Callable[[DataFrame], DataFrame], keys: list[str], drawn: str, shards: int, placed: list[int], capacity: float, rounds: int) -> DataFrame:
@@ -228,10 +289,11 @@ def place_big(groups: list[tuple[str, int]], shards: int, capacity: float) -> li
     return out
 
 
-def grouped_shards(nodes: DataFrame, value: str, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def grouped_shards(nodes: DataFrame, value: str, shards: int = SHARDS, rounds: int = ROUNDS, links: str | None = None) -> DataFrame:
     """(node, size, shard, slot) with nodes of equal ``value`` in one shard where they fit; ``nodes`` is a written table.
 
-    ``nodes`` has node (unique), size (> 0) and ``value``; a null value is no group.
+    ``nodes`` has node (unique, bigint), size (> 0), ``value`` and, if named, ``links``: an array of the hashes
+    of its pieces, alike for equal values. A null value is no group; null ``links`` are none.
     """
     totals = nodes.agg(F.sum("size"), F.count(F.lit(1))).first()
     rows, fair = totals[1], (totals[0] or 0) / shards
@@ -243,10 +305,12 @@ def grouped_shards(nodes: DataFrame, value: str, shards: int = SHARDS, rounds: i
     groups = cells.groupBy("value").agg(F.sum("n").alias("of"), F.sum("size").alias("bytes"), F.min("least").alias("unit")).where("of > 1")
     groups = written(groups, "shards-groups")
     # Each holds more than 1 / (BIG * shards) of all bytes, so there are fewer than BIG * shards.
-    big = [(r["value"], r["bytes"]) for r in groups.where(F.col("bytes") > fair / BIG).select("value", "bytes").collect()]
+    big = {r["value"]: r for r in groups.where(F.col("bytes") > fair / BIG).select("value", "bytes", "unit").collect()}
     spark = nodes.sparkSession
     kind = nodes.select(F.col(value).alias("v")).schema["v"].dataType.simpleString()
-    shares = spark.createDataFrame(place_big(big, shards, FULL * fair), f"v {kind}, low double, high double, shard int")
+    parted = place_big([(v, r["bytes"]) for v, r in big.items()], shards, FULL * fair)
+    shares = spark.createDataFrame(parted, f"v {kind}, low double, high double, shard int")
+    fixed = spark.createDataFrame([(big[v]["unit"], s) for v, low, _, s in parted if low == 0.0], "node bigint, shard int")
     draw = F.pmod(F.xxhash64("node", F.lit("share")), F.lit(1 << 20)) / float(1 << 20)
     if big:
         sent = keyed.withColumn("draw", draw)
@@ -261,16 +325,20 @@ def grouped_shards(nodes: DataFrame, value: str, shards: int = SHARDS, rounds: i
     tagged = written(tagged, "shards-tagged")
     first = tagged.where("big is not null").select("node", "size", F.col("big").alias("shard"))
     loads = _loads(first, shards)
-    state = propagate_groups(parts.drop("value"), shards, loads, FULL * fair, rounds)
-    units = state.groupBy("unit").agg(F.sum("size").alias("size"), F.min("shard").alias("shard"), F.max("shard").alias("other"))
-    whole = written(units.select(F.col("unit").alias("node"), "size", "shard", "other"), "shards-units")
-    room = F.create_map(*[x for s in range(shards) for x in (F.lit(s), F.lit(max(0.0, FULL * fair - loads[s])))])[F.col("shard")]
-    settled = whole.where("shard = other").select("node", "size", "shard")
-    kept = written(_prefix(settled, ["shard"], rows).where(F.col("before") + F.col("size") <= room).select("node", "size", "shard"), "shards-kept")
     alone = tagged.where("big is null and unit is null").select("node", "size")
-    free = written(alone.unionByName(whole.select("node", "size").join(kept.select("node"), "node", "left_anti")), "shards-free")
-    after = [a + b for a, b in zip(loads, _loads(kept, shards))]
-    placed = kept if free.isEmpty() else kept.unionByName(fill(free, after, rows))
+    units = written(alone.unionByName(parts.groupBy("unit").agg(F.sum("size").alias("size")).withColumnRenamed("unit", "node")), "shards-units")
+    kept = None
+    if links is not None:
+        heads = units.select("node").unionByName(fixed.select("node"))
+        held = nodes.select("node", links).join(heads, "node", "left_semi").select("node", F.explode(F.array_distinct(links)).alias("piece"))
+        ties = bundled(written(held, "shards-pieces-held"))
+        linked = units.join(ties.select("node").distinct(), "node", "left_semi")
+        state = propagate_units(linked, ties, fixed, shards, loads, ROOMY * fair, rounds)
+        kept = written(_least_held_go(state, ties, fixed, rows, [max(0.0, FULL * fair - x) for x in loads]), "shards-kept")
+    free = units if kept is None else written(units.join(kept.select("node"), "node", "left_anti"), "shards-free")
+    after = loads if kept is None else [a + b for a, b in zip(loads, _loads(kept, shards))]
+    settled = [x for x in (kept, None if free.isEmpty() else fill(free, after, rows)) if x is not None]
+    placed = settled[0] if len(settled) == 1 else settled[0].unionByName(settled[1])
     target = placed.select(F.col("node").alias("unit"), "shard")
     by_cell = parts.select("unit", "cell").join(target, "unit").unionByName(target.join(parts.select("unit"), "unit", "left_anti").select("unit", F.lit(-1).alias("cell"), "shard"))
     rest = tagged.where("big is null").select("node", "size", F.coalesce("unit", "node").alias("unit"), F.when(F.col("unit").isNull(), -1).otherwise(F.col("cell")).alias("cell"))
@@ -278,6 +346,14 @@ def grouped_shards(nodes: DataFrame, value: str, shards: int = SHARDS, rounds: i
     return _prefix(written(out, "shards-placed"), ["shard"], rows).select("node", "size", "shard", F.col("place").alias("slot"))
 
 
+def cut_links(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row: pairs of nodes that share a piece (once a piece), those cut, and the same by votes; links from ``bundled``."""
+    per = links.join(placed.select("node", "shard"), "node").groupBy("bundle", "n", "weight", "shard").agg(F.count(F.lit(1)).alias("c"))
+    by = per.groupBy("bundle", "weight").agg(F.sum("c").alias("n"), F.sum(F.expr("c * (c - 1)")).alias("near"))
+    pairs, cut = F.expr("n * (n - 1)"), F.expr("n * (n - 1) - near")
+    return by.where("n > 1").agg(*[F.coalesce(F.sum(x * F.col("weight") / d), F.lit(0.0)).alias(name) for x, d, name in ((pairs, 2, "pairs"), (cut, 2, "cut_pairs"), (pairs, F.col("n") - 1, "votes"), (cut, F.col("n") - 1, "cut_votes"))])
+
+
 def kept_together(nodes: DataFrame, value: str, placed: DataFrame) -> DataFrame:
     """One row: groups of equal ``value``, those in one shard, pairs of equal nodes and those in one shard."""
     held = nodes.where(F.col(value).isNotNull()).select("node", F.col(value).alias("value")).join(placed.select("node", "shard"), "node")
@@ -293,14 +369,19 @@ def cut_edges(edges: DataFrame, placed: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col("a_shard") != F.col("b_shard"), True)).alias("cut"))
 
 
-@query("op2_label_shards")
-def op2_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_nodes(docs: DataFrame) -> DataFrame:
+    """A written table: doc_id, text_crc32, node, size, digest of the text, links (its pieces)."""
     text = F.col("text").cast("string")
-    nodes = documents(spark, sf_dir).select(
+    nodes = docs.select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"), pieces(text).alias("links"),
     )
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "shard-nodes")
-    placed = grouped_shards(nodes.select("node", "size", "digest"), "digest")
-    rows = nodes.drop("size", "digest").join(placed, "node")
+    return written(nodes.withColumn("node", F.monotonically_increasing_id()), "shard-nodes")
+
+
+@query("op2_label_shards")
+def op2_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = document_nodes(documents(spark, sf_dir))
+    placed = grouped_shards(nodes.select("node", "size", "digest", "links"), "digest", links="links")
+    rows = nodes.select("doc_id", "text_crc32", "node").join(placed, "node")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
