@@ -116,22 +116,26 @@ def _salts() -> Column:
 
 
 def heard(links: DataFrame, voters: DataFrame) -> DataFrame:
-    """(node, all, own): votes per shard that reach a node through its bundles, its own included, and its own."""
+    """(node, all): votes per shard that reach a node through its bundles, its own included."""
     counts = links.select("node", "bundle", "n").join(voters.select("node", "shard"), "node").groupBy("bundle", "n", "shard").agg(F.count(F.lit(1)).alias("c"))
     told = counts.groupBy("bundle", "n").agg(F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("counts"))  # one entry a shard
     told = told.select("bundle", "counts", F.explode(F.sequence(F.lit(0).cast("bigint"), _salts() - 1)).alias("salt"))
     votes = links.join(told, ["bundle", "salt"]).select("node", "vote", F.explode("counts").alias("to", "c"))
     votes = votes.groupBy("node", "to").agg(F.sum(F.col("vote") * F.col("c")).alias("votes"))
-    own = links.groupBy("node").agg(F.sum("vote").alias("own"))
-    return votes.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all")).join(own, "node")
+    return votes.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all"))
+
+
+def own_votes(links: DataFrame) -> DataFrame:
+    """(node, own): what a node says to itself, to be taken off what it hears; the same in all rounds."""
+    return links.groupBy("node").agg(F.sum("vote").alias("own"))
 
 
 def propagate_units(units: DataFrame, links: DataFrame, fixed: DataFrame, shards: int, placed: list[int], capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """(node, size, shard) of the linked ``units`` (node, size) after rounds of moves.
+    """(node, size, own, shard) of the linked ``units`` (node, size, own) after rounds of moves.
 
     ``fixed`` (node, shard) are nodes that are heard but don't move, ``placed`` the bytes that lie in each shard already.
     """
-    state = written(units.select("node", "size", _shard_of("node", shards).alias("shard")), "shards-start")
+    state = written(units.select("node", "size", "own", _shard_of("node", shards).alias("shard")), "shards-start")
 
     def facing(state: DataFrame) -> DataFrame:
         voters = state.select("node", "shard").unionByName(fixed)
@@ -332,7 +336,7 @@ def grouped_shards(nodes: DataFrame, value: str, shards: int = SHARDS, rounds: i
         heads = units.select("node").unionByName(fixed.select("node"))
         held = nodes.select("node", links).join(heads, "node", "left_semi").select("node", F.explode(F.array_distinct(links)).alias("piece"))
         ties = bundled(written(held, "shards-pieces-held"))
-        linked = units.join(ties.select("node").distinct(), "node", "left_semi")
+        linked = units.join(own_votes(ties), "node")
         state = propagate_units(linked, ties, fixed, shards, loads, ROOMY * fair, rounds)
         kept = written(_least_held_go(state, ties, fixed, rows, [max(0.0, FULL * fair - x) for x in loads]), "shards-kept")
     free = units if kept is None else written(units.join(kept.select("node"), "node", "left_anti"), "shards-free")
