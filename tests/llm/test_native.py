@@ -92,7 +92,7 @@ def test_votes_through_shared_pieces(spark):
     sharding.HOT, old = 8, sharding.HOT
     links = sharding.bundled(written(spark.createDataFrame(sorted(held), "node bigint, piece bigint"), "t"))
     voters = spark.createDataFrame(sorted(shard.items()), "node bigint, shard int")
-    got = {r["node"]: (r["all"], r["own"]) for r in sharding.heard(links, voters).join(sharding.own_votes(links), "node").collect()}
+    got = {r["node"]: (r["all"], r["own"]) for r in sharding.heard(links, voters, 4).join(sharding.own_votes(links), "node").collect()}
     sharding.HOT = old
     members = {}
     for node, piece in held:
@@ -104,7 +104,7 @@ def test_votes_through_shared_pieces(spark):
                 want.setdefault(a, {}).setdefault(shard[b], []).append(1 / (len(them) - 1))
     assert set(got) == set(want)
     for node, (votes, own) in got.items():
-        heard = {s: (v - (own if s == shard[node] else 0)) / sharding.VOTE for s, v in votes.items()}
+        heard = {s: (v - (own if s == shard[node] else 0)) / sharding.VOTE for s, v in enumerate(votes)}
         assert all(abs(heard.get(s, 0) - sum(want[node].get(s, []))) < 1e-6 for s in range(4))
 
 

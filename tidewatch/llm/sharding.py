@@ -3,8 +3,8 @@
 Nodes have a size, edges link nodes. Linked nodes start at hashed shards. In each round a node's
 edges vote for the shards of its neighbours (a join and a combining count); nodes that would gain
 propose to move. A shard accepts proposals, largest gains first, up to the room it has: demand is
-summed per shard and gain class, a table of a few hundred rows, and the last class that fits only in
-part takes the share of proposals whose hash lies below the share of room. Rounds alternate between
+summed per shard and gain class, a few hundred rows, and of the last class that fits only in part it
+takes the proposals whose hash lies below the share of room. Rounds alternate between
 moves to lower and to higher shards, so two nodes never swap for ever. What then exceeds a shard's
 fair size is released, and released and unlinked nodes fill the shards: largest first, each class
 laid along the shards' missing bytes by running totals, so what one class leaves uneven, smaller
@@ -33,7 +33,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewatch.llm.common import documents, written
+from tidewatch.llm.common import documents, given_up, written
 from tidewatch.llm.registry import query
 
 SHARDS = 16
@@ -79,15 +79,15 @@ def _loads(nodes: DataFrame, shards: int) -> list[int]:
 
 def propagate(linked: DataFrame, edges: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
     """(node, size, shard) of the linked nodes after label propagation; both inputs are read in every round."""
-    state = written(linked.select("node", "size", _shard_of("node", shards).alias("shard")), "shards-start")
+    state = linked.select("node", "size", _shard_of("node", shards).alias("shard"))
 
     def facing(state: DataFrame) -> DataFrame:
         votes = edges.join(state.select(F.col("node").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.count(F.lit(1)).alias("votes"))
         heard = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("to")).alias("low"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all"))
         gain = F.col("best.votes") - F.coalesce(F.col("all")[F.col("shard")], F.lit(0))
-        return state.join(heard, state["node"] == heard["a"]).select(*state.columns, (-F.col("best.low")).cast("int").alias("to"), gain.alias("gain"))
+        return state.join(heard, state["node"] == heard["a"], "left").select(*state.columns, (-F.col("best.low")).cast("int").alias("to"), gain.alias("gain"))
 
-    return _turns(state, facing, ["node"], "node", shards, [0] * shards, capacity, rounds)
+    return _turns(state, facing, shards, [0] * shards, capacity, rounds)
 
 
 def pieces(text: Column) -> Column:
@@ -115,14 +115,17 @@ def _salts() -> Column:
     return F.ceil(F.col("n") / HOT).cast("bigint")
 
 
-def heard(links: DataFrame, voters: DataFrame) -> DataFrame:
-    """(node, all): votes per shard that reach a node through its bundles, its own included."""
-    counts = links.select("node", "bundle", "n").join(voters.select("node", "shard"), "node").groupBy("bundle", "n", "shard").agg(F.count(F.lit(1)).alias("c"))
-    told = counts.groupBy("bundle", "n").agg(F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("counts"))  # one entry a shard
-    told = told.select("bundle", "counts", F.explode(F.sequence(F.lit(0).cast("bigint"), _salts() - 1)).alias("salt"))
-    votes = links.join(told, ["bundle", "salt"]).select("node", "vote", F.explode("counts").alias("to", "c"))
-    votes = votes.groupBy("node", "to").agg(F.sum(F.col("vote") * F.col("c")).alias("votes"))
-    return votes.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("all"))
+def heard(links: DataFrame, voters: DataFrame, shards: int) -> DataFrame:
+    """(node, all): votes per shard, an array by shard, that reach a node through its bundles, its own included.
+
+    Counts lie in one column a shard, as shards are some tens, so each step is one combining aggregate.
+    """
+    counts = [f"c{s}" for s in range(shards)]
+    met = links.select("node", "bundle", "n").join(voters.select("node", "shard"), "node")
+    told = met.groupBy("bundle", "n").agg(*[F.count_if(F.col("shard") == s).alias(c) for s, c in enumerate(counts)])
+    told = told.select("bundle", *counts, F.explode(F.sequence(F.lit(0).cast("bigint"), _salts() - 1)).alias("salt"))
+    votes = links.join(told, ["bundle", "salt"]).groupBy("node").agg(*[F.sum(F.col("vote") * F.col(c)).alias(c) for c in counts])
+    return votes.select("node", F.array(*counts).alias("all"))
 
 
 def own_votes(links: DataFrame) -> DataFrame:
@@ -135,22 +138,22 @@ def propagate_units(units: DataFrame, links: DataFrame, fixed: DataFrame, shards
 
     ``fixed`` (node, shard) are nodes that are heard but don't move, ``placed`` the bytes that lie in each shard already.
     """
-    state = written(units.select("node", "size", "own", _shard_of("node", shards).alias("shard")), "shards-start")
+    state = units.select("node", "size", "own", _shard_of("node", shards).alias("shard"))
 
     def facing(state: DataFrame) -> DataFrame:
         voters = state.select("node", "shard").unionByName(fixed)
-        met = state.join(heard(links, voters), "node")
+        met = state.join(heard(links, voters, shards), "node", "left")
         # A node doesn't hear itself.
-        others = F.transform(F.map_entries("all"), lambda e: F.struct((e["value"] - F.when(e["key"] == F.col("shard"), F.col("own")).otherwise(0)).alias("votes"), (-e["key"]).alias("low")))
+        others = F.transform("all", lambda v, s: F.struct((v - F.when(s == F.col("shard"), F.col("own")).otherwise(0)).alias("votes"), (-s).alias("low")))
         best = F.array_max(others)
         return met.select(*state.columns, (-best["low"]).cast("int").alias("to"), (best["votes"] - F.col("all")[F.col("shard")] + F.col("own")).alias("gain"))
 
-    return _turns(state, facing, ["node"], "node", shards, placed, capacity, rounds)
+    return _turns(state, facing, shards, placed, capacity, rounds)
 
 
 def _least_held_go(state: DataFrame, links: DataFrame, fixed: DataFrame, rows: int, room: list[float]) -> DataFrame:
     """The nodes of ``state`` that stay in their shards' ``room``: those that most votes hold, by powers of two, come first."""
-    met = state.join(heard(links, state.select("node", "shard").unionByName(fixed)), "node")
+    met = state.join(heard(links, state.select("node", "shard").unionByName(fixed), len(room)), "node")
     ties = F.greatest(F.lit(1), F.col("all")[F.col("shard")] - F.col("own"))
     ranked = written(met.select("node", "size", "shard", F.floor(F.log2(ties.cast("double"))).cast("int").alias("ties")), "shards-held")
     sums = ranked.groupBy("shard", "ties").agg(F.sum("size").alias("bytes"))
@@ -162,33 +165,57 @@ def _least_held_go(state: DataFrame, links: DataFrame, fixed: DataFrame, rows: i
     return joined.where(F.col("base") + F.col("before") + F.col("size") <= space).select("node", "size", "shard")
 
 
-def _turns(state: DataFrame, facing: Callable[[DataFrame], DataFrame], keys: list[str], drawn: str, shards: int, placed: list[int], capacity: float, rounds: int) -> DataFrame:
-    """Rounds of moves: ``facing`` adds to each row the shard it would move to and the gain; rows of equal ``drawn`` share a draw."""
-    quiet = 0
+def _turns(state: DataFrame, facing: Callable[[DataFrame], DataFrame], shards: int, placed: list[int], capacity: float, rounds: int) -> DataFrame:
+    """Rounds of moves: ``facing`` adds to each node the shard it would move to and the gain.
+
+    A round stores one table and brings sums to the driver, a row at most per two shards and power of two of the
+    gain; the moves they allow are a column of that table, so nothing is joined for them.
+    """
+    columns, faced, stored, quiet = state.columns, None, None, 0
     for turn in range(rounds):
-        loads = [a + b for a, b in zip(placed, _loads(state, shards))]
-        faced = facing(state)
+        if faced is None:
+            former, faced = stored, written(facing(state), "shards-faced")
+            if former is not None:
+                given_up(former)
+            state, stored = faced.select(*columns), faced
         towards = F.col("to") < F.col("shard") if turn % 2 == 0 else F.col("to") > F.col("shard")
-        wish = faced.where((F.col("gain") > 0) & towards).select(*keys, "size", "to", F.floor(F.log2(F.col("gain").cast("double"))).cast("int").alias("gain"))
-        wish = written(wish, "shards-wishes")
-        if wish.isEmpty():
+        wish = (F.col("gain") > 0) & towards
+        level = F.floor(F.log2(F.col("gain").cast("double"))).cast("int")
+        sums = faced.groupBy("shard", F.when(wish, F.col("to")).alias("to"), F.when(wish, level).alias("level")).agg(F.sum("size").alias("bytes")).collect()
+        if all(r["to"] is None for r in sums):
             quiet += 1
             if quiet == 2:
                 break
             continue
         quiet = 0
-        room = F.create_map(*[x for s in range(shards) for x in (F.lit(s), F.lit(max(0.0, capacity - loads[s])))])[F.col("to")]
-        demand = wish.groupBy("to", "gain").agg(F.sum("size").alias("bytes"))
-        before = F.coalesce(F.sum("bytes").over(Window.partitionBy("to").orderBy(F.desc("gain")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        share = demand.select("to", "gain", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (room - before) / F.col("bytes"))).alias("share"))
-        # At most one row per shard and power of two of the gain.
-        draw = F.pmod(F.xxhash64(drawn, F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        moved = wish.join(F.broadcast(share), ["to", "gain"]).where(draw < F.col("share")).select(*keys, "to")
-        body = [c for c in state.columns if c not in (*keys, "shard")]
-        state = written(state.join(moved, keys, "left").select(*keys, *body, F.coalesce("to", "shard").alias("shard")), "shards-round")
+        cuts = _admitted(sums, shards, placed, capacity)
+        least, share = (F.array(*[F.lit(c[k]) for c in cuts])[F.col("to")] for k in (0, 1))
+        draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+        moves = wish & ((level > least) | ((level == least) & (draw < share)))
+        state = faced.select(*[c for c in columns if c != "shard"], F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard"))
+        faced = None
     return state
 
 
+def _admitted(sums: list, shards: int, placed: list[int], capacity: float) -> list[tuple[int, float]]:
+    """Per shard the class of gains that it takes in part, and that part; higher classes it takes whole."""
+    loads, demand = list(placed), [{} for _ in range(shards)]
+    for r in sums:
+        loads[r["shard"]] += r["bytes"]
+        if r["to"] is not None:
+            demand[r["to"]][r["level"]] = demand[r["to"]].get(r["level"], 0) + r["bytes"]
+    cuts = []
+    for load, wanted in zip(loads, demand):
+        room, cut = max(0.0, capacity - load), (64, 0.0)
+        for level, size in sorted(wanted.items(), reverse=True):
+            cut = (level, max(0.0, min(1.0, room / size)))
+            room -= size
+            if room <= 0:
+                break
+        cuts.append(cut)
+    return cuts
+
+
 def _prefix(nodes: DataFrame, groups: list[str], rows: int) -> DataFrame:
     """Adds ``before`` (bytes) and ``place`` (rows) ahead of each node of its group, in hash order."""
     buckets = max(1, min(MOST_BUCKETS, rows // ROWS_PER_BUCKET))
