@@ -23,6 +23,7 @@ from tidewatch.operators.preparation import validation_tail
 
 # Training settings.
 MIN_TREES, FOLDS, VALIDATION_FRACTION, LEARNING_RATE = 25, 5, 0.15, 0.05
+MOST_CATEGORIES = 10_000  # an indexer keeps its values on the driver; ``vocabulary`` has no such bound
 
 
 @dataclass(frozen=True)
@@ -62,8 +63,18 @@ def prepare(df: DataFrame, spec: FeatureSpec, fitted: Mapping[str, float]) -> Da
     return df.withColumns({**numeric, **ordered, **text})
 
 
+def _require_few_categories(train: DataFrame, columns: Sequence[str]) -> None:
+    if not columns:
+        return
+    found = train.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    for c in columns:
+        if found[c] > MOST_CATEGORIES:
+            raise ValueError(f"{c} has more than {MOST_CATEGORIES} values; encode it with vocabulary.one_hot")
+
+
 def fit_encoder(train: DataFrame, spec: FeatureSpec, *, scale: bool = False) -> FittedEncoder:
     """Unknown categories at serving time become all-zero vectors."""
+    _require_few_categories(train, spec.categorical)
     fitted = medians(train, spec.numeric)
     cats = [f"{c}__cat" for c in spec.categorical]
     stages = []

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.operators import attribution, grounding, training
+from tidewatch.functions.text import MISSING
+from tidewatch.operators import attribution, grounding, training, vocabulary
 from tidewatch.plans import check_sql as c
 from tidewatch.plans import tables as t
 from tidewatch.plans.registry import query
@@ -143,6 +144,38 @@ def median_impute_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared.select("doc_id", F.col("words__num").alias("words"), F.col("band__ord").alias("band"), F.col("n_chars__num").alias("n_chars"))
 
 
+SLOTS = f"""
+r AS (SELECT event_id, ts < TIMESTAMP '{t.REFERENCE_END}' AS taught,
+             unnest([{{'i': 0, 'v': CASE WHEN event_id % 7 <> 0 THEN event_type ELSE '{MISSING}' END}}, {{'i': 1, 'v': CAST(user_id AS VARCHAR)}}]) AS s FROM events),
+vocab AS (SELECT s.i AS i, s.v AS v, count(*) AS n, row_number() OVER (ORDER BY s.i, s.v) - 1 AS slot FROM r WHERE taught GROUP BY s.i, s.v)
+"""
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = t.table(spark, sf_dir, "events")
+    return events.select("event_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("kind"), "user_id")
+
+
+@query("category_vocabulary", f"WITH {SLOTS.strip()} SELECT CASE i WHEN 0 THEN 'kind' ELSE 'user_id' END AS feature, v AS value, slot, n FROM vocab")
+def category_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every category of the reference days, users among them, with its place in the encoded vector."""
+    return vocabulary.vocabulary(_categories(spark, sf_dir).where(F.col("ts") < t.REFERENCE_END), ["kind", "user_id"])
+
+
+@query(
+    "one_hot_slots",
+    f"""WITH {SLOTS.strip()}
+SELECT event_id, coalesce(string_agg(CAST(slot AS VARCHAR), ',' ORDER BY i), '') AS slots, count(slot) AS known
+FROM r LEFT JOIN vocab ON vocab.i = r.s.i AND vocab.v = r.s.v GROUP BY event_id""",
+)
+def one_hot_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events encoded with what the reference days taught; nulls are a category, later users have no slot."""
+    rows = _categories(spark, sf_dir)
+    known = vocabulary.vocabulary(rows.where(F.col("ts") < t.REFERENCE_END), ["kind", "user_id"])
+    encoded = vocabulary.one_hot(rows, ["kind", "user_id"], known)
+    return encoded.select("event_id", F.concat_ws(",", F.col("slots").cast("array<string>")).alias("slots"), F.size("slots").cast("bigint").alias("known"))
+
+
 @query("gbt_isotonic_score")
 def gbt_isotonic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trains on the first labelled documents and scores all of them with both models."""
