@@ -440,6 +440,23 @@ def retrain_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waiting.select("card_id", "scenario", _date(), "disposition")
 
 
+@query(
+    "retrain_backlog_oldest",
+    c.with_(
+        c.AUDIT, recursive=True,
+        select=f"""
+SELECT card_id, {DATE}, row_number() OVER (ORDER BY w, card_id) AS place FROM cards c
+WHERE action IN ('FULL_RETRAIN', 'INCREMENTAL_RETRAIN') AND card_id NOT IN (SELECT card_id FROM runs) AND disposition = 'AUTO_PROCEED_SHADOW'
+ORDER BY place LIMIT 5""",
+    ),
+)
+def retrain_backlog_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five automated cards that wait longest, in the order in which they are handed out."""
+    waiting = lifecycle.awaiting_retrain(t.cards(spark, sf_dir), t.runs(spark, sf_dir), t.approvals(spark, sf_dir), limit=5)
+    # A limited order is one partition, whose ids count its rows.
+    return waiting.select("card_id", _date(), (F.monotonically_increasing_id() + 1).alias("place"))
+
+
 @query(
     "authorisation_backlog",
     c.with_(

@@ -28,6 +28,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 
 def load_all() -> dict[str, Query]:
-    from tidewatch.plans import audit, decisions, drift, models, preparation, quality, streams  # noqa: F401
+    from tidewatch.plans import audit, decisions, drift, models, preparation, quality, stores, streams  # noqa: F401
 
     return QUERIES
