@@ -1,5 +1,6 @@
 """Operators made of column expressions: WARC derivatives, shards, Merkle trees, quality rules."""
 
+import duckdb
 import pytest
 from compare import connect, differences
 from helpers import LINE, awkward, empty, rows_of
@@ -81,6 +82,24 @@ def test_groups_that_fit_stay_together(spark):
     assert (found["groups"], found["whole"]) == (len(sizes), len(sizes) - 1)
 
 
+PAGE = """<html lang='de'><title>A &#38;lt; B &#x2019;</title><a href='/q'>x</a><a class=k href = /p?x=1&amp;y=2>y</a><!-- <a href="/no">n</a> --><script>'<a href="/no2">'</script>
+<a data-href="/n2" href="/z&#38;k">z</a><p>it&#8217;s &#0; &#xD800; &#99999999; &amp;#65; &#; &#8; done</p>"""
+
+
+def test_quoting_entities_and_hidden_links(spark):
+    """Both quotes and none, blanks round the sign, numeric entities, nothing out of comments and scripts; equal to the SQL."""
+    pages = spark.createDataFrame([(1, "http://a", PAGE)], "page_id bigint, url string, html string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1::BIGINT AS page_id, 'http://a' AS url, ? AS html", [PAGE])
+    records = warc.derive(warc.page_responses(pages))
+    assert not differences(records, con, warc.OP1_SQL)
+    facts, text = [r["content"] for r in records.orderBy(F.desc("warc_type")).collect()]
+    lines = facts.split("\r\n")
+    assert [x for x in lines if x.startswith("outlink")] == ["outlink: /q", "outlink: /p?x=1&y=2", "outlink: /z&k"]
+    assert "language: de" in lines and "title: A &lt; B \u2019" in lines
+    assert text.split("\n")[-1] == "it\u2019s \ufffd \ufffd &#99999999; &#65; &#; \x08 done"
+
+
 def test_votes_through_shared_pieces(spark):
     """Against a plain count over all pairs: each node hears the others of a piece, divided by their number."""
     import random

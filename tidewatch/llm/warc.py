@@ -8,7 +8,9 @@ column expressions; records can be rendered as WARC 1.1 and written as text or P
 
 Defined cases: a null payload is an empty one and still gives both records; a null URI gives no
 WARC-Target-URI line and null date no date lines; a page without a title, language or link has no
-such line; unclosed tags, comments and scripts end with the page; repeated responses give repeated
+such line; an attribute may be quoted in either way or not at all, with blanks round its sign; links in
+comments and scripts don't count; numeric entities and those of ENTITIES are resolved, in text, title,
+language and links, others stay as written, and a number that is no character gives U+FFFD; unclosed tags, comments and scripts end with the page; repeated responses give repeated
 records; an empty table gives an empty result; columns beyond the response's own are not carried.
 """
 
@@ -28,20 +30,55 @@ BLOCK_TAG = rf"(?i)</?(?:{BLOCKS})\b[^>]*(?:>|\z)"
 BLANKS = r"(?: [ \t\r\x0B\f]|[\t\r\x0B\f])[ \t\r\x0B\f]*"  # runs that are not one plain blank already
 OTHER_TAG = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
 TITLE = r"(?is)<title[^>]*>([^<]*)"
-LANGUAGE = r'(?i)<html\b[^>]*\slang="([^">]*)"'
-LINK = r'(?i)<a\s[^>]*?href="([^">]*)"'
+# An attribute's value in double quotes, single quotes or none; the quotes are taken off afterwards.
+VALUE = r"""("[^">]*"|'[^'>]*'|[^\s"'>]+)"""
+LANGUAGE = rf"(?i)<html\b[^>]*\slang\s*=\s*{VALUE}"
+LINK = rf"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*{VALUE}"
+QUOTED = r"""^["'](.*)["']$"""
+NUMERIC = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"  # what follows &# in a numeric entity
 CONVERSION_TYPE, METADATA_TYPE = "text/plain; charset=utf-8", "application/warc-fields"
 
 
 def _resolved(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("&")), _named(F.when(F.contains(text, F.lit("&#")), _numbered(text)).otherwise(text))).otherwise(text)
+
+
+def _named(text: Column) -> Column:
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
+def _numbered(text: Column) -> Column:
+    """Numeric entities as characters; an ampersand by number stays ``&amp;`` for the step that resolves it last."""
+    def character(after: Column) -> Column:
+        digits = F.regexp_extract(after, NUMERIC, 1)
+        code = F.when(F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).cast("bigint")
+        valid = (code > 0) & ~code.between(0xD800, 0xDFFF) & (code <= 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        whole = F.concat(F.when(code == 38, F.lit("&amp;")).otherwise(char), F.substr(after, F.length(digits) + 2))
+        return F.when(digits == "", F.concat(F.lit("&#"), after)).otherwise(whole)
+
+    parts = F.split(text, "&#", -1)
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), character), ""))
+
+
+def shown(html: Column) -> Column:
+    """The page without comments, scripts and styles."""
+    return F.regexp_replace(html, HIDDEN, "")
+
+
+def _attribute(value: Column) -> Column:
+    return _resolved(F.regexp_replace(value, QUOTED, "$1"))
+
+
 def plain_text(html: Column) -> Column:
     """Visible text: block elements end lines, blanks are joined, empty lines dropped, entities resolved."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BLOCK_TAG, "\n"), OTHER_TAG, "")
+    return _text_of(shown(html))
+
+
+def _text_of(page: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(page, BLOCK_TAG, "\n"), OTHER_TAG, "")
     joined = F.regexp_replace(F.regexp_replace(bare, BLANKS, " "), r" ?\n[ \n]*", "\n")
     return _resolved(F.btrim(joined, F.lit(" \n")))
 
@@ -70,17 +107,18 @@ def derive(responses: DataFrame) -> DataFrame:
     Result: record_id, warc_type, refers_to, refers_to_uri, refers_to_date, concurrent_to, content_type,
     source_headers, source_digest, block_digest, content_length, header, content.
     """
-    html = F.coalesce(F.col("payload").cast("string"), F.lit(""))
+    responses = responses.withColumn("__html", F.coalesce(F.col("payload").cast("string"), F.lit(""))).withColumn("__shown", shown(F.col("__html")))
+    html, page = F.col("__html"), F.col("__shown")
     title = F.trim(F.regexp_replace(_resolved(F.regexp_extract(html, TITLE, 1)), r"\s+", " "))
-    links = F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
+    links = F.regexp_extract_all(page, F.lit(LINK), F.lit(1))
     source = responses.select(
         F.col("record_id").alias("refers_to"), F.col("target_uri").alias("refers_to_uri"), F.col("date").alias("refers_to_date"),
-        F.col("http_headers").alias("source_headers"), digest(html).alias("source_digest"), plain_text(html).alias("__plain"),
+        F.col("http_headers").alias("source_headers"), digest(html).alias("source_digest"), _text_of(page).alias("__plain"),
         F.array_join(F.array_compact(F.array(
-            _field("title", F.nullif(title, F.lit(""))), _field("language", F.nullif(F.regexp_extract(html, LANGUAGE, 1), F.lit(""))),
+            _field("title", F.nullif(title, F.lit(""))), _field("language", F.nullif(_attribute(F.regexp_extract(page, LANGUAGE, 1)), F.lit(""))),
             _field("source-payload-digest", digest(html)), _field("source-payload-length", F.octet_length(html).cast("string")),
         )), "\r\n").alias("__facts"),
-        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)), "\r\n").alias("__links"),
+        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), _attribute(x))), "\r\n").alias("__links"),
         F.array_join(F.transform(F.filter(F.split(F.coalesce("http_headers", F.lit("")), "\r\n"), lambda x: x != ""), lambda x: F.concat(F.lit("source-header: "), x)), "\r\n").alias("__headers"),
         record_id(F.lit("conversion"), F.col("record_id")).alias("__conversion"), record_id(F.lit("metadata"), F.col("record_id")).alias("__metadata"),
     )
@@ -117,6 +155,11 @@ def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
 
 
 def _resolved_sql(text: str) -> str:
+    digits = f"regexp_extract(p, '{NUMERIC}', 1)"
+    code = f"(CASE WHEN lower({digits}) LIKE 'x%' THEN ('0x' || substr({digits}, 2))::BIGINT ELSE {digits}::BIGINT END)"
+    char = f"CASE WHEN {code} = 38 THEN '&amp;' WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533) ELSE chr({code}::INTEGER) END"
+    parts = f"string_split({text}, '&#')"
+    text = f"({parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: CASE WHEN {digits} = '' THEN '&#' || p ELSE {char} || substr(p, length({digits}) + 2) END), ''))"
     for name, char in ENTITIES:
         text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return text
@@ -139,13 +182,22 @@ def _header_sql() -> str:
     return "concat_ws(chr(13) || chr(10), 'WARC/1.1', " + ", ".join(f"'{n}: ' || {c}" for n, c in names) + ")"
 
 
+def _attribute_sql(value: str) -> str:
+    return _resolved_sql(f"regexp_replace({value}, '{_quoted(QUOTED)}', '\\1')")
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 OP1_SQL = f"""
 WITH page AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 response AS (SELECT *, {_id_sql("'response'", "page_id::VARCHAR", "url")} AS refers_to,
   'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) AS source_headers FROM page),
-bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{BLOCK_TAG}', chr(10), 'g'), '{OTHER_TAG}', '', 'g') AS b FROM response),
+shown AS (SELECT *, regexp_replace(html, '{HIDDEN}', '', 'g') AS page FROM response),
+bare AS (SELECT *, regexp_replace(regexp_replace(page, '{BLOCK_TAG}', chr(10), 'g'), '{OTHER_TAG}', '', 'g') AS b FROM shown),
 facts AS (SELECT *, {_digest_sql('html')} AS source_digest, trim(regexp_replace({_resolved_sql(f"regexp_extract(html, '{TITLE}', 1)")}, '\\s+', ' ', 'g')) AS title,
-  regexp_extract(html, '{LANGUAGE}', 1) AS language, regexp_extract_all(html, '{LINK}', 1) AS links,
+  {_attribute_sql(f"regexp_extract(page, '{_quoted(LANGUAGE)}', 1)")} AS language, list_transform(regexp_extract_all(page, '{_quoted(LINK)}', 1), lambda v: {_attribute_sql("v")}) AS links,
   {_resolved_sql("trim(regexp_replace(regexp_replace(b, '" + BLANKS + r"', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))")} AS plain FROM bare),
 records AS (
   SELECT refers_to, url AS refers_to_uri, '2024-01-01T00:00:00Z' AS refers_to_date, source_headers, source_digest, 'metadata' AS warc_type, {_id_sql("'metadata'", 'refers_to')} AS record_id,
