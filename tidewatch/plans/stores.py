@@ -66,6 +66,41 @@ def encounters_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(*[F.col(n).cast("bigint").alias(n) for n in whole], *text, F.round("procedure_rate", 6).alias("procedure_rate"))
 
 
+@query(
+    "request_bounds",
+    """WITH r AS (SELECT o_orderkey AS encounter_id, o_orderkey % 20 AS days, o_custkey % 30 AS diagnoses, o_orderkey % 11 = 0 AS unknown_gender, o_custkey % 13 = 0 AS long_payer FROM orders)
+SELECT encounter_id, days BETWEEN 1 AND 14 AND diagnoses BETWEEN 1 AND 20 AND NOT unknown_gender AND NOT long_payer AS accepted FROM r""",
+)
+def request_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests against the narrower bounds of a request: numbers, domains and lengths of text."""
+    sent = _raw_encounters(t.table(spark, sf_dir, "orders")).withColumns(
+        {
+            "time_in_hospital": F.col("encounter_id") % 20,
+            "number_diagnoses": F.col("patient_nbr") % 30,
+            "gender": F.when(F.col("encounter_id") % 11 == 0, "none").otherwise(F.col("gender")),
+            "payer_code": F.when(F.col("patient_nbr") % 13 == 0, F.repeat(F.lit("x"), F.lit(33))).otherwise(F.col("payer_code")),
+        }
+    )
+    sent = sent.withColumns({n: F.col(n).cast("bigint").cast("string") for n in ("time_in_hospital", "number_diagnoses")}).na.fill("428", ["diag_1"])
+    checked = validation.with_violations(sent, validation.REQUEST_EXPECTATIONS)
+    good = validation.passing(checked).select("encounter_id", F.lit(True).alias("accepted"))
+    bad = validation.quarantined(checked).select("encounter_id", F.lit(False).alias("accepted"))
+    return good.unionByName(bad).select(F.col("encounter_id").cast("bigint").alias("encounter_id"), "accepted")
+
+
+@query(
+    "monitoring_reference_scored",
+    f"""WITH raw AS (SELECT {", ".join(f'{sql} AS {name}' for name, sql in ENCOUNTER.items())} FROM orders),
+kept AS (SELECT *, row_number() OVER (PARTITION BY patient_nbr ORDER BY encounter_id) AS rn FROM raw WHERE discharge_disposition_id NOT IN ({", ".join(map(str, preparation.EXCLUDED_DISCHARGES))}))
+SELECT coalesce(race, '{MISSING}') AS race, count(*) AS rows, round(sum(num_procedures / 10), 4) AS score, 26 AS columns FROM kept WHERE rn = 1 GROUP BY 1""",
+)
+def monitoring_reference_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference of a monitor: cleaned rows scored once and cut to the monitored columns and the score."""
+    typed = validation.coerced(_raw_encounters(t.table(spark, sf_dir, "orders")), validation.ENCOUNTER_EXPECTATIONS)
+    reference = preparation.monitoring_reference(preparation.clean_encounters(typed), ["encounter_id"], lambda df: df.withColumn("score", F.col("num_procedures") / 10))
+    return reference.groupBy("race").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("score"), 4).alias("score"), F.lit(len(reference.columns)).alias("columns"))
+
+
 # --- partitions, JSON ---------------------------------------------------------------------------
 @query(
     "labelled_by_partition",
