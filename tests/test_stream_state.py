@@ -240,3 +240,21 @@ def test_late_labels_reach_rule_five(spark, tmp_path):
     cards = decisions.decide(events, decisions.policy_table(spark), matured=evidence).where("policy_version = 'policy-v2'").collect()
     rules = {(r.window_start - START).days: r.rule_id for r in cards}
     assert rules == {d: "5" if d in found and 0.95 - found[d].roc_auc > 0.03 else "1" for d in range(8)} and rules[2] == "5"
+
+
+def test_maturing_reads_a_batch_once(spark, tmp_path):
+    p_schema = "request_id bigint, s string, ts timestamp, score double"
+    l_schema = "request_id bigint, label_ts timestamp, y int"
+    said = [(i, "x", START + timedelta(hours=i), (i * 37 % 100) / 100.0) for i in range(240)]
+    told = [(i, t + timedelta(days=i % 3), i % 2) for i, _, t, _ in said]
+    spark.createDataFrame(said, p_schema).coalesce(1).write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame(told, l_schema).coalesce(1).write.parquet(str(tmp_path / "l"))
+    predictions = spark.readStream.schema(p_schema).parquet(str(tmp_path / "p"))
+    champion = spark.createDataFrame([("x", 0.95)], "scenario string, champion_auc double")
+    query = labels.start_maturing(
+        predictions, spark.readStream.schema(l_schema).parquet(str(tmp_path / "l")), champion, scenario="s", evidence_path=str(tmp_path / "e"), checkpoint=str(tmp_path / "c"),
+        delay="3 days", late="1 hour",
+    )
+    query.awaitTermination()
+    assert query.recentProgress[0].stateOperators[0].numRowsUpdated == 480  # each row of both streams goes into the state once
+    assert {r.rows for r in spark.read.parquet(str(tmp_path / "e")).collect()} == {24}

@@ -191,10 +191,11 @@ def _prior(partition: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*partition).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
-# The bin of a value among equal-width bins, settled against the edges lo + i * step themselves.
+# The bin of a value among equal-width bins, settled against the edges lo + i * step themselves. The guess is a
+# column of its own: written out at each mention, the generated method outgrew what the JVM compiles.
 _GUESS = "greatest(least(CAST(floor(try_divide(value - lo, step)) AS INT), bins - 1), 0)"
-_DOWN = f"CASE WHEN {_GUESS} > 0 AND value < lo + {_GUESS} * step THEN {_GUESS} - 1 ELSE {_GUESS} END"
-_EQUAL_WIDTH_BIN = f"CASE WHEN {_GUESS} < bins - 1 AND value >= lo + ({_GUESS} + 1) * step THEN {_GUESS} + 1 ELSE {_DOWN} END"
+_DOWN = "CASE WHEN guess > 0 AND value < lo + guess * step THEN guess - 1 ELSE guess END"
+_EQUAL_WIDTH_BIN = f"CASE WHEN guess < bins - 1 AND value >= lo + (guess + 1) * step THEN guess + 1 ELSE {_DOWN} END"
 
 
 def sturges_psi(
@@ -246,7 +247,8 @@ def sturges_psi(
 
     # Bin counts of each window. Plans are one row per window; a large window's rows are spread by salt.
     wide = spreading.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN feature = '{c}' THEN struct(lo, step, bins) END)").alias(f"__p_{c}") for c in features])
-    placed = salted_join(rows, wide, keys).selectExpr(*keys, *[f"{_bin_of(c)} AS `{c}`" for c in features])
+    guessed = salted_join(rows, wide, keys).withColumns({f"__g_{c}": F.expr(_of_plan(_GUESS, c)) for c in features})
+    placed = guessed.selectExpr(*keys, *[f"{_bin_of(c)} AS `{c}`" for c in features])
     cur_bins = unpivot_values(placed, keys, features, "int").groupBy(*by, F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n_cur"))
 
     compared = ref_bins.join(cur_bins, [*by, "bin"], "left").join(plan.select(*by, "ref_rows", "cur_rows"), by)
@@ -256,12 +258,15 @@ def sturges_psi(
     return plan.select(*by, "ref_rows", "cur_rows").join(measured, by, "left").na.fill({"psi": 0.0})
 
 
+def _of_plan(expression: str, column: str) -> str:
+    """An expression over one column, its guess and the plan struct carried beside it."""
+    names = {"value": f"`{column}`", "guess": f"`__g_{column}`", **{n: f"`__p_{column}`.{n}" for n in ("lo", "step", "bins")}}
+    return re.sub(r"\b(value|guess|lo|step|bins)\b", lambda m: names[m.group(1)], expression)
+
+
 def _bin_of(column: str) -> str:
-    """The bin expression over one column and the plan struct carried beside it."""
-    names = {"value": f"`{column}`", **{n: f"`__p_{column}`.{n}" for n in ("lo", "step", "bins")}}
-    placed = re.sub(r"\b(value|lo|step|bins)\b", lambda m: names[m.group(1)], _EQUAL_WIDTH_BIN)
     # least and greatest pass over nulls, so a missing value is kept out of the bins here.
-    return f"CASE WHEN `{column}` IS NOT NULL AND `__p_{column}` IS NOT NULL THEN {placed} END"
+    return f"CASE WHEN `{column}` IS NOT NULL AND `__p_{column}` IS NOT NULL THEN {_of_plan(_EQUAL_WIDTH_BIN, column)} END"
 
 
 def ks_test(

@@ -20,10 +20,13 @@ def score_bin(score: Column, bins: int = BINS) -> Column:
     return F.least(F.greatest(F.floor(score * F.lit(bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
-def histograms(pairs: DataFrame, keys: Sequence[Column | str], label: str, score: str, bins: int = BINS) -> DataFrame:
-    """(keys, bin, pos, neg): counts that add up over batches, whatever the order the labels come in."""
+def histograms(pairs: DataFrame, keys: Sequence[Column | str], label: str, score: str, bins: int = BINS, more: Sequence[Column] = ()) -> DataFrame:
+    """(keys, bin, pos, neg): counts that add up over batches, whatever the order the labels come in.
+
+    ``more`` are further aggregates of the same pass.
+    """
     positive = (F.col(label) == 1).cast("bigint")
-    return pairs.groupBy(*keys, score_bin(F.col(score), bins).alias("bin")).agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+    return pairs.groupBy(*keys, score_bin(F.col(score), bins).alias("bin")).agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"), *more)
 
 
 def auc_of_histograms(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,24 +57,24 @@ def start_maturing(
 
     What is carried from batch to batch is one histogram per stream and window still open, at most
     ``bins`` rows each; a window leaves when the labels' time has passed its end by ``delay`` and ``late``.
+    A batch is read once, into the histograms it leads to: each read would join the streams, and write
+    the join's state, again.
     """
     pairs = matured_predictions(predictions, labels, delay=delay, late=late)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = KeyedState(spark, f"{evidence_path}-open", HISTOGRAM)
+        state, seen = (KeyedState(spark, f"{evidence_path}-{name}", HISTOGRAM) for name in ("open", "seen"))
         window = F.window("ts", width)
-        new = histograms(batch, [F.col(scenario).alias("scenario"), window["start"].alias("window_start")], label, score, bins)
-        time = batch.agg(F.max("label_ts").alias("clock"))
-        open_ = state.before(batch_id)
-        merged = new.crossJoin(F.broadcast(time)).unionByName(open_).groupBy("scenario", "window_start", "bin").agg(  # the time is one row
-            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("clock").alias("clock")
-        ).persist()
+        keys = [F.col(scenario).alias("scenario"), window["start"].alias("window_start")]
+        new = histograms(batch, keys, label, score, bins, [F.max("label_ts").alias("clock")])
+        counts = new.unionByName(state.before(batch_id)).groupBy("scenario", "window_start", "bin")
+        seen.store(counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("clock").alias("clock")), batch_id)
+        merged = seen.before(batch_id + 1)
         clock = F.broadcast(merged.agg(F.max("clock").alias("now")))
         aged = merged.join(clock).withColumn("final", F.expr(f"window_start + INTERVAL {width} + INTERVAL {delay} + INTERVAL {late} <= now"))
         sinks.write_batch(matured_evidence(aged.where("final"), champion), evidence_path, batch_id)
         state.store(aged.where("NOT final").withColumn("clock", F.col("now")), batch_id)
-        merged.unpersist()
 
     writer = pairs.writeStream.outputMode("append").foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
