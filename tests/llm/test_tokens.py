@@ -117,3 +117,15 @@ def test_packing_of_awkward_documents(spark):
     packed = packing.pack(found)
     assert rows_of(packed, "doc_id", "start", "length") == rows_of(found, "doc_id", "start", "length")
     assert packing.pack(packing.pieces(empty(spark), WORDS)).count() == 0
+
+
+def test_new_words_merge_together(monkeypatch, libraries):
+    random.seed(8)
+    words = sorted({" " + "".join(random.choice("thenadioé") for _ in range(random.randrange(1, 30))) for _ in range(3000)})
+    texts = ["".join(words[i::40]) for i in range(40)] + [None, "", "a<|endoftext|>b " + "x" * 300]
+    monkeypatch.setattr(bpe, "TOGETHER", 9000)
+    c = bpe.Codec(BYTES)
+    alone = []
+    monkeypatch.setattr(c, "_by_scan", lambda ids: alone.append(ids) or bpe.Codec._by_scan(c, ids))
+    assert list(c.encode_all(texts)) == [libraries[0].encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(alone) < len(words) / 5

@@ -3,8 +3,10 @@
 A text is cut at added tokens, then by the tokenizer's word pattern. Each word is an array of
 parts (their start offsets and ids) beside an array of the ranks of adjacent pairs. The smallest
 rank is found by a scan, its boundary deleted and the two neighbouring ranks refreshed, until no
-pair can merge. Words beyond SHORT bytes, where scans would be quadratic, take the same merges
-in the same order from a heap. Words repeat, so each task keeps the results of recent ones.
+pair can merge. New words of one length take their steps together, as the rows of one matrix of ids and
+one of ranks: each step takes one column from every word that still merges. Words beyond SHORT bytes,
+where scans would be quadratic, take the same merges in the same order from a heap. Words repeat, so
+each task keeps the results of recent ones.
 
 Defined cases: null encodes as the empty text (no ids); any string has ids, as all 256 bytes are
 in the vocabulary; repeated rows are encoded one by one; other input columns are kept, those named
@@ -16,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -28,6 +32,8 @@ from tidewatch.llm.registry import query
 
 SHORT = 96
 CACHED_WORDS = 200_000
+TOGETHER = 1 << 21  # characters of the texts that are encoded together
+FEW = 12  # so few words of one length are merged one by one
 NONE = 1 << 60
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -62,6 +68,12 @@ class Codec:
         self.split_added = regex.compile("|".join(map(regex.escape, longest))) if longest else None
         self.words = regex.compile(WORDS)
         self.recent: dict[str, list[int]] = {}
+        pairs = np.array([(a << 32 | b, rank) for (a, b), rank in self.pairs.items()], np.int64).reshape(-1, 2)
+        pairs = pairs[pairs[:, 0].argsort()]
+        # The last key is of no pair, so that each search ends at a key.
+        self.keys, self.ranks = np.append(pairs[:, 0], NONE), np.append(pairs[:, 1], NONE)
+        self.merged_ids, self.bytes_as_ids = np.array(self.merged, np.int64), np.array(self.byte_ids, np.int64)
+        self.names = {i: str(i) for i in self.bytes_of}
 
     # --- one word ---------------------------------------------------------------------------
     def parts(self, word: bytes) -> tuple[list[int], list[int]]:
@@ -82,6 +94,41 @@ class Codec:
                 ranks[i - 1] = rank_of((ids[i - 1], ids[i]), NONE)
         return starts, ids
 
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left << 32 | right
+        at = self.keys.searchsorted(wanted)
+        return np.where(self.keys[at] == wanted, self.ranks[at], NONE)
+
+    def _by_scans(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words of one length, by the steps of ``_by_scan`` taken together."""
+        found: list[list[int]] = [[]] * len(words)
+        ids = self.bytes_as_ids[np.frombuffer(b"".join(words), np.uint8)].reshape(len(words), -1)
+        ranks, place = self._ranks_of(ids[:, :-1], ids[:, 1:]), np.arange(len(words))
+        while ids.shape[1] > 1:
+            i = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(i)), i]
+            merges = low != NONE
+            if not merges.all():
+                for k, row in zip(place[~merges].tolist(), ids[~merges].tolist()):
+                    found[k] = row
+                ids, ranks, place, i, low = ids[merges], ranks[merges], place[merges], i[merges], low[merges]
+                if not len(place):
+                    return found
+            n, width = ids.shape
+            rows = np.arange(n)
+            ids[rows, i] = self.merged_ids[low]
+            stays = np.ones((n, width), bool)
+            stays[rows, i + 1] = False
+            ids = ids[stays].reshape(n, width - 1)
+            ranks = ranks[stays[:, 1:]].reshape(n, width - 2)
+            r = np.flatnonzero(i < width - 2)
+            ranks[r, i[r]] = self._ranks_of(ids[r, i[r]], ids[r, i[r] + 1])
+            r = np.flatnonzero(i)
+            ranks[r, i[r] - 1] = self._ranks_of(ids[r, i[r] - 1], ids[r, i[r]])
+        for k, row in zip(place.tolist(), ids.tolist()):
+            found[k] = row
+        return found
+
     def _by_heap(self, ids: list[int]) -> tuple[list[int], list[int]]:
         n = len(ids)
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
@@ -102,28 +149,61 @@ class Codec:
         return starts, [ids[i] for i in starts]
 
     # --- whole texts ------------------------------------------------------------------------
-    def _encode_plain(self, text: str, out: list[int]) -> None:
-        recent = self.recent
-        for word in self.words.findall(text):
-            ids = recent.get(word)
-            if ids is None:
-                ids = self.parts(word.encode())[1]
-                if len(recent) >= CACHED_WORDS:
-                    recent.clear()
-                if len(word) <= SHORT:
-                    recent[word] = ids
-            out.extend(ids)
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def _pieces(self, text: str) -> list[str]:
+        """The words and added tokens of a text; no word is an added token, as those are cut out first."""
+        if not self.split_added:
+            return self.words.findall(text)
+        out: list[str] = []
         at = 0
-        for found in self.split_added.finditer(text or "") if self.split_added else ():
-            self._encode_plain(text[at : found.start()], out)
-            out.append(self.added[found[0]])
+        for found in self.split_added.finditer(text):
+            out += self.words.findall(text[at : found.start()])
+            out.append(found[0])
             at = found.end()
-        self._encode_plain((text or "")[at:], out)
+        out += self.words.findall(text[at:])
+        return out
+
+    def _ids_of(self, words: set[str]) -> dict[str, list[int]]:
+        """The ids of new words."""
+        by_length: dict[int, list[str]] = {}
+        encoded = {word: word.encode() for word in words}
+        for word, b in encoded.items():
+            by_length.setdefault(len(b), []).append(word)
+        out: dict[str, list[int]] = {}
+        for length, alike in by_length.items():
+            if length > SHORT or len(alike) < FEW:
+                out.update((word, self.parts(encoded[word])[1]) for word in alike)
+            else:
+                out.update(zip(alike, self._by_scans([encoded[word] for word in alike])))
         return out
 
+    def _encode_together(self, texts: list[str]) -> Iterator[list[int]]:
+        pieces = [self._pieces(text) for text in texts]
+        if len(self.recent) >= CACHED_WORDS:
+            self.recent.clear()
+        recent = self.recent
+        new = self._ids_of({word for word in set(chain.from_iterable(pieces)) if word not in recent and word not in self.added})
+        long = {word: new.pop(word) for word in [word for word in new if len(word) > SHORT]}
+        recent.update(new)
+        recent.update((token, [i]) for token, i in self.added.items())
+        known = recent | long if long else recent
+        for words in pieces:
+            yield list(chain.from_iterable(map(known.__getitem__, words)))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """The ids of each text, in order; texts of up to TOGETHER characters, or a longer one, at a time."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text or "") > TOGETHER:
+                yield from self._encode_together(held)
+                held, size = [], 0
+            held.append(text or "")
+            size += len(text or "")
+        yield from self._encode_together(held)
+
+    def encode(self, text: str | None) -> list[int]:
+        return next(self.encode_all([text]))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
@@ -152,7 +232,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """The documents with the ids of their whole texts."""
 
     def rows(texts):
-        return {ids: pa.array([codec(path).encode(t) for t in texts], pa.list_(pa.int32()))}
+        return {ids: pa.array(list(codec(path).encode_all(texts)), pa.list_(pa.int32()))}
 
     return _mapped(docs, [text], [(ids, T.ArrayType(T.IntegerType()))], rows)
 
@@ -171,14 +251,10 @@ def round_trip_digests(docs: DataFrame, path: str, text: str = "text") -> DataFr
 
     def rows(texts):
         c = codec(path)
-        names = {}
         n, of_ids, of_text = [], [], []
-        for t in texts:
-            ids = c.encode(t)
+        for ids in c.encode_all(texts):
             n.append(len(ids))
-            for i in {*ids} - names.keys():
-                names[i] = str(i)
-            of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+            of_ids.append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
             of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids), "decoded_sha256": pa.array(of_text)}
 
