@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidewatch.operators import quality as q
+from tidewatch.operators import ordering, quality as q
 from tidewatch.operators import shadow as s
 
 
@@ -120,3 +120,20 @@ def test_sets_with_unscored_rows_are_refused_by_name(spark):
     good, refused = q.gate_metrics(df, ["s"], "y", "p", "k")
     assert {r["s"]: r["reason"] for r in refused.collect()} == {"a": "unscored rows", "c": "unlabelled", "d": "single class", "e": "unscored rows"}
     assert {r["s"]: r["rows"] for r in good.collect()} == {"b": 2, "f": 2}
+
+
+def test_small_groups_are_shuffled_once(spark, monkeypatch):
+    rows = [(f"m{i % 7}" if i % 50 else None, i, (i * 31 % 40) / 40.0 if i % 11 else None, int(i * 17 % 5 < 2)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "m string, id int, p double, y int").repartition(5)
+    small = q.ranking_metrics(df, ["m"], "y", "p")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 2 + 1  # the input's own, the group's, the union's
+    found = lambda got: sorted(repr([round(v, 12) if isinstance(v, float) else v for v in r]) for r in got.collect())
+    top = lambda: found(q.recall_top_fraction(df.where("m IS NOT NULL"), ["m"], "y", "p", "id"))
+    few, recall = [found(small)], [top()]
+    for most in (1, 287):  # all groups are large; some are
+        monkeypatch.setattr(ordering, "TASK_ROWS", most)
+        few.append(found(q.ranking_metrics(df, ["m"], "y", "p")))
+        recall.append(top())
+    assert len(few[0]) == 8 and few[0] == few[1] == few[2]
+    assert len(recall[0]) == 7 and recall[0] == recall[1] == recall[2]

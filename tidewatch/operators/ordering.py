@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.functions.numbers import hash_bits
 
 BUCKET = "__bucket"
+TASK_ROWS = 200_000  # rows of a group that one task may order
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -147,6 +148,29 @@ def running_totals(
     return joined.withColumns({**before, **upto}).drop(*dropped)
 
 
+def by_group_size(df: DataFrame, groups: Sequence[str], rows: int | None = None) -> list[tuple[DataFrame, bool]]:
+    """The rows in up to two frames, each with whether its groups are small enough to be ordered by one task.
+
+    Groups of more than ``rows`` rows are counted and named first; there are at most as many as the table has
+    such blocks of rows. Many small groups need no buckets, so their rows are shuffled once, by group.
+    """
+    if not groups:
+        return [(df, False)]
+    large = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > (rows or TASK_ROWS)).select(*[F.col(g).alias(f"__g_{g}") for g in groups])
+    if large.isEmpty():
+        return [(df, True)]
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups])
+    return [(df.join(F.broadcast(large), same, "left_anti"), True), (df.join(F.broadcast(large), same, "left_semi"), False)]
+
+
+def totals_of_small_groups(df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """As ``running_totals`` for groups that one task can order each."""
+    group = Window.partitionBy(*groups)
+    before = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumns({**{f"{v}_before": F.coalesce(F.sum(v).over(before), F.lit(0)) for v in values}, **{f"{v}_total": F.sum(v).over(group) for v in values}})
+    return summed.withColumns({f"{v}_upto": F.col(f"{v}_before") + F.col(v) for v in values})
+
+
 def positions(
     df: DataFrame,
     order: str,

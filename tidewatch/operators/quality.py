@@ -12,7 +12,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.numbers import clipped_log_loss, right_closed_bin, safe_ratio
-from tidewatch.operators.ordering import BUCKET, assign_buckets, cut_points, exact_quantiles, running_totals, salted_join, sort_key, union_all
+from tidewatch.operators.ordering import (
+    BUCKET,
+    assign_buckets,
+    by_group_size,
+    cut_points,
+    exact_quantiles,
+    running_totals,
+    salted_join,
+    sort_key,
+    totals_of_small_groups,
+    union_all,
+)
 
 # Standard settings of the metric report.
 TOP_FRACTION, BINS, DEFAULT_THRESHOLD = 0.10, 10, 0.5
@@ -27,15 +38,29 @@ def score_counts(df: DataFrame, keys: Sequence[str], label: str, score: str) ->
     )
 
 
-def ranked_scores(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
-    """Distinct scores with the label counts below, up to and over all of their group; a missing score ranks lowest."""
+def ranked_scores(df: DataFrame, keys: Sequence[str], label: str, score: str, small: bool = False) -> DataFrame:
+    """Distinct scores with the label counts below, up to and over all of their group; a missing score ranks lowest.
+
+    ``small`` groups are shuffled once, whole: the counts and their running totals stay where they are.
+    """
+    if small:
+        return totals_of_small_groups(score_counts(df.repartition(*keys), keys, label, score), keys, "p", ["pos", "neg", "n"])
     points = cut_points(df.select(F.col(score).cast("double").alias("p")), ["p"])["p"]
     return running_totals(score_counts(df, keys, label, score), keys, "p", ["pos", "neg", "n"], points=points)
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """(keys, rows, positives, roc_auc, average_precision); null where one class is absent."""
-    return _rank_summary(ranked_scores(df, keys, label, score), keys, TOP_FRACTION).select(*keys, "rows", "positives", "roc_auc", "average_precision")
+    return _measured(df, keys, label, score, TOP_FRACTION).select(*keys, "rows", "positives", "roc_auc", "average_precision")
+
+
+def _measured(df: DataFrame, keys: Sequence[str], label: str, score: str, fraction: float, tie: str | None = None) -> DataFrame:
+    """The summary of every group's order, with the top fraction's recall where ``tie`` is given."""
+    parts = []
+    for rows, small in by_group_size(df, keys):
+        summary = _rank_summary(ranked_scores(rows, keys, label, score, small), keys, fraction)
+        parts.append(summary if tie is None else _with_recall(rows, summary, keys, label, score, tie, small))
+    return union_all(parts)
 
 
 def _rank_summary(ranked: DataFrame, keys: Sequence[str], fraction: float) -> DataFrame:
@@ -68,15 +93,29 @@ def _top_count(n: Column, fraction: float) -> Column:
 
 def recall_top_fraction(df: DataFrame, keys: Sequence[str], label: str, score: str, tie: str, fraction: float = TOP_FRACTION) -> DataFrame:
     """Share of all positives among the top fraction by score, ties in ``tie`` order."""
-    summary = _rank_summary(ranked_scores(df, keys, label, score), keys, fraction)
-    return _with_recall(df, summary, keys, label, score, tie).select(*keys, "top_rows", "top_positives", "recall_at_top_decile")
+    return _measured(df, keys, label, score, fraction, tie).select(*keys, "top_rows", "top_positives", "recall_at_top_decile")
 
 
-def _with_recall(df: DataFrame, summary: DataFrame, keys: Sequence[str], label: str, score: str, tie: str) -> DataFrame:
+def _with_recall(df: DataFrame, summary: DataFrame, keys: Sequence[str], label: str, score: str, tie: str, small: bool = False) -> DataFrame:
     """Whole scores above the cut are counted; of the score the cut falls into, only one bucket
     of tie keys is ranked. Its other tied rows are counted per bucket in the map tasks."""
     keys = list(keys)
     cut = summary.where("cut IS NOT NULL").select(*keys, "cut.p", "cut.take")
+    part = _tied_of_small(df, cut, keys, label, score, tie) if small else _tied(df, cut, keys, label, score, tie)
+    joined = summary.join(part, list(keys), "left") if keys else summary.join(F.broadcast(part), how="left")
+    found = F.col("sure") + F.coalesce("part", F.lit(0))
+    return joined.withColumns({"top_positives": found, "recall_at_top_decile": safe_ratio(found, "positives")})
+
+
+def _tied_of_small(df: DataFrame, cut: DataFrame, keys: list[str], label: str, score: str, tie: str) -> DataFrame:
+    """(keys, part): positives among the first ``take`` rows of the cut's score, in groups that one task can order."""
+    rows = df.select(*keys, F.col(score).cast("double").alias("p"), F.col(tie).alias("__tie"), (F.col(label) == 1).cast("bigint").alias("pos"))
+    ranked = rows.join(cut, [*keys, "p"]).withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy("__tie")))
+    return ranked.where(F.col("__row") <= F.col("take")).groupBy(*keys).agg(F.sum("pos").alias("part"))
+
+
+def _tied(df: DataFrame, cut: DataFrame, keys: list[str], label: str, score: str, tie: str) -> DataFrame:
+    """As ``_tied_of_small`` for groups of any size."""
     rows = df.select(*keys, F.col(score).cast("double").alias("p"), sort_key(df, tie).alias("__t"), F.col(tie).alias("__tie"), (F.col(label) == 1).cast("bigint").alias("pos"))
     rows = assign_buckets(rows, {"__t": (BUCKET, cut_points(rows.select("__t"), ["__t"])["__t"])})
     tied = salted_join(rows, cut, [*keys, "p"])
@@ -88,10 +127,7 @@ def _with_recall(df: DataFrame, summary: DataFrame, keys: Sequence[str], label:
     edge = edge.select(*keys, BUCKET, (F.col("take") - F.col("before")).alias("left"))
     ranked = tied.drop("take").join(edge, [*keys, BUCKET]).withColumn("__row", F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy("__tie")))
     last = ranked.where(F.col("__row") <= F.col("left")).select(*keys, "pos")
-    part = whole.unionByName(last).groupBy(*keys).agg(F.sum("pos").alias("part"))
-    joined = summary.join(part, list(keys), "left") if keys else summary.join(F.broadcast(part), how="left")
-    found = F.col("sure") + F.coalesce("part", F.lit(0))
-    return joined.withColumns({"top_positives": found, "recall_at_top_decile": safe_ratio(found, "positives")})
+    return whole.unionByName(last).groupBy(*keys).agg(F.sum("pos").alias("part"))
 
 
 def pointwise_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
@@ -176,11 +212,10 @@ def subgroup_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str,
 
 def metric_block(df: DataFrame, keys: Sequence[str], label: str, score: str, tie: str) -> DataFrame:
     """The full metric block, one row per key; rank metrics share one ordering."""
-    summary = _rank_summary(ranked_scores(df, keys, label, score), keys, TOP_FRACTION)
     parts = [
         pointwise_metrics(df, keys, label, score),
         calibration_error(df, keys, label, score),
-        _with_recall(df, summary, keys, label, score, tie).select(*keys, "roc_auc", "average_precision", "recall_at_top_decile"),
+        _measured(df, keys, label, score, TOP_FRACTION, tie).select(*keys, "roc_auc", "average_precision", "recall_at_top_decile"),
     ]
     return reduce(lambda a, b: a.join(b, list(keys)), parts)
 

@@ -592,7 +592,7 @@ def backtest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     reference, serving = t.split_stream(t.stream(spark, sf_dir))
     base = serving.select("event_id", "value", "k", "hour", "ub", "score")
-    streams = backtest.perturbed_streams(
+    changed = backtest.perturbed_streams(
         base,
         {
             "S1": lambda df: perturb.scale_jitter(df, ["event_id"], ["k"], portable=True),
@@ -600,6 +600,8 @@ def backtest_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
             "S5": perturb.unchanged,
         },
     )
+    # Written before it is cut: placing the rows reads every perturbed stream three times.
+    streams = t.written_once(spark, sf_dir, "three_streams", lambda: changed)
     # Written before it is measured: the perturbed streams are read by several aggregations.
     windows = t.written_once(spark, sf_dir, "perturbed_windows", lambda: row_windows(streams, "event_id", "event_id", BLOCK, groups=["scenario"], keep_partial=False))
     spec = drift.MonitorSpec(("scenario", "window_index"), ("value", "k", "hour"), ("ub",), "score")
@@ -722,7 +724,7 @@ def backtest_five_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.stream(spark, sf_dir).withColumn("grade", grade).withColumn("__doc", F.col("event_id") % documents).join(told, "__doc", "left").drop("__doc")
     reference, serving = t.split_stream(t.written_once(spark, sf_dir, "labelled_stream", lambda: rows))
     base = serving.select("event_id", "value", "k", "hour", "ub", "score", "grade", "y")
-    streams = backtest.perturbed_streams(
+    changed = backtest.perturbed_streams(
         base,
         {
             "S1": lambda df: perturb.scale_jitter(df, ["event_id"], ["k"], portable=True),
@@ -732,6 +734,8 @@ def backtest_five_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
             "S5": perturb.unchanged,
         },
     )
+    # Written before it is cut: placing the rows reads every perturbed stream three times.
+    streams = t.written_once(spark, sf_dir, "five_streams", lambda: changed)
     windows = t.written_once(spark, sf_dir, "five_windows", lambda: row_windows(streams, "event_id", "event_id", BLOCK, groups=["scenario"], keep_partial=False))
     spec = drift.MonitorSpec(("scenario", "window_index"), ("value", "k", "hour"), ("ub", "grade"), "score")
     index = F.col("window_index")
